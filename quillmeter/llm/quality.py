@@ -1,7 +1,7 @@
 """Quality classifier: expectation-maximisation weighs heuristic labellers, their posterior trains a hashed linear scorer.
 
-1. Eight labellers vote good, bad or nothing on every document, from counts over its whole text.
-2. Votes are grouped to patterns, 3 ** 8 at most whatever the corpus, and counted over all documents. Expectation-maximisation over
+1. Nine labellers vote good, bad or nothing on every document, from counts over its whole text.
+2. Votes are grouped to patterns, 3 ** 9 at most whatever the corpus, and counted over all documents. Expectation-maximisation over
    these counts gives each labeller's rates among good and bad documents, and each pattern's posterior.
 3. A logistic scorer over hashed byte trigrams (and repeated words) is fitted to the posteriors of a sample of ``sample`` documents
    at most, those with the smallest hashes of their ids. This is the only sample; everything else covers all documents.
@@ -26,7 +26,7 @@ from . import common, wordhash
 
 BUCKETS, SAMPLE, ROUNDS, STEPS, THRESHOLD = 2048, 4000, 60, 300, 0.5
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#$%&*|<>{}[]\\^~=_@", dtype=np.uint8))
-LABELLERS = ("symbols", "capitals", "exclamations", "bars", "repeats", "variety", "word_length", "sentences")
+LABELLERS = ("symbols", "capitals", "exclamations", "bars", "repeats", "variety", "word_length", "sentences", "glued")
 ABSTAIN, BAD, GOOD = 0, 1, 2
 
 
@@ -54,6 +54,7 @@ def votes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     inner = end < len(data)
     follows[inner] = np.isin(data[end[inner]], np.frombuffer(b".,;:?", dtype=np.uint8)) & (end[inner] < bounds[row[inner] + 1])
     stops = np.bincount(row[follows], minlength=n) / words
+    glued = np.bincount(row[inner][SYMBOLS[data[end[inner]]] & (end[inner] < bounds[row[inner] + 1])], minlength=n) / words
 
     def vote(x, good, bad, least=1):
         """good: at most or at least; bad: beyond. Both are (low, high) ranges."""
@@ -74,6 +75,7 @@ def votes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             vote(variety, (0.4, 1), (0, 0.15), 20),
             vote(mean, (2.5, 12), (20, top), 5),
             vote(stops, (0.03, 0.5), (0, 0.005), 40),
+            vote(glued, (0, 0.02), (0.1, top), 3),
         ],
         axis=1,
     )
@@ -121,22 +123,24 @@ def patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def weigh(counts: dict[int, int], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Expectation-maximisation. Returns by code its posterior of good, the rates (labeller, class, vote) and the share of good.
+    """Expectation-maximisation. Returns by code its posterior of good, each labeller's rate of bad votes among bad and good documents, and the share of good.
 
-    The start is the vote of the majority, one bad vote outweighing agreement of the rest; rates are smoothed by one document.
+    A labeller's silence says nothing. Rates have priors, as counts that grow with the votes: the labellers are built to find
+    one fault each and to spare good documents, so they miss most bad ones (0.3) and seldom hit a good one (0.01). The votes
+    overrule the weak prior of the first kind soon, and the strong one of the second kind where a labeller errs often.
     """
     codes = np.array(sorted(counts), dtype=np.int64)
     n = np.array([counts[c] for c in codes.tolist()], dtype=np.float64)
     v = decode(codes)
-    onehot = np.stack([v == k for k in range(3)], axis=2).astype(np.float64)
-    good = np.where((v == BAD).any(axis=1), 0.1, 0.9)
-    prior, rates = 0.5, np.full((len(LABELLERS), 2, 3), 1 / 3)
+    voted, bad = v != ABSTAIN, v == BAD
+    good = np.where(bad.any(axis=1), 0.1, 0.9)
+    held = (n @ voted)[:, None] * [0.01, 0.2] + 1
+    mean, prior, rates = np.array([0.3, 0.01]), 0.5, np.zeros((len(LABELLERS), 2))
     for _ in range(rounds):
-        for y, weight in enumerate((n * (1 - good), n * good)):
-            got = (onehot * weight[:, None, None]).sum(axis=0) + 1 / 3
-            rates[:, y] = got / got.sum(axis=1, keepdims=True)
+        weight = np.stack([n * (1 - good), n * good], axis=1)
+        rates = (bad.T @ weight + held * mean) / (voted.T @ weight + held)
         prior = min(max((n * good).sum() / max(n.sum(), 1), 1e-3), 1 - 1e-3)
-        logs = np.log([1 - prior, prior]) + np.einsum("clk,lyk->cy", onehot, np.log(rates))
+        logs = np.log([1 - prior, prior]) + bad @ np.log(rates) + (voted & ~bad) @ np.log(1 - rates)
         good = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -50, 50)))
     posterior = np.zeros(3 ** len(LABELLERS))
     posterior[codes] = good
@@ -158,7 +162,7 @@ def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = STEPS) -> tuple[np.nda
 
 def classify(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its id, score (probability of good) and keep."""
-    counts = {r.pattern: r.n for r in patterns(docs, text_col).collect()}  # 3 ** 8 rows at most
+    counts = {r.pattern: r.n for r in patterns(docs, text_col).collect()}  # 3 ** 9 rows at most
     posterior, _, _ = weigh(counts)
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
