@@ -1,0 +1 @@
+"""Column functions: they take and return columns, and stay inside generated code or higher-order functions."""
