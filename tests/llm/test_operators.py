@@ -156,6 +156,17 @@ def test_pii_base(spark, docs):
     assert pii.find_pii(empty(docs)).count() == 0
 
 
+def test_pii_query(spark, docs):
+    import hashlib as h
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in pii.op3(spark, SF).collect():
+        spans = plain_spans(texts[r.doc_id])
+        listed = ",".join(f"{pii.KINDS[k]}:{i}:{j}" for k, i, j in spans)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == n for k, _, _ in spans) for n in range(4))
+        assert r.base_sha256 == h.sha256(listed.encode()).hexdigest() and set(filter(None, listed.split(","))) <= set(r.spans.split(","))
+
+
 def test_pii_redacts(spark):
     df = spark.createDataFrame([(1, "mail a@b.cd or +1 (234) 555-0199, é a@b.cd")], "doc_id long, text string")
     got = pii.find_pii(df).join(df, "doc_id").select(pii.redacted(F.col("text"), F.col("spans"))).first()[0]
