@@ -19,6 +19,11 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 TRIM_RESERVE = 48
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use takes it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def stripped(text: Column) -> Column:
     """text without terminal escape sequences; null is empty."""
     text = F.coalesce(text, F.lit(""))
@@ -32,22 +37,19 @@ def trimmed(text: Column) -> Column:
 
 def profile_of(clean: Column) -> Column:
     """The content profile of a text without escape sequences."""
-    sample = F.substring(clean, 1, SAMPLE)
-    body = trimmed(sample)
-    size, length = F.length(sample), F.length(body)
-    spaces = F.regexp_count(body, F.lit(f"[{SPACE}]"))
-    encoded = (F.regexp_count(body, F.lit(f"[^A-Za-z0-9+/={SPACE}]")) == 0) & (length - spaces > BASE64_LEAST) & (spaces / length < BASE64_SPACE)
-    json = F.substring(body, 1, 1).isin("[", "{") & F.substring(body, -1, 1).isin("]", "}") & (F.regexp_count(sample, F.lit(JSON_SIGNALS)) / size > JSON_DENSITY)
-    density = F.regexp_count(sample, F.lit(CODE_SIGNALS)) / size
-    return (
-        F.when(length == 0, "prose")
-        .when(encoded, "base64")
-        .when(json, "json")
-        .when(density > CODE_DENSITY, "code")
-        .when(sample.rlike(f"(?md){MARKDOWN}"), "markdown")
-        .when(density > MIXED_DENSITY, "mixed")
-        .otherwise("prose")
-    )
+
+    def told(x):
+        sample, body, spaces = x["sample"], x["body"], x["spaces"]
+        size, length = F.length(sample), F.length(body)
+        encoded = (length - spaces > BASE64_LEAST) & (spaces / length < BASE64_SPACE) & (F.regexp_count(body, F.lit(f"[^A-Za-z0-9+/={SPACE}]")) == 0)
+        json = F.substring(body, 1, 1).isin("[", "{") & F.substring(body, -1, 1).isin("]", "}") & (F.regexp_count(sample, F.lit(JSON_SIGNALS)) / size > JSON_DENSITY)
+        density = F.regexp_count(sample, F.lit(CODE_SIGNALS)) / size
+        plain = bound(density, lambda d: F.when(d > CODE_DENSITY, "code").when(sample.rlike(f"(?md){MARKDOWN}"), "markdown").when(d > MIXED_DENSITY, "mixed").otherwise("prose"))
+        return F.when(length == 0, "prose").when(encoded, "base64").when(json, "json").otherwise(plain)
+
+    count = lambda body: F.regexp_count(body, F.lit(f"[{SPACE}]"))
+    parts = lambda sample: bound(trimmed(sample), lambda body: F.struct(sample.alias("sample"), body.alias("body"), count(body).alias("spaces")))
+    return bound(bound(F.substring(clean, 1, SAMPLE), parts), told)
 
 
 def detect_profile(text: Column) -> Column:
@@ -56,10 +58,8 @@ def detect_profile(text: Column) -> Column:
 
 def divisor(profile: Column) -> Column:
     """Characters per token; an unknown profile counts as mixed."""
-    out = F.lit(DIVISORS["mixed"])
-    for name, value in DIVISORS.items():
-        out = F.when(profile == name, F.lit(value)).otherwise(out)
-    return out
+    table = F.create_map(*(F.lit(x) for pair in DIVISORS.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, profile), F.lit(DIVISORS["mixed"]))
 
 
 def newlines(text: Column) -> Column:
@@ -68,13 +68,13 @@ def newlines(text: Column) -> Column:
 
 def tokens_of(clean: Column, by: Column) -> Column:
     """Tokens of a text without escape sequences at by characters each; a newline is one more."""
-    ends = newlines(clean)
-    return F.when(clean == "", F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil((F.length(clean) - ends) / by) + ends)).cast("long")
+    cost = bound(newlines(clean), lambda ends: F.greatest(F.lit(1), F.ceil((F.length(clean) - ends) / by) + ends))
+    return F.when(clean == "", F.lit(0)).otherwise(cost).cast("long")
 
 
 def estimate_tokens(text: Column, profile: str | None = None) -> Column:
-    clean = stripped(text)
-    return tokens_of(clean, divisor(profile_of(clean)) if profile in (None, "auto") else F.lit(DIVISORS.get(profile, DIVISORS["mixed"])))
+    auto = profile in (None, "auto")
+    return bound(stripped(text), lambda c: tokens_of(c, divisor(profile_of(c)) if auto else F.lit(DIVISORS.get(profile, DIVISORS["mixed"]))))
 
 
 def count_lines(text: Column) -> Column:

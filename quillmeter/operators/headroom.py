@@ -124,10 +124,13 @@ def plan_lanes(budget: Column, lanes: Sequence[tuple] = LANES) -> Column:
 
     done = F.aggregate(F.sequence(F.lit(0), F.lit(len(lanes))), F.aggregate(sorted_lanes, start, pay), share)
 
+    def at_place(k):
+        return lambda x: x["at"] == k
+
     def final(done):
         out = []
         for k, (name, weight, minimum, *_) in enumerate(lanes):
-            own = F.filter(done["lanes"], lambda x, k=k: x["at"] == k)[0]
+            own = F.filter(done["lanes"], at_place(k))[0]
             clamp = F.when(own["state"].isNull() & F.lit(bool(minimum)) & (own["tokens"] == minimum), F.lit("minimum")).otherwise(own["state"])
             out.append(F.struct(F.lit(name).alias("lane"), own["tokens"].alias("tokens"), F.lit(float(weight)).alias("weight"), clamp.alias("clamped")))
         return F.array(*out)
