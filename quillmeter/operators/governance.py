@@ -115,7 +115,7 @@ def admission(envelopes: DataFrame, tiers: DataFrame | None = None, compressor=b
     """envelopes: see schemas.ENVELOPE. Per envelope: events (array, in order), decision, reason, admitted, rejected, payload (as sent), attempt.
 
     The gates come in this order: score, tier, budgets (gate: session_id, artifact_id, budget_reason from ``budget_gate``), size.
-    Too large payloads are compressed up to attempts times; each try is a stage of columns, not a loop over rows.
+    Too large payloads are compressed up to attempts times, in a fold inside the row.
     """
     spark = envelopes.sparkSession
     tiers = tier_table(spark) if tiers is None else tiers
@@ -123,30 +123,40 @@ def admission(envelopes: DataFrame, tiers: DataFrame | None = None, compressor=b
     e = e.withColumn("candidate", F.coalesce(F.nullif("candidate_tokens", F.lit(0)), count(F.col("payload"))))
     e = e.join(gate, ["session_id", "artifact_id"], "left") if gate is not None else e.withColumn("budget_reason", F.lit(None).cast("string"))
     refused = F.when(F.col("complexity_score").isNull(), "MISSING_SCORE").when(F.col("input_token_cap").isNull(), "INVALID_TIER").otherwise(F.col("budget_reason"))
-    e = e.withColumn("_refused", refused).withColumn("_text", F.when(F.col("_refused").isNull(), F.col("payload"))).withColumn("_n", count(F.col("_text")))
-    event = "array<struct<gate:string,decision:string,admitted:bigint,rejected:bigint,reason:string,attempt:int>>"
-    make = lambda gate, decision, admitted, rejected, reason, attempt: F.array(F.struct(F.lit(gate), F.lit(decision), admitted, rejected, reason if isinstance(reason, Column) else F.lit(reason), attempt)).cast(event)
-    none, zero = F.array().cast(event), F.lit(0)
-    e = e.withColumn("_events", F.when(F.col("_refused").isNotNull(), make("admission", "blocked", zero, F.col("candidate"), F.col("_refused"), zero)).otherwise(none))
-    e = e.withColumn("_state", F.when(F.col("_refused").isNotNull(), "blocked").otherwise("open")).withColumn("_attempt", F.lit(0))
-    cap = F.col("input_token_cap")
-    for _ in range(attempts + 1):
-        over = (F.col("_state") == "open") & (F.col("_n") > cap)
-        spent = over & (F.col("_attempt") >= F.col("max_attempts"))
-        e = e.withColumn("_over", over).withColumn("_spent", spent)
-        e = e.withColumn("_new", F.when(F.col("_over") & ~F.col("_spent"), compressor(F.col("_text"), cap))).withColumn("_m", count(F.col("_new")))
-        stuck = F.col("_over") & ~F.col("_spent") & (F.col("_m") >= F.col("_n"))
-        more = F.when(F.col("_over"), make("compression", "recompress", zero, F.greatest(F.col("_n") - cap, zero), "TIER_INPUT_CAP_EXCEEDED", F.col("_attempt"))).otherwise(none)
-        end = F.when(F.col("_spent"), make("compression", "blocked", zero, F.col("_n"), "RECOMPRESSION_EXHAUSTED", F.col("_attempt"))).when(stuck, make("compression", "blocked", zero, F.col("_m"), "RECOMPRESSION_NO_PROGRESS", F.col("_attempt") + 1)).otherwise(none)
-        moved = F.col("_over") & ~F.col("_spent")
-        e = e.withColumn("_events", F.concat("_events", more, end)).withColumn("_state", F.when(F.col("_spent") | stuck, "blocked").otherwise(F.col("_state")))
-        e = e.withColumn("_text", F.when(moved, F.col("_new")).otherwise(F.col("_text"))).withColumn("_n", F.when(moved, F.col("_m")).otherwise(F.col("_n"))).withColumn("_attempt", F.when(moved, F.col("_attempt") + 1).otherwise(F.col("_attempt")))
-    e = e.withColumn("_admitted", F.col("_state") == "open")
-    rejected = F.greatest(F.col("candidate") - F.col("_n"), zero)
-    e = e.withColumn("_events", F.when(F.col("_admitted"), F.concat("_events", make("admission", "admitted", F.col("_n"), rejected, "WITHIN_TIER_AND_COST_BUDGET", F.col("_attempt")))).otherwise(F.col("_events")))
+    event = "struct<gate:string,decision:string,admitted:bigint,rejected:bigint,reason:string,attempt:int>"
+    state = f"struct<text:string,n:bigint,open:boolean,attempt:int,events:array<{event}>>"
+
+    def make(gate, decision, admitted, rejected, reason, attempt):
+        return F.array(F.struct(F.lit(gate), F.lit(decision), admitted, rejected, reason, attempt).cast(event))
+
+    zero, cap = F.lit(0), F.col("input_token_cap")
+
+    def attempt(acc, _):
+        over = make("compression", "recompress", zero, acc["n"] - cap, F.lit("TIER_INPUT_CAP_EXCEEDED"), acc["attempt"])
+        out = make("compression", "blocked", zero, acc["n"], F.lit("RECOMPRESSION_EXHAUSTED"), acc["attempt"])
+        ended = F.struct(acc["text"], acc["n"], F.lit(False), acc["attempt"], F.concat(acc["events"], over, out)).cast(state)
+
+        def tried(x):
+            stuck = x["m"] >= acc["n"]
+            none = make("compression", "blocked", zero, x["m"], F.lit("RECOMPRESSION_NO_PROGRESS"), acc["attempt"] + 1)
+            events = F.concat(acc["events"], over, F.when(stuck, none).otherwise(F.array().cast(f"array<{event}>")))
+            return F.struct(x["new"], x["m"], ~stuck, acc["attempt"] + 1, events).cast(state)
+
+        new = tokens.bound(compressor(acc["text"], cap), lambda t: F.struct(t.alias("new"), count(t).alias("m")))
+        return F.when(~acc["open"] | (acc["n"] <= cap), acc).when(acc["attempt"] >= F.col("max_attempts"), ended).otherwise(tokens.bound(new, tried))
+
+    start = F.struct(F.col("payload"), count(F.col("payload")), F.lit(True), F.lit(0), F.array().cast(f"array<{event}>")).cast(state)
+    sized = F.aggregate(F.sequence(F.lit(0), F.lit(attempts)), start, attempt)
+
+    def admitted(x):
+        last = make("admission", "admitted", x["n"], F.greatest(F.col("candidate") - x["n"], zero), F.lit("WITHIN_TIER_AND_COST_BUDGET"), x["attempt"])
+        return F.when(x["open"], F.struct(x["text"], x["n"], x["open"], x["attempt"], F.concat(x["events"], last)).cast(state)).otherwise(x)
+
+    blocked = F.struct(F.lit(None).cast("string"), zero, F.lit(False), zero, make("admission", "blocked", zero, F.col("candidate"), F.col("_refused"), zero)).cast(state)
+    e = e.withColumn("_refused", refused).withColumn("_s", F.when(F.col("_refused").isNotNull(), blocked).otherwise(tokens.bound(sized, admitted)))
     keep = [c for c in envelopes.columns if c not in ("payload", "candidate_tokens")]
-    last = F.element_at("_events", -1)
-    return e.select(*keep, F.col("candidate").alias("candidate_tokens"), "output_token_cap", F.col("_events").alias("events"), last["decision"].alias("decision"), last["reason"].alias("reason"), F.when(F.col("_admitted"), F.col("_n")).otherwise(0).cast("long").alias("admitted"), last["rejected"].alias("rejected"), F.when(F.col("_admitted"), F.col("_text")).alias("payload"), F.col("_attempt").alias("attempt"))
+    last, ok = F.element_at("_s.events", -1), F.col("_s.open")
+    return e.select(*keep, F.col("candidate").alias("candidate_tokens"), "output_token_cap", F.col("_s.events").alias("events"), last["decision"].alias("decision"), last["reason"].alias("reason"), F.when(ok, F.col("_s.n")).otherwise(0).cast("long").alias("admitted"), last["rejected"].alias("rejected"), F.when(ok, F.col("_s.text")).alias("payload"), F.col("_s.attempt").alias("attempt"))
 
 
 def ledger_events(admitted: DataFrame) -> DataFrame:
@@ -192,7 +202,8 @@ def budget_gate(requests: DataFrame) -> DataFrame:
     """
     row = F.struct("seq", "artifact_id", "estimated_cost_usd", "actual_cost_usd", "artifact_budget_usd", "session_budget_usd")
     by = requests.groupBy("session_id").agg(F.array_sort(F.collect_list(row)).alias("r"))
-    state = "struct<spent:double,by:map<string,double>,out:array<struct<seq:bigint,artifact:string,reason:string>>>"
+    out = "array<struct<seq:bigint,artifact:string,reason:string>>"
+    state = f"struct<spent:double,by:map<string,double>,out:{out}>"
     empty = F.create_map().cast("map<string,double>")
 
     def step(acc, x):
@@ -200,7 +211,7 @@ def budget_gate(requests: DataFrame) -> DataFrame:
         why = F.when(own + x["estimated_cost_usd"] > x["artifact_budget_usd"], "ARTIFACT_BUDGET_EXCEEDED").when(acc["spent"] + x["estimated_cost_usd"] > x["session_budget_usd"], "SESSION_BUDGET_EXCEEDED")
         cost = F.when(why.isNull(), F.coalesce(x["actual_cost_usd"], F.lit(0.0))).otherwise(0.0)
         rest = F.map_filter(acc["by"], lambda k, _: k != x["artifact_id"])
-        return F.struct(acc["spent"] + cost, F.map_concat(rest, F.create_map(x["artifact_id"], own + cost)), F.concat(acc["out"], F.array(F.struct(x["seq"], x["artifact_id"], why)))).cast(state)
+        return F.struct(acc["spent"] + cost, F.map_concat(rest, F.create_map(x["artifact_id"], own + cost)), F.concat(acc["out"], F.array(F.struct(x["seq"], x["artifact_id"], why)).cast(out))).cast(state)
 
     done = F.aggregate("r", F.struct(F.lit(0.0), empty, F.array()).cast(state), step)
     return by.select("session_id", F.inline(done["out"])).select("session_id", F.col("artifact").alias("artifact_id"), "seq", F.col("reason").alias("budget_reason"))

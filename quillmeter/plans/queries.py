@@ -1092,7 +1092,11 @@ def _stream(spark, d, name):
 
     path = f"{d}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return usage, spark.readStream.schema(schema).parquet(path)
+    stream = spark.readStream.schema(schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return usage, stream.parquet(path)
+    return usage, stream.option("pathGlobFilter", f"{name}.parquet").parquet(d)  # a stream's source is a folder
 
 
 def _drain(spark, df):
