@@ -50,7 +50,7 @@ def scored(features: DataFrame) -> DataFrame:
     total = F.col(f"parts.{names[0]}")
     for n in names[1:]:
         total = total + F.col(f"parts.{n}")
-    out = out.withColumn("raw", F.least(F.lit(100.0), total)).withColumn("score", F.bround("raw", 2))
+    out = out.withColumn("raw", F.when(total.isNotNull(), F.least(F.lit(100.0), total))).withColumn("score", F.bround("raw", 2))
     return out.withColumn("tier", tier_for_score(F.col("score")))
 
 

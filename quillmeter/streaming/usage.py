@@ -41,7 +41,7 @@ class OfferClaims(StatefulProcessor):
         self.handle = handle
         self.stack = handle.getListState("stack", "ts long, id long, full long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["sec", "id"])
         stack, out = [tuple(x) for x in self.stack.get()], []
         for sec, id_, kind, full, served in events[["sec", "id", "kind", "tokens_full", "tokens_served"]].itertuples(index=False):
@@ -59,16 +59,17 @@ class OfferClaims(StatefulProcessor):
             self.handle.registerTimer((stack[-1][0] + self.window) * 1000)
         else:
             self.stack.clear()
-        yield pd.DataFrame(out, columns=["path", "read_id", "offer_id", "ts", "saved"])
+        if out:
+            yield pd.DataFrame(out, columns=["path", "read_id", "offer_id", "ts", "saved"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        now = expired.getExpiryTimeInMs() // 1000
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
         stack = [tuple(x) for x in self.stack.get() if x[0] > now - self.window]
         if stack:
             self.stack.put(stack)
         else:
             self.stack.clear()
-        yield pd.DataFrame([], columns=["path", "read_id", "offer_id", "ts", "saved"])
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -82,8 +83,17 @@ def offer_claims(events: DataFrame, window: int = WINDOW, late: str = LATE) -> D
     return events.withWatermark("at", late).groupBy("path").transformWithStateInPandas(OfferClaims(window), CLAIM, "append", "eventTime")
 
 
+PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def drained(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there now into a Parquet table, and reads that."""
-    query = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(out)
+    """Runs a stream over what is there now into a Parquet table, and reads that. State is kept in RocksDB, as lists and timers need it."""
+    spark = df.sparkSession
+    was = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        query = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, was) if was else spark.conf.unset(PROVIDER)
+    return spark.read.schema(df.schema).parquet(out)
