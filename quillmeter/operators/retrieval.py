@@ -49,6 +49,12 @@ def corpus_size(lengths_: DataFrame) -> DataFrame:
     return lengths_.agg(F.count("*").alias("n"), F.sum("length").alias("total"))
 
 
+def size_of(held: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The same from stored postings, without reading texts again: a chunk without terms counts as of length 1."""
+    own = held.groupBy("id").agg(F.first("length").alias("length")).agg(F.count("*").alias("k"), F.coalesce(F.sum("length"), F.lit(0)).alias("t"))
+    return chunks.agg(F.count("*").alias("n")).crossJoin(own).select("n", (F.col("t") + F.col("n") - F.col("k")).alias("total"))
+
+
 def bm25(asked: DataFrame, held: DataFrame, k1: float = K1, b: float = B, size: DataFrame | None = None) -> DataFrame:
     """asked: query_id, term; held: postings. Per query and chunk that share a term: query_id, id, score in whole billionths.
 

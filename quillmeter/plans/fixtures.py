@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens
 from ..operators import governance
 from ..schemas import PRICES
+from ..sources import tables
 
 AS_OF, MODELS = "2024-01-31 00:00:00", [p[0] for p in PRICES]
 WINDOW, RESERVE = 4000, 500
@@ -18,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = tables.spread(table(spark, sf_dir, "documents"), f"{sf_dir}/documents.parquet")
     return d.withColumn("text", F.coalesce("text", F.lit("")))
 
 

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import tokens as K
 from ..operators import chunking, finops, governance, headroom, offers, packing, retrieval, structure
 from ..schemas import LANES, PRESSURE
+from ..sources import tables
 from . import fixtures as X
 from . import sql as Q
 
@@ -428,7 +429,8 @@ def r2(spark, d):
 
 def _scores(spark, d):
     s = _searchable(spark, d)
-    return retrieval.bm25(retrieval.query_terms(_asked(spark, d), 8), retrieval.postings(s), size=retrieval.corpus_size(retrieval.lengths(s)))
+    held = tables.stored(retrieval.postings(s), "postings")
+    return tables.stored(retrieval.bm25(retrieval.query_terms(_asked(spark, d), 8), held, size=retrieval.size_of(held, s)), "scores")
 
 
 @query("r3_bm25_scores", f"WITH {_BM25} SELECT query_id, count(*) AS hits, max(score) // 1000 AS best FROM sc WHERE score > 0 GROUP BY 1")
@@ -503,9 +505,10 @@ _CHUNKED = f"""{Q.CHUNKS}, ct AS (SELECT id, path, s, e, t, tokens, {Q.terms("pa
 
 
 def _chunk_hits(spark, d, k):
-    c = chunking.window_chunks(X.corpus(spark, d))
-    size = retrieval.corpus_size(retrieval.lengths(c))
-    return c, retrieval.top(retrieval.bm25(retrieval.query_terms(_asked(spark, d), 8), retrieval.postings(c), size=size), k)
+    c = tables.stored(chunking.window_chunks(X.corpus(spark, d)), "chunks")
+    held = tables.stored(retrieval.postings(c), "postings")
+    scores = retrieval.bm25(retrieval.query_terms(_asked(spark, d), 8), held, size=retrieval.size_of(held, c))
+    return c, tables.stored(retrieval.top(scores, k), "hits")
 
 
 @query("r11_search_suggestions", f"WITH RECURSIVE {_CHUNKED}, {_TOP.format(name='top', src='sc', k=5)} SELECT query_id, count(*) AS n, string_agg(path || ':' || CAST(s AS VARCHAR) || '-' || CAST(e AS VARCHAR), ' ' ORDER BY rank) AS citations FROM top JOIN chunks USING (id) GROUP BY 1")
@@ -754,8 +757,8 @@ def g5(spark, d):
     return t.groupBy(governance.gated_field(F.col("r")).alias("field")).agg(F.count("*").alias("n"), F.sum(F.length(governance.gated_text(F.col("r")))).alias("chars"))
 
 
-def _ledger(spark, d):
-    return governance.ledger_events(X.admitted(spark, d))
+def _ledger(spark, d, a=None):
+    return governance.ledger_events(X.admitted(spark, d) if a is None else a)
 
 
 @query("g6_admission_gates", f"WITH {Q.ADMITTED} SELECT reason, count(*) AS n FROM ev WHERE gate = 'admission' GROUP BY 1")
@@ -798,8 +801,14 @@ def g9(spark, d):
 _AUDIT = f"{Q.ADMITTED}, {Q.tokens('f0', 'rt', out='full_tokens')}, lb AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1), audit AS (SELECT a.doc_id, a.tier, a.n0, a.n, a.ocap, r.full_tokens // 2 AS outp, CAST(r.full_tokens // 2 AS DOUBLE) / 1024 AS cost, CASE q WHEN 1 THEN 'pass' WHEN 0 THEN 'fail' ELSE 'pending' END AS quality FROM adm a JOIN rt r USING (doc_id) LEFT JOIN lb USING (doc_id) WHERE ok)"
 
 
-def _audit(spark, d):
-    return governance.completions(X.admitted(spark, d), X.responses(spark, d))
+def _audit(spark, d, a=None):
+    return governance.completions(X.admitted(spark, d) if a is None else a, X.responses(spark, d))
+
+
+def _calls(spark, d):
+    """All events of all calls; admission is computed once."""
+    a = tables.stored(X.admitted(spark, d).drop("payload"), "admitted")
+    return _ledger(spark, d, a).unionByName(_audit(spark, d, a))
 
 
 @query("g10_completion_audit", f"WITH {_AUDIT} SELECT CASE WHEN outp > ocap THEN 'violated' ELSE 'completed' END AS decision, CASE WHEN outp > ocap THEN 'estimated' ELSE 'measured' END AS evidence_basis, quality AS quality_status, count(*) AS n, CAST(sum(CASE WHEN outp > ocap THEN outp - ocap ELSE greatest(n0 - n, 0) END) AS BIGINT) AS rejected FROM audit GROUP BY 1, 2, 3")
@@ -809,7 +818,7 @@ def g10(spark, d):
 
 @query("g11_ledger_append", f"WITH {_AUDIT} SELECT decision, count(*) AS n FROM (SELECT decision FROM ev UNION ALL SELECT CASE WHEN outp > ocap THEN 'violated' ELSE 'completed' END FROM audit) GROUP BY 1")
 def g11(spark, d):
-    return _ledger(spark, d).unionByName(_audit(spark, d)).groupBy("decision").agg(F.count("*").alias("n"))
+    return _calls(spark, d).groupBy("decision").agg(F.count("*").alias("n"))
 
 
 @query("g12_sessions", "WITH x AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'purchase' THEN value END AS b, event_type AS p FROM events) SELECT CAST(user_id AS VARCHAR) AS session_id, arg_min(p, ts) AS project_id, arg_max(b, ts) FILTER (b IS NOT NULL) AS budget_usd FROM x GROUP BY 1")
@@ -950,8 +959,7 @@ def _totals_sql(where: str) -> str:
 
 def _totals(per_call):
     def run(spark, d):
-        e = _ledger(spark, d).unionByName(_audit(spark, d))
-        return finops.ledger_totals(e, per_call).withColumn("reduction", micro("blended_reduction")).drop("blended_reduction")
+        return finops.ledger_totals(_calls(spark, d), per_call).withColumn("reduction", micro("blended_reduction")).drop("blended_reduction")
 
     return run
 
@@ -1100,13 +1108,9 @@ def _stream(spark, d, name):
 
 
 def _drain(spark, df):
-    import tempfile
-    import uuid
-
     from ..streaming import usage
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillmeter-")
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = tables.new_path(spark, "stream")
     return usage.drained(df, f"{base}/out", f"{base}/state")
 
 
