@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-K, EVERY, SHARDS, SHARD_ROWS, QUERY_BLOCK, LINKS, EF_BUILD, EF_SEARCH, BATCH = 20, 20, 6, 65536, 16384, 16, 48, 96, 256
+K, EVERY, SHARDS, SHARD_ROWS, QUERY_BLOCK, LINKS, EF_BUILD, EF_SEARCH, BATCH = 20, 20, 6, 10000, 16384, 16, 48, 96, 256
 NODES = "shard int, node int, level int, vid long, vec array<float>, ids array<long>, near array<int>, upper array<int>"
 
 
