@@ -30,7 +30,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import common
 
-FILE_BYTES, RANGE_BYTES, CHUNK, SALTS = 128 << 20, 16 << 20, 1 << 20, 16
+FILE_BYTES, RANGE_BYTES, CHUNK, SALTS, BROADCAST_DIGESTS = 128 << 20, 16 << 20, 1 << 20, 16, 1_000_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = StructType([StructField("record_id", StringType()), StructField("record_type", StringType()), StructField("uri", StringType()), StructField("refers_to", StringType()), StructField("payload_digest", StringType()), StructField("payload_bytes", LongType())])
 
@@ -140,13 +140,14 @@ class Writer:
 def marked_revisits(pages: DataFrame, id_col: str, payload_col: str, salts: int = SALTS) -> DataFrame:
     """pages as id, uri, payload and the id that each refers to: the smallest of those with the same payload.
 
-    Digests that occur once need no partner. The others' smallest ids are joined with salt, as one payload may hold a third
-    of all rows.
+    Digests that occur once need no partner. The others, if they are counted to be few, are broadcast, and no payload is shuffled;
+    else their smallest ids are joined with salt, as one payload may hold a third of all rows.
     """
     rows = pages.select(F.col(id_col).alias("id"), (F.col("url") if "url" in pages.columns else F.lit(None)).cast("string").alias("uri"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     sha = F.concat(F.sha1(F.col("payload").cast("binary")), F.lit(":"), F.octet_length("payload"))
     first = rows.select("id", sha.alias("sha")).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-    first = first.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    first = common.stored(first, "warc_first").select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    first = common.small_side(first, BROADCAST_DIGESTS)
     rows = rows.withColumn("sha", sha).withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"), F.lit(0)))
     return rows.join(first, ["sha", "salt"], "left").select("id", "uri", "payload", "first")
 

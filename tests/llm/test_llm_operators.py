@@ -56,6 +56,15 @@ def test_warc_round_trip(spark):
     assert warc.archive_round_trip(empty(pages)).count() == 0
 
 
+def test_warc_without_broadcast(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, f"p{k % 3}") for k in range(30)], "page_id long, html string")
+    both = []
+    for bound in (warc.BROADCAST_DIGESTS, 1):
+        monkeypatch.setattr(warc, "BROADCAST_DIGESTS", bound)
+        both.append(sorted((r.record_id, r.record_type, r.refers_to) for r in warc.archive_round_trip(pages).collect()))
+    assert both[0] == both[1] and sum(t == "response" for _, t, _ in both[0]) == 3
+
+
 def test_warc_whole_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in warc.op1(spark, SF).collect()}
