@@ -33,7 +33,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = common.stored(stage(spark, docs, sf_dir), "stage")
     return docs

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import tables
+
 #: What separates words, after A-Z are lower-cased; everything else belongs to a word.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,6 +39,12 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stored table. One that is a single file is dealt over the cores, as a file of one row group is read by one task."""
+    path = f"{sf_dir}/{name}.parquet"
+    return tables.spread(spark.read.parquet(path), path)
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast if it is counted to hold no more than rows; else as it is, for a shuffled join. df should be stored."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

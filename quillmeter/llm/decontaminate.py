@@ -86,8 +86,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, how: str = "docum
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    found = find_contamination(docs, benchmark)
+    found = find_contamination(common.table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     joined = F.array_join("items", ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

@@ -268,7 +268,7 @@ def repeated(found: DataFrame, id_col: str) -> bool:
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_join(common.table(spark, sf_dir, "documents"))
 
 
 OP8_SQL = r"""

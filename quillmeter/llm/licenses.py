@@ -94,7 +94,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, n: int =
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = scan_licenses(common.table(spark, sf_dir, "documents"))
     names = F.array_join(F.transform("matches", lambda x: x["template"]), ",")
     return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), names.alias("licenses"))
 

@@ -73,7 +73,7 @@ def repeat_documents(docs: DataFrame, id_col: str = "doc_id", broadcast_ids: int
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix_sources(common.table(spark, sf_dir, "documents"))
 
 
 OP5_SQL = r"""

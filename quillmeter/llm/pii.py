@@ -265,7 +265,7 @@ def listed(spans: Column) -> Column:
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    done = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    done = find_pii(common.table(spark, sf_dir, "documents"))
     of_kind = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("long")
     counts = [of_kind(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return done.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

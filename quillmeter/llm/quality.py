@@ -207,4 +207,4 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", broadcast_ids: int = 2_00
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return classify(common.table(spark, sf_dir, "documents"))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 MODEL, LIMIT, BATCH_BYTES, CACHE, CACHED_CHARS = "piece_bpe_32k.model", 4096, 4_000_000, 400_000, 48
 MARK = "▁"
 RUNS = re.compile(" +[^ ]*")
@@ -126,4 +128,4 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT,
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return count_tokens(common.table(spark, sf_dir, "documents"))

@@ -253,7 +253,7 @@ def typed_id(text: Column, kind: str) -> Column:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = common.table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType.simpleString()
     back = archive_round_trip(pages)
     return back.select(typed_id(F.col("record_id"), kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", typed_id(F.col("refers_to"), kind).alias("refers_to"))
