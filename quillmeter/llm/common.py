@@ -14,6 +14,8 @@ from ..sources import tables
 #: What separates words, after A-Z are lower-cased; everything else belongs to a word.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words of a lower-cased text, by the characters that are in them: Java matches this several times as fast.
+LOWERED_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,7 +60,7 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a whole text, in order; null has none."""
-    return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(ascii_lower(text), F.lit(LOWERED_WORD), F.lit(0))
 
 
 def bag(found: Column, start: Column, n: int) -> Column:
