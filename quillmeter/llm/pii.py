@@ -4,7 +4,8 @@ The generators of each kind are the base rule without its validation, and looser
 telephone number without a plus). Base spans, which pass their validation, are always redacted. They also teach the trees:
 a candidate's features are its form and what stands around it, never the validation itself, and its label is whether it is a
 base span. So where nearly all candidates of some form and context validate, one that doesn't (a mistyped card number) is
-redacted as well, and where few do, none is.
+redacted as well, and where few do, none is. A loose candidate's label is whether it is valid once it is normalised (see
+``valid_loose``); those that meet a base span, such as the inside of a number with a plus, are no examples.
 
 All features are small integers, so the training set is a table of counts per combination, grouped over all documents; its
 size is bounded by the number of combinations, not by the documents. Trees of depth two are fitted to it by Newton boosting, and
@@ -15,7 +16,7 @@ Offsets are code points. Candidates are found by regex inside each row; a text w
 searched for it. Java's possessive groups loop without recursion, so long runs can't exhaust the stack.
 
 Edge cases: null is the empty text; equal rows give equal results; other columns are ignored; an empty table gives an empty
-result; a corpus without candidates, or with one class only, adds no span to the base ones.
+result; a corpus without enough candidates (``least``), or with negative ones only, adds no span to the base ones.
 """
 
 from __future__ import annotations
@@ -45,7 +46,9 @@ LOOSE = {
 NEEDS = {"email": "@", "phone": "+"}
 CUES = {"email": "mail|write|contact", "ip": "(?<![a-z])ip|host|server|addr", "card": "card|visa|pay|account", "phone": "phone|tel|call|fax|mobile"}
 AROUND = 24
-CANDIDATE = "struct<kind:int,i:int,j:int,base:boolean,ndig:int,form:int,left:int,right:int,cue:int>"
+#: The form of a candidate from a loose generator is at least this.
+FROM_LOOSE = 5
+CANDIDATE = "struct<kind:int,i:int,j:int,base:boolean,ok:boolean,ndig:int,form:int,left:int,right:int,cue:int>"
 
 
 def digits(x: Column) -> Column:
@@ -76,6 +79,16 @@ def valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+def valid_loose(kind: str, x: Column) -> Column:
+    """Whether a loose candidate, written as its base rule wants it, is one: an address whose "(at)" and "(dot)" are replaced and
+    which ends in letters; a number that is national: an area code from 2 to 9 in groups of 3, 3 and 4, or a trunk 0 and 9 to 11 digits.
+    """
+    if kind == "email":
+        at = F.regexp_replace(x, r" ?[(\[](?:at|AT)[)\]] ?", "@")
+        return F.regexp_replace(at, r" ?[(\[](?:dot|DOT)[)\]] ?", ".").rlike(rf"^{LOCAL}++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{{2,}}$")
+    return x.rlike(r"^(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[\x20.-][0-9]{3}[\x20.-][0-9]{4}$") | (x.rlike(r"^\(?0[1-9]") & F.length(digits(x)).between(9, 11))
+
+
 def char_class(c: Column) -> Column:
     """0: none, 1: white space, 2: letter, 3: digit, 4: anything else."""
     return F.when(c == "", 0).when(c.rlike(r"^\s"), 1).when(c.rlike(r"^\p{L}"), 2).when(c.rlike("^[0-9]"), 3).otherwise(4)
@@ -85,11 +98,13 @@ def form_of(kind: str, x: Column, loose: bool) -> Column:
     """0-4: how the candidate is written; 5-9: the same from a loose generator."""
     if kind == "email":
         form = F.when(F.length(x) > 40, 1).otherwise(0)
+        if loose:
+            form = F.when(x.rlike(r" \.|\. "), 3).when(x.rlike("dot|DOT"), 2).otherwise(form)
     elif kind == "ip":
         form = F.when(x.rlike(r"(^|\.)0[0-9]"), 1).otherwise(0)
     else:
         form = F.when(x.rlike(r"\("), 4).when(F.contains(x, F.lit("-")) & F.contains(x, F.lit(" ")), 3).when(F.contains(x, F.lit("-")), 2).when(F.contains(x, F.lit(" ")), 1).otherwise(0)
-    return (form + (5 if loose else 0)).cast("int")
+    return (form + (FROM_LOOSE if loose else 0)).cast("int")
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -113,7 +128,7 @@ def described(text: Column, kind: str, number: int, loose: bool):
         after = F.substring(text, m["j"] + 1, F.lit(1))
         return F.struct(
             F.lit(number).alias("kind"), m["i"].alias("i"), m["j"].alias("j"),
-            (F.lit(False) if loose else valid(kind, m["x"])).alias("base"),
+            (F.lit(False) if loose else valid(kind, m["x"])).alias("base"), (valid_loose if loose else valid)(kind, m["x"]).alias("ok"),
             F.least(F.length(digits(m["x"])), F.lit(20)).alias("ndig"), form_of(kind, m["x"], loose).alias("form"),
             char_class(F.substring(before, -1, 1)).alias("left"), char_class(after).alias("right"),
             F.when(F.lower(before).rlike(CUES[kind]), 1).otherwise(0).alias("cue"),
@@ -212,7 +227,7 @@ def fit(cells: list[tuple[int, int, tuple[int, ...], int, int]], precision: floa
                 continue
             if p + n >= least and p >= precision * (p + n):
                 threshold = score
-        if trees and threshold is not None:
+        if threshold is not None:
             models[kind] = (first, trees, threshold)
     return models
 
@@ -222,8 +237,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pr
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(text), F.lit(2)).cast("int").alias("half"), candidates(text).alias("c"))
     rows = common.stored(rows, "pii")
-    one = rows.where(F.size("c") > 0).select("half", F.inline("c"))
-    counted = one.groupBy("kind", "half", *FEATURES).agg(F.count(F.when(F.col("base"), 1)).alias("p"), F.count(F.when(~F.col("base"), 1)).alias("n"))
+    span = lambda c: F.struct(c["kind"].alias("kind"), c["i"].alias("i"), c["j"].alias("j"))
+    free = lambda c: ~F.exists("base", lambda b: (b["i"] < c["j"]) & (c["i"] < b["j"]))
+    rows = rows.withColumn("base", F.array_sort(F.transform(F.filter("c", lambda c: c["base"]), span)))
+    one = rows.where(F.size("c") > 0).select("half", F.inline(F.filter("c", lambda c: (c["form"] < FROM_LOOSE) | free(c))))
+    counted = one.groupBy("kind", "half", *FEATURES).agg(F.count(F.when(F.col("ok"), 1)).alias("p"), F.count(F.when(~F.col("ok"), 1)).alias("n"))
     # At most a row for each combination of features: 4 * 2 * 21 * 10 * 5 * 5 * 2, whatever the corpus.
     cells = sorted((r.kind, r.half, tuple(r[f] for f in FEATURES), r.p, r.n) for r in counted.collect())
     models = fit(cells, precision)
@@ -238,9 +256,6 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pr
             own = F.when(c["kind"] == kind, score >= threshold - 1e-9).otherwise(own)
         return own
 
-    span = lambda c: F.struct(c["kind"].alias("kind"), c["i"].alias("i"), c["j"].alias("j"))
-    rows = rows.withColumn("base", F.array_sort(F.transform(F.filter("c", lambda c: c["base"]), span)))
-    free = lambda c: ~F.exists("base", lambda b: (b["i"] < c["j"]) & (c["i"] < b["j"]))
     more = F.transform(F.filter("c", lambda c: ~c["base"] & added(c) & free(c)), span)
     return rows.select(F.col("id").alias(id_col), "base", F.array_sort(F.array_distinct(F.concat("base", more))).alias("spans"))
 

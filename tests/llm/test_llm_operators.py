@@ -182,6 +182,21 @@ def test_pii_redacts(spark):
     assert got == "mail [EMAIL] or [PHONE], é [EMAIL]"
 
 
+def test_pii_adds_loose_phones_and_addresses(spark):
+    rng = random.Random(9)
+    texts = []
+    for k in range(300):
+        number = f"{rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+        texts += [f"phone +1 ({number} of {k}", f"mail u{k}@ex.com please", f"phone 212 555 {1000 + k} please", f"mail u{k} (at) ex (dot) com please", f"met (at) school{k}. Then", f"sums {10 + k % 90} 345 {100 + k} here"]
+    lone = {"phone": "call 415-555-0123 now", "email": "write bob (at) mail (dot) org now"}
+    df = spark.createDataFrame(list(enumerate([*texts, *lone.values()])), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.base, [(pii.KINDS[s.kind], s.i, s.j) for s in r.spans]) for r in pii.find_pii(df).collect()}
+    assert got[len(texts)] == ([], [("phone", 5, 17)])
+    assert got[len(texts) + 1] == ([], [("email", 6, 29)])
+    assert [s for k in range(4, len(texts), 6) for s in got[k][1]] == [] == [s for k in range(5, len(texts), 6) for s in got[k][1]]
+    assert all(len(got[k][1]) == 1 for k in range(len(texts)) if k % 6 < 4)
+
+
 def test_boosting_adds_what_looks_alike():
     likely, unlikely = (16, 0, 1, 1, 1), (13, 0, 2, 1, 0)
     cells = [(2, half, x, p, n) for half in (0, 1) for x, p, n in ((likely, 970, 30), (unlikely, 5, 600))]
