@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -427,26 +429,30 @@ def r2(spark, d):
     return retrieval.lengths(s).join(n, "id", "left").select("id", "length", F.coalesce("distinct_terms", F.lit(0)).alias("distinct_terms"))
 
 
-def _scores(spark, d):
+#: The SQL of the search and packing queries cuts a query's text to so many terms. Their names with _whole search all of them and have no SQL.
+SQL_TERMS = 8
+
+
+def _scores(spark, d, most=None):
     s = _searchable(spark, d)
     held = tables.stored(retrieval.postings(s), "postings")
-    return tables.stored(retrieval.bm25(retrieval.query_terms(_asked(spark, d), 8), held, size=retrieval.size_of(held, s)), "scores")
+    return tables.stored(retrieval.bm25(retrieval.query_terms(_asked(spark, d), most), held, size=retrieval.size_of(held, s)), "scores")
 
 
 @query("r3_bm25_scores", f"WITH {_BM25} SELECT query_id, count(*) AS hits, max(score) // 1000 AS best FROM sc WHERE score > 0 GROUP BY 1")
-def r3(spark, d):
-    return _scores(spark, d).groupBy("query_id").agg(F.count("*").alias("hits"), F.floor(F.max("score") / 1000).alias("best"))
+def r3(spark, d, most=SQL_TERMS):
+    return _scores(spark, d, most).groupBy("query_id").agg(F.count("*").alias("hits"), F.floor(F.max("score") / 1000).alias("best"))
 
 
 @query("r4_bm25_topk", f"WITH {_BM25}, {_TOP.format(name='top', src='sc', k=10)} SELECT query_id, id, CAST(rank AS INT) AS rank, score // 1000 AS score FROM top")
-def r4(spark, d):
-    return retrieval.top(_scores(spark, d), 10).select("query_id", "id", "rank", F.floor(F.col("score") / 1000).alias("score"))
+def r4(spark, d, most=SQL_TERMS):
+    return retrieval.top(_scores(spark, d, most), 10).select("query_id", "id", "rank", F.floor(F.col("score") / 1000).alias("score"))
 
 
 @query("r5_stored_search", f"WITH {_BM25}, {_TOP.format(name='top', src='sc', k=5)} SELECT query_id, id, CAST(rank AS INT) AS rank, length(dx.t) AS chars FROM top JOIN dx USING (id)")
-def r5(spark, d):
+def r5(spark, d, most=SQL_TERMS):
     s = _searchable(spark, d)
-    return retrieval.top(_scores(spark, d), 5).join(s, "id").select("query_id", "id", "rank", F.length("text").cast("long").alias("chars"))
+    return retrieval.top(_scores(spark, d, most), 5).join(s, "id").select("query_id", "id", "rank", F.length("text").cast("long").alias("chars"))
 
 
 _DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
@@ -474,23 +480,23 @@ def r7(spark, d):
 _FUSED = f"{_BM25}, {_TOP.format(name='lx', src='sc', k=30)}, qv AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)), vh AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {_COS} AS score FROM qv q JOIN embeddings v ON v.vec_id <> q.vec_id), {_TOP.format(name='vx', src='vh', k=30).replace('WHERE score > 0', '')}, fu AS (SELECT query_id, id, CAST(sum(CAST(floor(1e9 / (60 + rank)) AS BIGINT)) AS BIGINT) AS score FROM (SELECT query_id, id, rank FROM lx UNION ALL SELECT query_id, id, rank FROM vx) GROUP BY 1, 2)"
 
 
-def _hybrid(spark, d):
+def _hybrid(spark, d, most=None):
     v, _ = _vectors(spark, d)
     asked = X.table(spark, d, "benchmark").select(F.col("item_id").alias("id"))
     q = v.join(asked, "id", "left_semi").select(F.col("id").alias("query_id"), "embedding")
-    lexical, vector = retrieval.top(_scores(spark, d), 30), retrieval.vector_search(q, v, 30)
+    lexical, vector = retrieval.top(_scores(spark, d, most), 30), retrieval.vector_search(q, v, 30)
     return lexical, vector
 
 
 @query("r8_rank_fusion", f"WITH {_FUSED} SELECT query_id, id, score FROM fu")
-def r8(spark, d):
-    parts = [r.select("query_id", "id", F.floor(F.lit(retrieval.UNIT) / (F.lit(60) + F.col("rank"))).cast("long").alias("s")) for r in _hybrid(spark, d)]
+def r8(spark, d, most=SQL_TERMS):
+    parts = [r.select("query_id", "id", F.floor(F.lit(retrieval.UNIT) / (F.lit(60) + F.col("rank"))).cast("long").alias("s")) for r in _hybrid(spark, d, most)]
     return parts[0].unionByName(parts[1]).groupBy("query_id", "id").agg(F.sum("s").alias("score"))
 
 
 @query("r9_hybrid_search", f"WITH {_FUSED}, {_TOP.format(name='top', src='fu', k=10)} SELECT query_id, id, CAST(rank AS INT) AS rank, score FROM top")
-def r9(spark, d):
-    return retrieval.fuse(list(_hybrid(spark, d)), 10).select("query_id", "id", "rank", "score")
+def r9(spark, d, most=SQL_TERMS):
+    return retrieval.fuse(list(_hybrid(spark, d, most)), 10).select("query_id", "id", "rank", "score")
 
 
 @query("r10_precision_at_k", f"WITH {_VEC}, {_TOP.format(name='top', src='vs', k=3).replace('WHERE score > 0', '')}, j AS (SELECT query_id, min(rank) FILTER (a.label = b.label) AS f FROM top JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = id GROUP BY 1) SELECT CAST(count(*) FILTER (f <= 1) AS DOUBLE) / count(*) AS p_at_1, CAST(count(*) FILTER (f <= 3) AS DOUBLE) / count(*) AS p_at_3, count(*) AS queries FROM j")
@@ -504,16 +510,16 @@ def r10(spark, d):
 _CHUNKED = f"""{Q.CHUNKS}, ct AS (SELECT id, path, s, e, t, tokens, {Q.terms("path || ' ' || t")} AS ts FROM chunks), dl AS (SELECT id, greatest(len(ts), 1) AS len FROM ct), pst AS (SELECT id, term, count(*) AS freq FROM (SELECT id, unnest(ts) AS term FROM ct) GROUP BY 1, 2), {_ASK}""" + _BM25.split(_ASK)[1]
 
 
-def _chunk_hits(spark, d, k):
+def _chunk_hits(spark, d, k, most=None):
     c = tables.stored(chunking.window_chunks(X.corpus(spark, d)), "chunks")
     held = tables.stored(retrieval.postings(c), "postings")
-    scores = retrieval.bm25(retrieval.query_terms(_asked(spark, d), 8), held, size=retrieval.size_of(held, c))
+    scores = retrieval.bm25(retrieval.query_terms(_asked(spark, d), most), held, size=retrieval.size_of(held, c))
     return c, tables.stored(retrieval.top(scores, k), "hits")
 
 
 @query("r11_search_suggestions", f"WITH RECURSIVE {_CHUNKED}, {_TOP.format(name='top', src='sc', k=5)} SELECT query_id, count(*) AS n, string_agg(path || ':' || CAST(s AS VARCHAR) || '-' || CAST(e AS VARCHAR), ' ' ORDER BY rank) AS citations FROM top JOIN chunks USING (id) GROUP BY 1")
-def r11(spark, d):
-    c, hits = _chunk_hits(spark, d, 5)
+def r11(spark, d, most=SQL_TERMS):
+    c, hits = _chunk_hits(spark, d, 5, most)
     s = retrieval.suggestions(hits, c)
     return s.select("query_id", "n", F.array_join(F.transform("hits", lambda h: h["citation"]), " ").alias("citations"))
 
@@ -538,16 +544,16 @@ pe AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, budget
 
 
 @query("p1_density_order", f"WITH RECURSIVE {_PACK0} SELECT query_id, md5(string_agg(id, ',' ORDER BY n)) AS ids FROM ph GROUP BY 1")
-def p1(spark, d):
-    c, hits = _chunk_hits(spark, d, 24)
+def p1(spark, d, most=SQL_TERMS):
+    c, hits = _chunk_hits(spark, d, 24, most)
     h = hits.join(c.select("id", "tokens"), "id").withColumn("score", F.col("score") / retrieval.UNIT)
     row = F.struct(*(x.alias(f"o{k}") for k, x in enumerate(packing.density_order(F.col("score"), F.col("tokens"), F.col("id")))))
     return h.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("r")).select("query_id", F.md5(F.array_join(F.transform("r", lambda x: x["o2"]), ",")).alias("ids"))
 
 
 @query("p2_overlap_ratio", f"WITH RECURSIVE {_PACK0} SELECT a.query_id, count(*) AS pairs, CAST(sum(CAST(floor(1e6 * greatest(0, least(a.e, b.e) - greatest(a.s, b.s) + 1) / CAST(b.e - b.s + 1 AS DOUBLE)) AS BIGINT)) AS BIGINT) AS overlap FROM ph a JOIN ph b ON a.query_id = b.query_id AND a.path = b.path AND a.n < b.n GROUP BY 1")
-def p2(spark, d):
-    c, hits = _chunk_hits(spark, d, 24)
+def p2(spark, d, most=SQL_TERMS):
+    c, hits = _chunk_hits(spark, d, 24, most)
     h = hits.join(c.select("id", "path", "start", "end", "tokens"), "id").withColumn("score", F.col("score") / retrieval.UNIT)
     order = Window.partitionBy("query_id").orderBy(*packing.density_order(F.col("score"), F.col("tokens"), F.col("id")))
     h = h.withColumn("n", F.row_number().over(order))
@@ -557,8 +563,8 @@ def p2(spark, d):
     return met.groupBy(F.col("a.query_id").alias("query_id")).agg(F.count("*").alias("pairs"), F.sum(micro(packing.overlap_ratio(F.col("b.start"), F.col("b.end"), ranges))).alias("overlap"))
 
 
-def _packed(spark, d, budgets, **how):
-    c, hits = _chunk_hits(spark, d, 24)
+def _packed(spark, d, budgets, most=None, **how):
+    c, hits = _chunk_hits(spark, d, 24, most)
     met = hits.select("query_id", "id", (F.col("score") / retrieval.UNIT).alias("score")).join(c, "id")
     met = met.withColumn("budget", F.explode(F.array(*map(F.lit, budgets)))).withColumn("query_id", F.struct("query_id", "budget"))
     out = packing.pack_hits(met, F.col("query_id.budget"), **how)
@@ -566,14 +572,14 @@ def _packed(spark, d, budgets, **how):
 
 
 @query("p3_pack", f"WITH RECURSIVE {_pack_sql('[2000]')} SELECT query_id, CAST(len(sel) AS BIGINT) AS sections, used, md5(array_to_string(list_sort(sel), ',')) AS ids FROM pe")
-def p3(spark, d):
-    p = _packed(spark, d, [2000])
+def p3(spark, d, most=SQL_TERMS):
+    p = _packed(spark, d, [2000], most)
     return p.select("query_id", F.size("sections").cast("long").alias("sections"), "used", F.md5(F.array_join(F.array_sort(F.transform("sections", lambda x: x["id"])), ",")).alias("ids"))
 
 
 @query("p4_section_overhead", f"WITH RECURSIVE {_PACK0} SELECT DISTINCT cite AS citation, frame AS overhead FROM ph")
-def p4(spark, d):
-    c, hits = _chunk_hits(spark, d, 24)
+def p4(spark, d, most=SQL_TERMS):
+    c, hits = _chunk_hits(spark, d, 24, most)
     x = chunking.cited(hits.select("id").distinct().join(c, "id"))
     return x.select("citation", packing.overhead(F.col("citation")).alias("overhead"))
 
@@ -592,13 +598,13 @@ def p6(spark, d):
 
 
 @query("p7_assembled", f"WITH RECURSIVE {_pack_sql('[2000]')}, ps AS (SELECT pe.query_id, string_agg('--- ' || cite || ' ---' || chr(10) || body, chr(10) || chr(10) ORDER BY path, cite) AS t FROM pe JOIN ph ON ph.query_id = pe.query_id AND list_contains(pe.sel, ph.id) GROUP BY 1), {Q.tokens('ps', 'pt')} SELECT query_id, tokens, md5(t) AS text FROM pt")
-def p7(spark, d):
-    return _packed(spark, d, [2000]).where(F.size("sections") > 0).select("query_id", "tokens", md5("text").alias("text"))
+def p7(spark, d, most=SQL_TERMS):
+    return _packed(spark, d, [2000], most).where(F.size("sections") > 0).select("query_id", "tokens", md5("text").alias("text"))
 
 
 @query("p8_manifest", f"WITH RECURSIVE {_pack_sql('[2000]')}, hc AS (SELECT query_id, count(*) AS c FROM ph GROUP BY 1) SELECT query_id, CAST(1 + len(sel) + least(10, c - len(sel)) + CASE WHEN c - len(sel) > 10 THEN 1 ELSE 0 END AS BIGINT) AS lines FROM pe JOIN hc USING (query_id)")
-def p8(spark, d):
-    m = packing.manifest(_packed(spark, d, [2000]))
+def p8(spark, d, most=SQL_TERMS):
+    m = packing.manifest(_packed(spark, d, [2000], most))
     return m.select("query_id", (K.newlines(F.col("manifest")) + 1).cast("long").alias("lines"))
 
 
@@ -638,8 +644,12 @@ def p11(spark, d):
 
 
 @query("p11_budget_adherence", f"WITH RECURSIVE {_pack_sql(str(list(BUDGETS)))} SELECT CAST(budget AS BIGINT) AS budget, count(*) AS packs, CAST(sum(used) AS BIGINT) AS used, CAST(sum(len(sel)) AS BIGINT) AS sections FROM pe GROUP BY 1")
-def p11b(spark, d):
-    return _packed(spark, d, BUDGETS).groupBy("budget").agg(F.count("*").alias("packs"), F.sum("used").alias("used"), F.sum(F.size("sections")).alias("sections"))
+def p11b(spark, d, most=SQL_TERMS):
+    return _packed(spark, d, BUDGETS, most).groupBy("budget").agg(F.count("*").alias("packs"), F.sum("used").alias("used"), F.sum(F.size("sections")).alias("sections"))
+
+
+for _name in "r3_bm25_scores r4_bm25_topk r5_stored_search r8_rank_fusion r9_hybrid_search r11_search_suggestions p1_density_order p2_overlap_ratio p3_pack p4_section_overhead p7_assembled p8_manifest p11_budget_adherence".split():
+    query(f"{_name}_whole")(partial(QUERIES[_name], most=None))
 
 
 # Offers

@@ -1,8 +1,12 @@
+import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from quillmeter.functions import text as T
 from quillmeter.operators import chunking, finops, governance, headroom, offers, packing, retrieval, scenarios, structure
+from quillmeter.plans.queries import QUERIES
 from quillmeter.schemas import ENVELOPE
 
 
@@ -72,6 +76,35 @@ def test_search_prefers_the_right_function(spark):
     assert got[1, 1] == "a" and got[2, 1] == "b" and not any(q == 3 for q, _ in got)
 
 
+def test_whole_queries_search_every_term(spark):
+    sf = "/root/testdata/sf0.001"
+    bag = lambda table, key: {r[0]: list(r[1]) for r in spark.read.parquet(f"{sf}/{table}.parquet").select(key, T.terms(F.col("text"))).collect()}
+    held, asked = bag("documents", "doc_id"), bag("benchmark", "item_id")
+    assert any(len(t) > 8 for t in asked.values())
+    mean, df = sum(max(len(t), 1) for t in held.values()) / len(held), Counter(x for t in held.values() for x in set(t))
+    want = {}
+    for q, words in asked.items():
+        scores = Counter()
+        for i, t in held.items():
+            tf = Counter(t)
+            for x in set(words) & set(tf):
+                idf = max(0.0, math.log(1 + (len(held) - df[x] + 0.5) / (df[x] + 0.5)))
+                scores[i] += math.floor(idf * tf[x] * 2.5 / (tf[x] + 1.5 * (0.25 + 0.75 * len(t) / mean)) * 1e9)
+        want |= {(q, k + 1): (i, n / 1000) for k, (i, n) in enumerate(sorted(((i, n) for i, n in scores.items() if n > 0), key=lambda x: (-x[1], x[0]))[:10])}
+    got = {(r.query_id, r.rank): (r.id, r.score) for r in QUERIES["r4_bm25_topk_whole"](spark, sf).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) <= 1.001 for k in want)
+
+
+def test_packs_find_late_terms(spark, tmp_path):
+    spark.createDataFrame([(1, "a zebra walks", "s"), (2, "nothing here", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "alpha bravo charlie delta echo foxtrot golf hotel india juliet zebra")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("p5_section_cap", "p3_pack_whole"):
+        assert [(r.query_id, r.sections) for r in QUERIES[name](spark, str(tmp_path)).collect()] == [(7, 1)]
+    assert [r.id for r in QUERIES["r5_stored_search_whole"](spark, str(tmp_path)).collect()] == [1]
+    assert [(r.band, r.sections) for r in QUERIES["p9_pack_query_under_pressure"](spark, str(tmp_path)).orderBy("band").collect()] == [("cool", 1), ("hot", 1)]
+
+
 def hit(id_, path, i, j, cost, score, symbol="", text="x"):
     return (1, id_, path, i, j, cost, symbol, "window", "", text, score)
 
