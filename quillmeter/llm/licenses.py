@@ -4,7 +4,10 @@ A template is found where a window holds at least 0.8 of its five-word shingles.
 towards that, so the scan keeps the shingles of the broadcast template set only (a lookup by hash in generated code, then the
 words are compared); most texts keep none. Windows of twice a template's length class, overlapping by half, hold any
 occurrence of a template whole. Each gets ``bands`` MinHash values, a band each; with one row a band and similarity s to a
-template, a window meets it with probability 1 - (1 - s) ** bands, above 0.9999 for s >= 0.25 and 32 bands.
+template, a window meets it with probability 1 - (1 - s) ** bands, above 0.9999 for s >= 0.25 and 32 bands. Templates of up to
+``direct`` words are few shingles among those of others, so s may be less: they are looked up by their shingles as well. Of n
+shingles, k of which must be there, any n - k + 1 hold one that is, so these are enough and none is missed. Above ``direct`` words
+there is one template here, whose windows hold no other's shingles.
 
 Edge cases: null and wordless texts match nothing; a template of fewer than five words is one shingle; overlapping matches are
 all reported; rows repeated in the input are repeated in the result; an empty table gives an empty result.
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-N, THRESHOLD, BANDS, BROADCAST_SHINGLES = 5, 0.8, 32, 1_000_000
+N, THRESHOLD, BANDS, DIRECT, BROADCAST_SHINGLES = 5, 0.8, 32, 32, 1_000_000
 
 #: Short notices of common licenses, as their texts give them.
 TEMPLATES = {
@@ -52,7 +55,7 @@ def minhashes(h, bands: int) -> list:
     return [F.xxhash64(F.lit(k), h) for k in range(bands)]
 
 
-def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, broadcast_shingles: int = BROADCAST_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, direct: int = DIRECT, broadcast_shingles: int = BROADCAST_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its id and matches, an array of (template, containment, start): the words of the best window and where it starts."""
     spark = docs.sparkSession
     known = common.stored(template_shingles(license_templates(spark) if templates is None else templates, n), "templates")
@@ -77,11 +80,15 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, n: int =
     block = F.floor(F.col("i") / F.col("scale")).cast("long")
     window = hits.select("id", "row", "h", "scale", F.explode(F.array(block - 1, block)).alias("win")).groupBy("id", "row", "scale", "win")
     window = window.agg(F.collect_set("h").alias("own"), *(F.min(x).alias(f"b{k}") for k, x in enumerate(minhashes(F.col("h"), bands))))
-    band_of = F.posexplode(F.array(*(f"b{k}" for k in range(bands)))).alias("band", "value")
+    probe_of = lambda band, value: F.struct(F.lit(band).alias("band"), value.alias("value"))
+    banded = F.array(*(probe_of(k, F.col(f"b{k}")) for k in range(bands)))
+    by_key = lambda keys: F.concat(banded, F.when(F.col("scale") <= direct, F.transform(keys, lambda h: probe_of(bands, h))).otherwise(F.array().cast("array<struct<band:int,value:bigint>>")))
+    own_keys, n_keys = F.col("own"), F.size("shingles")
+    needed = F.slice(F.array_sort("shingles"), 1, n_keys - F.ceil(n_keys * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1)
     bucket = single.groupBy("template", "scale").agg(F.collect_set("key").alias("shingles"), *(F.min(x).alias(f"b{k}") for k, x in enumerate(minhashes(F.col("key"), bands))))
-    bucket = bucket.select("template", F.col("scale").alias("tscale"), "shingles", band_of).withColumnRenamed("band", "tband").withColumnRenamed("value", "tvalue")
+    bucket = bucket.select("template", F.col("scale").alias("tscale"), "shingles", F.inline(by_key(needed))).withColumnRenamed("band", "tband").withColumnRenamed("value", "tvalue")
     bucket = common.small_side(common.stored(bucket, "template_bands"), broadcast_shingles)
-    found = window.select("id", "row", "scale", "win", "own", band_of).join(bucket, (F.col("scale") == F.col("tscale")) & (F.col("band") == F.col("tband")) & (F.col("value") == F.col("tvalue")))
+    found = window.select("id", "row", "scale", "win", "own", F.inline(by_key(own_keys))).join(bucket, (F.col("scale") == F.col("tscale")) & (F.col("band") == F.col("tband")) & (F.col("value") == F.col("tvalue")))
     inside = F.size(F.array_intersect("own", "shingles")) / F.size("shingles")
     found = found.withColumn("containment", inside).where(F.col("containment") >= threshold)
     best = found.groupBy("id", "row", "template").agg(F.min(F.struct((-F.col("containment")).alias("less"), F.greatest(F.col("win") * F.col("scale"), F.lit(0)).alias("start"))).alias("b"))

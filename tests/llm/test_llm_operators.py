@@ -221,6 +221,13 @@ def test_licenses(spark):
     assert licenses.scan_licenses(empty(df)).count() == 0
 
 
+def test_short_licenses_beside_others_without_bands(spark):
+    short = [k for k, v in licenses.TEMPLATES.items() if len(words(v)) <= licenses.DIRECT]
+    rows = [(f"{a} {b}", f"{licenses.TEMPLATES[a]} {licenses.TEMPLATES[b]}") for a, b in itertools.permutations(short, 2)]
+    got = {r.doc_id: {m.template for m in r.matches} for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string"), bands=1).collect()}
+    assert [k for k, found in got.items() if not set(k.split()) <= found] == []
+
+
 # 5
 
 
