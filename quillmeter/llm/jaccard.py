@@ -160,7 +160,7 @@ def verify_sets(h: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresh
 
 
 def verify(table: pa.Table, n: int, threshold: float) -> pa.Table:
-    """table: cluster, i, j, block, rep, cls, copies, labels, text. Per class: links in this pair of blocks, a root it is linked with, and the pairs met in one tree and in two."""
+    """table: cluster, i, j, block, rep, cls, copies, labels, text. Per class: links (by copies) and pairs (of classes, at one of the two) in this pair of blocks, a root it is linked with, and the pairs met in one tree and in two."""
     cluster, rep, block = table["cluster"].to_numpy(), table["rep"].to_numpy(zero_copy_only=False), table["block"].to_numpy()
     i, j, copies, cls = table["i"].to_numpy(), table["j"].to_numpy(), table["copies"].to_numpy(), table["cls"].to_pylist()
     labels = np.stack([np.asarray(x) for x in table["labels"].to_numpy(zero_copy_only=False)])
@@ -172,7 +172,7 @@ def verify(table: pa.Table, n: int, threshold: float) -> pa.Table:
                 h[at + first + r] = values[bounds[k] : bounds[k + 1]]
         at += len(piece)
     good = np.array([x is not None and set_name(x) == c for x, c in zip(h, cls, strict=True)])
-    links, root, once, twice = np.zeros(len(h), dtype=np.int64), rep.copy(), np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=np.int64)
+    root, (links, pairs, once, twice) = rep.copy(), np.zeros((4, len(h)), dtype=np.int64)
     order = np.argsort(cluster, kind="stable")
     cuts = np.flatnonzero(np.r_[True, np.diff(cluster[order]) != 0, True])
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -192,13 +192,20 @@ def verify(table: pa.Table, n: int, threshold: float) -> pa.Table:
             a, b = a[a < b], b[a < b]
         np.add.at(links, own[a], copies[own[b]])
         np.add.at(links, own[b], copies[own[a]])
+        np.add.at(pairs, own[a], 1)
         for part in range(0, len(a), 100_000):
             x, y = own[a[part : part + 100_000]], own[b[part : part + 100_000]]
             met = (labels[x] == labels[y]).sum(axis=1)
             np.add.at(once, x[met == 1], 1)
             np.add.at(twice, x[met == 2], 1)
         root[own] = rep[own][connected(len(own), a, b)]
-    return pa.table({"rep": pa.array(rep), "root": pa.array(root), "links": links, "once": once, "twice": twice}).filter(pa.array(good))
+    return pa.table({"rep": pa.array(rep), "root": pa.array(root), "links": links, "pairs": pairs, "once": once, "twice": twice}).filter(pa.array(good))
+
+
+def enough(once: int, twice: int, pairs: int, recall: float) -> bool:
+    """Whether the pairs of classes that were missed, estimated from those met in one tree and in two, leave that recall of all pairs."""
+    missed = once**2 / (2 * twice) if twice else once
+    return not pairs or missed <= (1 - recall) * (pairs + missed)
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,9 +222,8 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tree
         cluster = min_components(node_edges(classes), "clusters").withColumnRenamed("a", "rep")
         members = common.stored(classes.join(cluster, "rep").select("rep", "cls", "key", "copies", "labels", F.col("comp").alias("cluster")), "members")
         linked = common.stored(verified(keyed, members, n, threshold, block), "linked")
-        once, twice, found = linked.agg(F.sum("once"), F.sum("twice"), F.sum("links")).first()
-        missed = (once or 0) ** 2 / (2 * (twice or 0)) if twice else (once or 0)
-        if depth == 1 or not found or missed <= (1 - recall) * (found + missed):
+        once, twice, pairs = (x or 0 for x in linked.agg(F.sum("once"), F.sum("twice"), F.sum("pairs")).first())
+        if depth == 1 or enough(once, twice, pairs, recall):
             break
         depth -= 1
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -252,7 +258,7 @@ def verified(keyed: DataFrame, members: DataFrame, n: int, threshold: float, blo
     dealt = text.select("cluster", "block", "rep", "cls", "copies", "labels", "text", "blocks", F.inline(pair))
     pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(packs)).cast("long")).otherwise(F.xxhash64("cluster", "i", "j"))
     dealt = dealt.withColumn("pack", pack).drop("blocks")
-    return dealt.groupBy("pack", "i", "j").applyInArrow(lambda t: verify(t, n, threshold), "rep long, root long, links long, once long, twice long")
+    return dealt.groupBy("pack", "i", "j").applyInArrow(lambda t: verify(t, n, threshold), "rep long, root long, links long, pairs long, once long, twice long")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = 2_000_000, **how) -> DataFrame:

@@ -348,6 +348,17 @@ def test_jaccard_join(spark, awkward):
     assert jaccard.jaccard_join(empty(df)).count() == 0 and jaccard.one_of_each(empty(df)).count() == 0
 
 
+def test_stop_counts_pairs_of_classes():
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(61))]
+    h = [x for _, values, _, bounds in jaccard.text_sets(pa.array(texts), 5) for x in np.split(values, bounds[1:-1])]
+    one = {"cluster": [1, 1], "i": [0, 0], "j": [0, 0], "block": [0, 0], "rep": [1, 2], "cls": [jaccard.set_name(x) for x in h], "copies": [5000, 4000], "labels": [[1, 2], [1, 3]], "text": texts}
+    got = jaccard.verify(pa.table({k: pa.chunked_array([v]) for k, v in one.items()}), 5, 0.8)
+    assert sum(got["links"].to_pylist()) == 9000 and sum(got["pairs"].to_pylist()) == 1 and sum(got["once"].to_pylist()) == 1
+    assert not jaccard.enough(1, 0, 1, 0.999) and jaccard.enough(1, 500, 2000, 0.999) and jaccard.enough(0, 0, 0, 0.999)
+
+
 def test_depth():
     assert jaccard.depth_for(0.8, 24, 12, 0.999) == 6 and jaccard.depth_for(0.8, 1, 12, 0.999) == 1 and jaccard.depth_for(0.99, 24, 12, 0.9) == 12
 
