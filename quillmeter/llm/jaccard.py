@@ -14,7 +14,8 @@
 
 Edge cases: null and wordless texts have no shingles, no copies and no links, and are their own class; a text of fewer than n
 words is one shingle; equal rows are copies of each other; a null id is a document as any other, but can't name a class (the class
-id is the smallest id that isn't null); an empty table gives an empty result; other columns are ignored.
+id is the smallest id that isn't null); an empty table gives an empty result; other columns are ignored. ``one_of_each`` keeps a
+class's document with the smallest id, a null one last, then the smallest hash of its text.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def set_name(h: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
-    """docs: id, key, text. Per row: id, key, cls (name of its shingle set; null without words) and labels."""
+    """docs: id, key, text, mark. Per row: id, key, mark, cls (name of its shingle set; null without words) and labels."""
 
     def run(batches):
         for batch in batches:
@@ -93,10 +94,10 @@ def sketch(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
                 nodes = labels_of(signatures(h, bounds, trees * depth), trees, depth).astype(np.int64)
                 for k, r in enumerate(rows):
                     cls[first + r], labels[first + r] = set_name(h[bounds[k] : bounds[k + 1]]), nodes[k]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, pa.binary()), pa.array(labels, pa.list_(pa.int64()))], ["id", "key", "cls", "labels"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(cls, pa.binary()), pa.array(labels, pa.list_(pa.int64()))], ["id", "key", "mark", "cls", "labels"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, key string, cls binary, labels array<long>")
+    return docs.mapInArrow(run, f"id {kind}, key string, mark long, cls binary, labels array<long>")
 
 
 def min_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -210,13 +211,18 @@ def enough(once: int, twice: int, pairs: int, recall: float) -> bool:
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its id, class_id (smallest id connected with it by links), n_links (other documents at the threshold or above)."""
-    spark = docs.sparkSession
+    how = {"n": n, "threshold": threshold, "trees": trees, "max_depth": max_depth, "recall": recall, "block": block}
+    return joined_rows(docs, id_col, text_col, **how).select(F.col("id").alias(id_col), "class_id", "n_links")
+
+
+def joined_rows(docs: DataFrame, id_col: str, text_col: str, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """Per document: id, mark (hash of its text), class_id, n_links, and survivor, the first of its class: (without, id, mark); null without copies and links."""
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.sha2(F.col(text_col).cast("binary"), 256)))
-    keyed = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"))
+    keyed = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     depth = depth_for(threshold, trees, max_depth, recall)
     while True:
         rows = common.stored(sketch(keyed, n, trees, depth), "sketch")
-        by = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("key"), F.min("id").alias("id"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
+        by = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("key"), F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("without"), "id", "mark")).alias("first"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
         # A class's number follows from its name alone; a clash of two in 2 ** 64 would still be told apart by cls when verified.
         classes = common.stored(by.withColumn("rep", F.xxhash64("cls")), "classes")
         cluster = min_components(node_edges(classes), "clusters").withColumnRenamed("a", "rep")
@@ -229,19 +235,19 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tree
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = linked.where("rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b")).distinct()
     comp = min_components(roots, "roots").withColumnRenamed("a", "rep")
-    classes = classes.select("rep", "cls", "id", "copies").join(links, "rep", "left").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    classes = classes.select("rep", "cls", "id", "first", "copies").join(links, "rep", "left").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     classes = common.stored(classes, "joined")
-    smallest = classes.groupBy("comp").agg(F.min("id").alias("class_id"))
-    classes = classes.join(smallest, "comp").select("cls", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    smallest = classes.groupBy("comp").agg(F.min("id").alias("class_id"), F.min("first").alias("survivor"))
+    classes = classes.join(smallest, "comp").select("cls", "class_id", "survivor", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     classes = common.stored(classes, "classes")
     # A class of copies may hold a third of all rows: its rows are spread by a salt, and classes repeated for it where they have many copies.
     salts = 16
     many = F.col("n_links") >= 1000
     side = classes.withColumn("salt", F.explode(F.when(many, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.sequence(F.lit(0), F.lit(0)))))
     hot = common.small_side(common.stored(classes.where(many).select("cls"), "hot"), BROADCAST_IDS).withColumn("hot", F.lit(True))
-    rows = rows.select("id", "key", "cls").join(hot, "cls", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).otherwise(0))
+    rows = rows.select("id", "key", "mark", "cls").join(hot, "cls", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).otherwise(0))
     out = rows.join(side, ["cls", "salt"], "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("id", "mark", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "survivor")
 
 
 def verified(keyed: DataFrame, members: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
@@ -262,15 +268,19 @@ def verified(keyed: DataFrame, members: DataFrame, n: int, threshold: float, blo
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = 2_000_000, **how) -> DataFrame:
-    """docs without the documents that aren't the first of their class; equal rows of that one are kept once."""
-    found = common.stored(jaccard_join(docs, id_col=id_col, text_col=text_col, **how), "near")
-    gone = common.stored(found.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    kept = docs.join(common.small_side(gone, broadcast_ids), F.col(id_col) == F.col("_gone"), "left_anti")
-    return kept.dropDuplicates() if repeated(found, id_col) else kept
-
-
-def repeated(found: DataFrame, id_col: str) -> bool:
-    return not found.where("n_links > 0").groupBy(id_col).count().where("count > 1").isEmpty()
+    """docs without the documents that aren't the first of their class; rows with that one's id and text are kept once."""
+    found = common.stored(joined_rows(docs, id_col, text_col, **how).where("n_links > 0"), "near")
+    first = F.col("id").eqNullSafe(F.col("survivor.id")) & (F.col("mark") == F.col("survivor.mark"))
+    some = lambda rows, name: common.small_side(common.stored(rows.select(F.col("id").alias("_id"), F.col("mark").alias("_of")), name), broadcast_ids)
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of"))
+    kept = docs.withColumn("_mark", F.xxhash64(text_col)).join(some(found.where(~first).select("id", "mark").distinct(), "gone"), same, "left_anti")
+    again = found.where(first).groupBy("id", "mark").count().where("count > 1")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    again = some(again, "again")
+    row = F.struct(*docs.columns)
+    one = kept.join(again, same, "left_semi").groupBy(id_col, "_mark").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("_row"))
+    return kept.join(again, same, "left_anti").select(docs.columns).unionByName(one.select("_row.*"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -359,6 +359,19 @@ def test_stop_counts_pairs_of_classes():
     assert not jaccard.enough(1, 0, 1, 0.999) and jaccard.enough(1, 500, 2000, 0.999) and jaccard.enough(0, 0, 0, 0.999)
 
 
+def test_one_of_each_by_row(spark):
+    long = [f"w{k}" for k in range(80)]
+    near = lambda k: " ".join([*long[:k], "changed", *long[k + 1 :]])
+    other = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    rows = [(None, near(0), "a"), (None, near(79), "b"), (5, near(1), "a"), (None, other("x"), "a"), (None, other("x"), "b"), (None, other("x") + " y", "c"), (1, other("q"), "a"), (9, other("q"), "a"), (9, other("z"), "a"), (None, None, "a"), (None, None, "a"), (7, other("v"), "a"), (7, other("v"), "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    kept = [tuple(r) for r in jaccard.one_of_each(df).collect()]
+    assert sorted(i for i, *_ in kept if i is not None) == [1, 5, 7, 9]
+    assert (9, other("z"), "a") in kept and kept.count((None, None, "a")) == 2
+    assert len([t for i, t, _ in kept if i is None and t is not None]) == 1
+    assert sorted(map(repr, kept)) == sorted(repr(tuple(r)) for r in jaccard.one_of_each(df.repartition(2, "source")).collect())
+
+
 def test_depth():
     assert jaccard.depth_for(0.8, 24, 12, 0.999) == 6 and jaccard.depth_for(0.8, 1, 12, 0.999) == 1 and jaccard.depth_for(0.99, 24, 12, 0.9) == 12
 
