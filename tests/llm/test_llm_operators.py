@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -446,3 +447,47 @@ def test_em_finds_the_odd_labeller():
         counts[int(quality.encode(v[None])[0])] = counts.get(int(quality.encode(v[None])[0]), 0) + 1
     _, rates, prior = quality.weigh(counts)
     assert abs(prior - 0.8) < 0.05 and rates[0, 1] > 0.3 and rates[1:, 1].max() < 0.15 and rates[1:, 0].min() > 0.7
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    benchmark = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(20)) for _ in range(3)]
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(120).collect()]
+    rows += [(None, rows[0][1], "en", "x"), (5000, rows[1][1] + " more", "en", "x"), (5001, f"{rows[2][1]} {benchmark[0]}", "en", "y"), (5002, None, "en", "y")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(benchmark)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    bag = lambda df: sorted(repr((r.doc_id, r.text, r.source)) for r in df.collect())
+    steps, each = {}, {name: stage for name, stage in corpus_pipeline.STAGES}
+    before = held
+    for name, stage in each.items():
+        steps[name] = (before, stage(spark, before, str(tmp_path)).cache())
+        before = steps[name][1]
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert whole.columns == before.columns and sorted(map(repr, whole.collect())) == sorted(map(repr, before.collect()))
+
+    source, got = steps["quality classifier"]
+    keep = {(r.doc_id, r.keep) for r in quality.classify(source).collect()}
+    assert bag(got) == sorted(repr((d, t, s)) for d, t, _, s in rows if (d, True) in keep)
+
+    source, got = steps["n-gram Jaccard join"]
+    left = [(r.doc_id, r.text) for r in source.collect()]
+    grams = lambda t: {tuple(words(t)[k : k + 5]) for k in range(max(len(words(t)) - 5, 0) + 1)} if words(t) else set()
+    sets, comp = [grams(t) for _, t in left], list(range(len(left)))
+    for a, b in itertools.combinations(range(len(left)), 2):
+        if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            comp = [comp[a] if c == comp[b] else c for c in comp]
+    first = {c: min((k for k in range(len(left)) if comp[k] == c), key=lambda k: (left[k][0] is None, left[k][0] or 0)) for c in set(comp)}
+    assert sorted(repr((r.doc_id, r.text)) for r in got.collect()) == sorted(repr(left[k]) for k in first.values())
+
+    source, got = steps["benchmark decontamination"]
+    tens = lambda t: {tuple(words(t)[k : k + 10]) for k in range(len(words(t)) - 9)}
+    known = set().union(*map(tens, benchmark))
+    assert bag(got) == sorted(repr((r.doc_id, r.text, r.source)) for r in source.collect() if not tens(r.text) & known)
+
+    source, got = steps["mixing sources"]
+    assert set(bag(got)) <= set(bag(source)) and max(Counter(bag(got)).values()) <= 2
+    source, got = steps["sharding"]
+    assert bag(got) == bag(source) and set(got.columns) > set(source.columns)
