@@ -1013,6 +1013,11 @@ def f13(spark, d):
     return finops.decision_history(X.decisions(spark, d), "p", "7").select("decision_id", "decision")
 
 
+@query("f13_decision_history_whole")
+def f13b(spark, d):
+    return finops.decision_history(X.decisions(spark, d), "p").select("artifact_id", "decision_id", "decision")
+
+
 @query("f14_current_decisions", f"WITH {Q.LOG}, g AS (SELECT CAST(before AS VARCHAR) AS id FROM log WHERE event_type = 'purchase' AND before IS NOT NULL) SELECT change_id AS decision_id FROM log WHERE change_id NOT IN (SELECT id FROM g)")
 def f14(spark, d):
     return finops.current_decisions(X.decisions(spark, d)).select("decision_id")

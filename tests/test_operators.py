@@ -96,6 +96,13 @@ def test_whole_queries_search_every_term(spark):
     assert all(abs(got[k][1] - want[k][1]) <= 1.001 for k in want)
 
 
+def test_whole_decision_history(spark):
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["f13_decision_history_whole"](spark, sf).collect()
+    events = {(str(r.user_id), str(r.event_id), r.event_type) for r in spark.read.parquet(f"{sf}/events.parquet").collect()}
+    assert {tuple(r) for r in got} == events and len(got) == len(events) and len({r.artifact_id for r in got}) > 1
+
+
 def test_packs_find_late_terms(spark, tmp_path):
     spark.createDataFrame([(1, "a zebra walks", "s"), (2, "nothing here", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, "alpha bravo charlie delta echo foxtrot golf hotel india juliet zebra")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
