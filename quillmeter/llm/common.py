@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import tables
+from ..sources.tables import shared_dir  # noqa: F401
 
 #: What separates words, after A-Z are lower-cased; everything else belongs to a word.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -19,37 +19,61 @@ LOWERED_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine without it a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="quillmeter-"))
-    return spark.conf.get("spark.checkpoint.dir")
+#: Parquet bytes that a broadcast table may have; in memory it takes some times that.
+BROADCAST_BYTES = 16 << 20
+_made: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(tables.new_path(spark, name))
+    return _made[-1]
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written once as Parquet in the shared folder and read again: lineage ends here and survives lost executors."""
+def stored(df: DataFrame, name: str = "table", files: int | None = None) -> DataFrame:
+    """df written once as Parquet in the shared folder and read again: lineage ends here and survives lost executors.
+
+    files: at most so many, for tables whose size other things bound, instead of one for each shuffle partition.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes, at its end, the tables made meanwhile, but for those whose paths are in the list that it gives."""
+    first, kept = len(_made), []
+    try:
+        yield kept
+    finally:
+        for path in [p for p in _made[first:] if p not in kept]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _made[first:] = kept
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stored table. One that is a single file is dealt over the cores, as a file of one row group is read by one task."""
     path = f"{sf_dir}/{name}.parquet"
     return tables.spread(spark.read.parquet(path), path)
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """df marked for broadcast if it is counted to hold no more than rows; else as it is, for a shuffled join. df should be stored."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small_side(df: DataFrame, rows: int, size: int | None = None) -> DataFrame:
+    """df marked for broadcast if it holds no more than so many rows and bytes of Parquet; else as it is, for a shuffled join. df is a stored table."""
+    most = BROADCAST_BYTES if size is None else size
+    bytes_ = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if bytes_ <= most and df.limit(rows + 1).count() <= rows else df
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it none of df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
 
 
 def ascii_lower(text: Column) -> Column:
@@ -66,3 +90,12 @@ def words(text: Column) -> Column:
 def bag(found: Column, start: Column, n: int) -> Column:
     """A 64-bit hash of n words from position start (0-based), without copying them."""
     return F.xxhash64(*(F.get(found, start + k) for k in range(n)))
+
+
+def same_array(a: Column, b: Column) -> Column:
+    """Whether two arrays of a join are equal, looked at only for rows that agree in the join's keys.
+
+    Written as an equality it would be a key itself, built for every row; as a lambda it would break generated code in two, and
+    all rows that one text explodes to would wait between the halves, each with the whole text.
+    """
+    return (a >= b) & (a <= b)

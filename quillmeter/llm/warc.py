@@ -3,8 +3,13 @@
 ``write_archives`` writes one gzip stream for each task's records, as some crawlers do. ``normalise`` inflates each such file
 once, as a stream, writes every record again as a gzip member of its own and lists the members (offset, length, record) in a
 sidecar index beside the archive. ``read_records`` cuts each index into ranges of about ``range_bytes`` and reads these
-members in parallel, so a large archive is no single task. Files go through pyarrow's file systems, in the shared folder;
-a file is moved into place when it is whole, so a task that runs twice does no harm.
+members in parallel, so a large archive is no single task, and begins at a mark in the index near its range. Files go through
+pyarrow's file systems, in the shared folder; an attempt of a task has file names of its own, which are in its result only when
+it succeeds, so a task that runs twice does no harm.
+
+A response's block is an HTTP response, and its payload the body. Archives of other writers are read as well: without digests
+(they are computed), with any record ids, blocks that aren't HTTP, chunked bodies, and records of other types (warcinfo, request,
+metadata), which come back as such. The payload length of a foreign revisit is unknown, so null.
 
 Memory: a task holds one record and one read buffer, never a file.
 
@@ -30,7 +35,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import common
 
-FILE_BYTES, RANGE_BYTES, CHUNK, SALTS, BROADCAST_DIGESTS = 128 << 20, 16 << 20, 1 << 20, 16, 1_000_000
+FILE_BYTES, RANGE_BYTES, MARK, CHUNK, SALTS, BROADCAST_DIGESTS = 128 << 20, 16 << 20, 1 << 20, 1 << 20, 16, 1_000_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = StructType([StructField("record_id", StringType()), StructField("record_type", StringType()), StructField("uri", StringType()), StructField("refers_to", StringType()), StructField("payload_digest", StringType()), StructField("payload_bytes", LongType())])
 
@@ -39,16 +44,41 @@ def bare_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
 
+OWN_ID = "urn:record:"
+
+
 def record(rid: str | None, uri: str | None, payload: bytes, refers_to: str | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record; a revisit has no block."""
+    """One WARC/1.1 record; a response's block is an HTTP response, a revisit has none."""
     line = lambda s: s.replace("\r", " ").replace("\n", " ")
+    block = b"" if revisit else f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:record:{'' if rid is None else line(rid)}>", "WARC-Date: 1970-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{OWN_ID}{'' if rid is None else line(rid)}>", "WARC-Date: 1970-01-01T00:00:00Z",
         *([f"WARC-Target-URI: {line(uri)}"] if uri else []), f"WARC-Payload-Digest: sha1:{bare_digest(payload)}", f"X-Payload-Length: {len(payload)}",
-        *([f"WARC-Refers-To: <urn:record:{line(refers_to)}>", f"WARC-Profile: {REVISIT}"] if revisit and refers_to is not None else []),
-        "Content-Type: application/octet-stream", f"Content-Length: {0 if revisit else len(payload)}",
+        *([f"WARC-Refers-To: <{OWN_ID}{line(refers_to)}>", f"WARC-Profile: {REVISIT}"] if revisit and refers_to is not None else []),
+        "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + (b"" if revisit else payload) + b"\r\n\r\n"
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def body_of(block: bytes) -> bytes:
+    """The body of an HTTP message, its chunks joined; all of a block that is none."""
+    head, mark, body = block.partition(b"\r\n\r\n")
+    if not mark or not (head.startswith(b"HTTP/") or b" HTTP/" in head.partition(b"\r\n")[0]):
+        return block
+    lines = [x.partition(b":") for x in head.lower().split(b"\r\n")[1:]]
+    if not any(k.strip() == b"transfer-encoding" and v.strip().endswith(b"chunked") for k, _, v in lines):
+        return body
+    out, at = bytearray(), 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].partition(b";")[0], 16)
+        except ValueError:  # some crawlers keep the header of what they have joined
+            return body
+        if not size:
+            break
+        out += body[end + 2 : end + 2 + size]
+        at = end + 2 + size + 2
+    return bytes(out)
 
 
 class Stream:
@@ -104,15 +134,25 @@ def fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
 
 
+def bare_id(uri: str | None) -> str | None:
+    """A record's id without its brackets, and without the prefix that ``record`` gives it; null if nothing is left."""
+    return (uri or "").strip().removeprefix("<").removesuffix(">").removeprefix(OWN_ID) or None
+
+
 def parsed(data: bytes) -> tuple:
-    """The columns of RECORD; the payload digest and length of a response are checked against its block."""
+    """The columns of RECORD; a payload is checked against the digest and length that its record gives."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    f, bare = fields(head), lambda s: s[len("<urn:record:") : -1] if s else None
-    block = rest[: int(f["content-length"])]
-    digest = f["warc-payload-digest"].removeprefix("sha1:")
-    if f["warc-type"] == "response" and (bare_digest(block) != digest or len(block) != int(f["x-payload-length"])):
-        raise ValueError(f"{f['warc-record-id']}: its payload doesn't match its digest or length")
-    return bare(f["warc-record-id"]) or None, f["warc-type"], f.get("warc-target-uri"), bare(f.get("warc-refers-to")), digest, int(f["x-payload-length"])
+    f = fields(head)
+    kind, block, given = f.get("warc-type"), rest[: int(f["content-length"])], f.get("warc-payload-digest", "")
+    length = int(f["x-payload-length"]) if "x-payload-length" in f else None
+    digest = given.rpartition(":")[2] or None
+    if kind != "revisit":
+        payload = body_of(block) if "http" in f.get("content-type", "") else block
+        own = bare_digest(payload)
+        if given.startswith("sha1:") and len(digest) == len(own) and own != digest or length not in (None, len(payload)):
+            raise ValueError(f"{f.get('warc-record-id')}: its payload doesn't match its digest or length")
+        digest, length = own, len(payload)
+    return bare_id(f.get("warc-record-id")), kind, f.get("warc-target-uri"), bare_id(f.get("warc-refers-to")), digest, length
 
 
 class Writer:
@@ -146,8 +186,11 @@ def marked_revisits(pages: DataFrame, id_col: str, payload_col: str, salts: int
     rows = pages.select(F.col(id_col).alias("id"), (F.col("url") if "url" in pages.columns else F.lit(None)).cast("string").alias("uri"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     sha = F.concat(F.sha1(F.col("payload").cast("binary")), F.lit(":"), F.octet_length("payload"))
     first = rows.select("id", sha.alias("sha")).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-    first = common.stored(first, "warc_first").select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    first = common.small_side(first, BROADCAST_DIGESTS)
+    first = common.stored(first.hint("rebalance"), "warc_first")
+    if common.small_side(first, BROADCAST_DIGESTS) is not first:
+        first = F.broadcast(first)
+        return rows.withColumn("sha", sha).join(first, "sha", "left").select("id", "uri", "payload", "first")
+    first = first.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     rows = rows.withColumn("sha", sha).withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"), F.lit(0)))
     return rows.join(first, ["sha", "salt"], "left").select("id", "uri", "payload", "first")
 
@@ -158,7 +201,8 @@ def write_archives(marked: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, n, out, plain, count, done = TaskContext.get().partitionId(), 0, None, 0, 0, []
+        own = f"{TaskContext.get().partitionId():05d}-{TaskContext.get().taskAttemptId()}"
+        n, out, plain, count, done = 0, None, 0, 0, []
 
         def close():
             out.write(squeeze.flush())
@@ -167,7 +211,7 @@ def write_archives(marked: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
         for batch in batches:
             for rid, uri, payload, first in zip(*(c for c in map(lambda c: (x.as_py() for x in c), batch.columns)), strict=True):
                 if out is None:
-                    out, squeeze, plain, count = Writer(f"{folder}/part-{task:05d}-{n:03d}.warc.gz"), zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0
+                    out, squeeze, plain, count = Writer(f"{folder}/part-{own}-{n:03d}.warc.gz"), zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0
                 data = record(None if rid is None else str(rid), uri, payload.encode(), None if first is None else str(first), first is not None and first != rid)
                 out.write(squeeze.compress(data))
                 plain, count = plain + len(data), count + 1
@@ -183,45 +227,56 @@ def write_archives(marked: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
 
 
 def normalise(files: DataFrame) -> DataFrame:
-    """files: path, of WARC files as one gzip stream each (or many). Writes NAME.norm.warc.gz and its index NAME.norm.idx.jsonl.
+    """files: path, of WARC files as one gzip stream each (or many). Writes a NAME.norm.warc.gz and its index NAME.norm.idx.jsonl.
 
-    Returns a row per file: path, index, records, bytes.
+    Returns a row per file: path, index, records, bytes, and marks: the index's byte where the record at an offset stands, every ``MARK`` bytes.
     """
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        own = TaskContext.get().taskAttemptId()
         for batch in batches:
             done = []
             for path in batch.column(0).to_pylist():
                 fs, where = pafs.FileSystem.from_uri(path)
-                base = path.removesuffix(".warc.gz")
-                out, index, n = Writer(f"{base}.norm.warc.gz"), Writer(f"{base}.norm.idx.jsonl"), 0
+                base = f"{path.removesuffix('.gz').removesuffix('.warc')}-{own}"
+                out, index, n, marks = Writer(f"{base}.norm.warc.gz"), Writer(f"{base}.norm.idx.jsonl"), 0, []
                 with fs.open_input_stream(where, compression=None, buffer_size=CHUNK) as raw:
                     for data in Stream(raw).records():
                         f, at, n = fields(data.partition(b"\r\n\r\n")[0]), out.at, n + 1
+                        if not marks or at - marks[-1]["offset"] >= MARK:
+                            marks.append({"offset": at, "at": index.at})
                         out.write(gzip.compress(data, 6, mtime=0))
-                        entry = {"offset": at, "length": out.at - at, "type": f["warc-type"], "id": f["warc-record-id"], "digest": f.get("warc-payload-digest")}
+                        entry = {"offset": at, "length": out.at - at, "type": f.get("warc-type"), "id": f.get("warc-record-id"), "digest": f.get("warc-payload-digest")}
                         index.write(json.dumps(entry).encode() + b"\n")
-                done.append((out.close(), index.close(), n, out.at))
+                done.append((out.close(), index.close(), n, out.at, marks))
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], ["path", "index", "records", "bytes"])
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("offset", pa.int64()), ("at", pa.int64())]))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done, strict=True), kinds, strict=True)], ["path", "index", "records", "bytes", "marks"])
 
-    return files.select("path").mapInArrow(rewrite, "path string, index string, records long, bytes long")
+    return files.select("path").mapInArrow(rewrite, "path string, index string, records long, bytes long, marks array<struct<offset:long,at:long>>")
 
 
 def read_records(archives: DataFrame, range_bytes: int = RANGE_BYTES, parallel: int | None = None) -> DataFrame:
-    """archives: path, index, bytes. A row per record, found through the indexes: see RECORD."""
+    """archives: path, index, bytes, marks. A row per record, found through the indexes: see RECORD."""
     spark = archives.sparkSession
-    cut = archives.select("path", "index", F.explode(F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)).cast("long"), F.lit(range_bytes))).alias("start"))
-    cut = cut.withColumn("end", F.col("start") + range_bytes).repartition(parallel or int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "start")
+    cut = archives.select("path", "index", "marks", F.explode(F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)).cast("long"), F.lit(range_bytes))).alias("start"))
+    near = F.array_max(F.transform(F.filter("marks", lambda m: m["offset"] <= F.col("start")), lambda m: m["at"]))
+    cut = cut.select("path", "index", "start", (F.col("start") + range_bytes).alias("end"), F.coalesce(near, F.lit(0)).alias("from"))
+    cut = cut.repartition(parallel or int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, index, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, index, start, end, begin in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs, where = pafs.FileSystem.from_uri(path)
                 rows = []
-                with fs.open_input_file(where) as raw, fs.open_input_stream(pafs.FileSystem.from_uri(index)[1], compression=None, buffer_size=CHUNK) as lines:
+                with fs.open_input_file(where) as raw, fs.open_input_file(pafs.FileSystem.from_uri(index)[1]) as lines:
+                    lines.seek(begin)
                     for entry in map(json.loads, text_lines(lines)):
-                        if start <= entry["offset"] < end:
+                        if entry["offset"] >= end:
+                            break
+                        if entry["offset"] >= start:
                             raw.seek(entry["offset"])
                             rows.append(parsed(gzip.decompress(raw.read(entry["length"]))))
                 if rows:
@@ -244,7 +299,7 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: s
     spark = pages.sparkSession
     folder = common.new_path(spark, "warc")
     files = common.stored(write_archives(marked_revisits(pages, id_col, payload_col), folder), "warc_files")
-    done = common.stored(normalise(files.repartition(max(1, files.count()), F.col("path"))), "warc_index")
+    done = common.stored(normalise(files.repartitionByRange(max(1, files.count()), "path")), "warc_index")
     return read_records(done)
 
 
@@ -257,3 +312,11 @@ def op1(spark, sf_dir: str) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     back = archive_round_trip(pages)
     return back.select(typed_id(F.col("record_id"), kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", typed_id(F.col("refers_to"), kind).alias("refers_to"))
+
+
+_BASE32 = "".join(f" || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, {5 * k + 1}, 5) AS INT) >> {shift}) & 31) + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0))
+OP1_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha1(t) AS h, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, payload_bytes, ''{_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM h
+"""
