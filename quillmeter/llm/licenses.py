@@ -3,11 +3,13 @@
 A template is found where a window holds at least 0.8 of its five-word shingles. A shingle outside every template can't count
 towards that, so the scan keeps the shingles of the broadcast template set only (a lookup by hash in generated code, then the
 words are compared); most texts keep none. Windows of twice a template's length class, overlapping by half, hold any
-occurrence of a template whole. Each gets ``bands`` MinHash values, a band each; with one row a band and similarity s to a
-template, a window meets it with probability 1 - (1 - s) ** bands, above 0.9999 for s >= 0.25 and 32 bands. Templates of up to
-``direct`` words are few shingles among those of others, so s may be less: they are looked up by their shingles as well. Of n
-shingles, k of which must be there, any n - k + 1 hold one that is, so these are enough and none is missed. Above ``direct`` words
-there is one template here, whose windows hold no other's shingles.
+occurrence of a template whole.
+
+Each window gets MinHash values, one row a band. A template of n shingles in a class of windows of 2 * scale words has a
+similarity s of at least 0.8 n / (2 scale + 0.2 n) to a window that holds it, whatever else stands there, and is met with
+probability 1 - (1 - s) ** bands. The number of bands is derived from the smallest s of all templates so that this is at least
+``met`` (0.9999). Templates of up to ``direct`` words are looked up by their shingles instead: of n shingles, k of which must be
+there, any n - k + 1 hold one that is, so none is missed.
 
 Edge cases: null and wordless texts match nothing; a template of fewer than five words is one shingle; overlapping matches are
 all reported; rows repeated in the input are repeated in the result; an empty table gives an empty result.
@@ -15,14 +17,16 @@ all reported; rows repeated in the input are repeated in the result; an empty ta
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-N, THRESHOLD, BANDS, DIRECT, BROADCAST_SHINGLES = 5, 0.8, 32, 32, 1_000_000
+N, THRESHOLD, MET, DIRECT, BROADCAST_SHINGLES = 5, 0.8, 0.9999, 32, 1_000_000
 
-#: Short notices of common licenses, as their texts give them.
+#: Notices of common licenses and whole texts of short ones, as they are given.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": 'you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
@@ -35,6 +39,8 @@ TEMPLATES = {
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "MIT": "Released under the MIT License.",
     "MIT-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
+    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "ISC-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "reserved": "All rights reserved.",
 }
@@ -55,43 +61,60 @@ def minhashes(h, bands: int) -> list:
     return [F.xxhash64(F.lit(k), h) for k in range(bands)]
 
 
-def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, direct: int = DIRECT, broadcast_shingles: int = BROADCAST_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: its id and matches, an array of (template, containment, start): the words of the best window and where it starts."""
+def bands_for(shingles: int, scale: int, threshold: float = THRESHOLD, met: float = MET) -> int:
+    """Bands of one row with which a template is met by any window that holds it, with that probability."""
+    least = threshold * shingles / (2 * scale + (1 - threshold) * shingles)
+    return math.ceil(math.log(1 - met) / math.log(1 - least))
+
+
+def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, n: int = N, threshold: float = THRESHOLD, bands: int | None = None, direct: int = DIRECT, broadcast_shingles: int = BROADCAST_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: its id and matches, an array of (template, containment, start): of the window that holds most, and the first word of the match."""
     spark = docs.sparkSession
-    known = common.stored(template_shingles(license_templates(spark) if templates is None else templates, n), "templates")
+    known = common.stored(template_shingles(license_templates(spark) if templates is None else templates, n), "templates", files=8)
+    if bands is None:  # a row for each power of two, at most
+        classes = known.where(F.col("scale") > direct).groupBy("scale").agg(F.min(F.size("shingles")).alias("n")).collect()
+        bands = max((bands_for(r.n, r.scale, threshold) for r in classes), default=1)
     single = known.select("template", "scale", F.explode("shingles").alias("s"))
     m = F.size("s")
     key = F.coalesce(*(F.when(m == k, common.bag(F.col("s"), F.lit(0), k)) for k in range(n, 0, -1)))
-    single = common.stored(single.select("template", "scale", "s", m.alias("m"), key.alias("key")), "template_shingles")
+    single = common.stored(single.select("template", "scale", "s", m.alias("m"), key.alias("key")), "template_shingles", files=8)
     probe = single.groupBy("key", "m", "s").agg(F.sort_array(F.collect_set("scale")).alias("scales"))
+    probe = common.stored(probe, "template_probe", files=8)
     lengths = [r.m for r in single.select("m").distinct().orderBy(F.desc("m")).collect()] or [n]  # n numbers at most
+    side = common.small_side(probe, broadcast_shingles)
 
     text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col, F.reverse(text_col)).alias("row"), common.words(F.col(text_col)).alias("w"))
     at = text.select("id", "row", "w", F.explode(F.sequence(F.lit(-1), F.greatest(F.size("w") - min(lengths), F.lit(-1)))).alias("i"))
     each = F.array(*(F.struct(F.lit(k).alias("len"), F.when((F.col("i") >= 0) & (F.col("i") + k <= F.size("w")), common.bag(F.col("w"), F.col("i"), k)).alias("h")) for k in lengths))
     at = at.select("id", "row", "w", "i", F.inline(each)).where(F.col("h").isNotNull() | (F.col("i") < 0) & (F.col("len") == lengths[0]))
-    side = common.small_side(common.stored(probe, "template_probe"), broadcast_shingles)
-    met = at.join(side, (at.h == side.key) & (at.len == side.m) & (F.slice(at.w, F.greatest(at.i + 1, F.lit(1)), at.len) == side.s), "left").where(F.col("scales").isNotNull() | (F.col("i") < 0))
+    if side is probe:  # a shuffled row carries its shingle, not the text
+        at = at.withColumn("w", F.slice("w", F.greatest(F.col("i"), F.lit(0)) + 1, F.col("len"))).withColumn("from", F.lit(0))
+    else:
+        at = at.withColumn("from", F.greatest(F.col("i"), F.lit(0)))
+    met = at.join(side, (at.h == side.key) & (at.len == side.m) & common.same_array(F.slice("w", F.col("from") + 1, F.col("len")), F.col("s")), "left")
+    met = met.where(F.col("scales").isNotNull() | (F.col("i") < 0)).select("id", "row", "i", "h", "scales")
     own = F.col("i") < 0
     held = met.groupBy("id", "row").agg(F.count(F.when(own, 1)).alias("copies"), F.collect_list(F.when(~own, F.struct("i", "h", "scales"))).alias("hits"))
     held = common.stored(held, "license_hits")
 
     hits = held.where(F.size("hits") > 0).select("id", "row", F.inline("hits")).select("id", "row", "i", "h", F.explode("scales").alias("scale"))
     block = F.floor(F.col("i") / F.col("scale")).cast("long")
-    window = hits.select("id", "row", "h", "scale", F.explode(F.array(block - 1, block)).alias("win")).groupBy("id", "row", "scale", "win")
-    window = window.agg(F.collect_set("h").alias("own"), *(F.min(x).alias(f"b{k}") for k, x in enumerate(minhashes(F.col("h"), bands))))
+    window = hits.select("id", "row", "i", "h", "scale", F.explode(F.array(block - 1, block)).alias("win")).groupBy("id", "row", "scale", "win")
+    window = window.agg(F.collect_set(F.struct("i", "h")).alias("at"), *(F.min(x).alias(f"b{k}") for k, x in enumerate(minhashes(F.col("h"), bands))))
+    window = window.withColumn("own", F.array_distinct(F.transform("at", lambda x: x["h"])))
     probe_of = lambda band, value: F.struct(F.lit(band).alias("band"), value.alias("value"))
     banded = F.array(*(probe_of(k, F.col(f"b{k}")) for k in range(bands)))
-    by_key = lambda keys: F.concat(banded, F.when(F.col("scale") <= direct, F.transform(keys, lambda h: probe_of(bands, h))).otherwise(F.array().cast("array<struct<band:int,value:bigint>>")))
-    own_keys, n_keys = F.col("own"), F.size("shingles")
+    by_key = lambda keys: F.when(F.col("scale") <= direct, F.transform(keys, lambda h: probe_of(bands, h))).otherwise(banded)
+    n_keys = F.size("shingles")
     needed = F.slice(F.array_sort("shingles"), 1, n_keys - F.ceil(n_keys * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1)
     bucket = single.groupBy("template", "scale").agg(F.collect_set("key").alias("shingles"), *(F.min(x).alias(f"b{k}") for k, x in enumerate(minhashes(F.col("key"), bands))))
     bucket = bucket.select("template", F.col("scale").alias("tscale"), "shingles", F.inline(by_key(needed))).withColumnRenamed("band", "tband").withColumnRenamed("value", "tvalue")
-    bucket = common.small_side(common.stored(bucket, "template_bands"), broadcast_shingles)
-    found = window.select("id", "row", "scale", "win", "own", F.inline(by_key(own_keys))).join(bucket, (F.col("scale") == F.col("tscale")) & (F.col("band") == F.col("tband")) & (F.col("value") == F.col("tvalue")))
+    bucket = common.small_side(common.stored(bucket, "template_bands", files=8), broadcast_shingles)
+    found = window.select("id", "row", "scale", "win", "at", "own", F.inline(by_key(F.col("own")))).join(bucket, (F.col("scale") == F.col("tscale")) & (F.col("band") == F.col("tband")) & (F.col("value") == F.col("tvalue")))
     inside = F.size(F.array_intersect("own", "shingles")) / F.size("shingles")
     found = found.withColumn("containment", inside).where(F.col("containment") >= threshold)
-    best = found.groupBy("id", "row", "template").agg(F.min(F.struct((-F.col("containment")).alias("less"), F.greatest(F.col("win") * F.col("scale"), F.lit(0)).alias("start"))).alias("b"))
+    first = F.array_min(F.transform(F.filter("at", lambda x: F.array_contains("shingles", x["h"])), lambda x: x["i"]))
+    best = found.groupBy("id", "row", "template").agg(F.min(F.struct((-F.col("containment")).alias("less"), first.cast("long").alias("start"))).alias("b"))
     best = best.groupBy("id", "row").agg(F.array_sort(F.collect_list(F.struct("template", (-F.col("b.less")).alias("containment"), F.col("b.start").alias("start")))).alias("matches"))
     best = best.select(F.col("id").alias("i2"), F.col("row").alias("r2"), "matches")
     slim = held.select("id", "row", "copies")
