@@ -10,7 +10,7 @@ size, and the best of all shards remain, scored in double precision on the origi
 
 Shards hold about ``shard_rows`` vectors at most, and there are ``shards`` at least. Memory of a task: one shard and a block of queries.
 
-Edge cases: null and zero vectors and those with null or non-finite components take no part; vectors of another length than
+Edge cases: null and zero vectors and those with null or non-finite components take no part; doubles stay doubles, floats floats, and scores are in double precision; vectors of another length than
 the first are an error; equal scores are ordered by id; fewer candidates than k give fewer rows; repeated rows of an id count
 once; an empty table gives an empty result; other columns are ignored.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 
 K, EVERY, SHARDS, SHARD_ROWS, QUERY_BLOCK, LINKS, EF_BUILD, EF_SEARCH, BATCH = 20, 20, 6, 10000, 16384, 16, 48, 96, 256
-NODES = "shard int, node int, level int, vid long, vec array<float>, ids array<long>, near array<int>, upper array<int>"
+NODES = "shard int, node int, level int, vid long, vec {vec}, ids array<long>, near array<int>, upper array<int>"
 
 
 class Graph:
@@ -178,10 +178,16 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(flat), -1) if len(flat) else values.reshape(0, 0)
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """v for the graph: single precision, and no component beyond 1, so that doubles of any size fit. Order by inner product stays."""
+    most = np.abs(v).max(initial=0)
+    return (v.astype(np.float64) / (most or 1)).astype(np.float32)
+
+
 def build_shard(table: pa.Table, links: int, ef: int, batch: int) -> pa.Table:
     """table: shard, vid, vec, ids. The shard's graph as rows of NODES; upper holds the lists of levels 1 and up, one after the other."""
     table = table.take(pc.sort_indices(table, [("vid", "ascending")]))
-    v = matrix(table["vec"]).astype(np.float32)
+    v = scaled(matrix(table["vec"]))
     norm = (v.astype(np.float64) ** 2).sum(axis=1)
     rest = np.sqrt(np.maximum(norm.max(initial=0) - norm, 0)).astype(np.float32)
     levels = np.minimum(levels_of(table["vid"].to_numpy(), links), 8)
@@ -194,7 +200,7 @@ def build_shard(table: pa.Table, links: int, ef: int, batch: int) -> pa.Table:
 
 def load_shard(table: pa.Table, links: int) -> Graph:
     table = table.take(pc.sort_indices(table, [("node", "ascending")]))
-    v, levels = matrix(table["vec"]).astype(np.float32), table["level"].to_numpy()
+    v, levels = scaled(matrix(table["vec"])), table["level"].to_numpy()
     g = Graph(np.ascontiguousarray(np.concatenate([v, np.zeros((len(v), 1), dtype=np.float32)], axis=1)), levels, links)
     g.near[0][:] = matrix(table["near"])
     upper = table["upper"].combine_chunks()
@@ -220,8 +226,8 @@ def search_shard(nodes: pa.Table, queries: pa.Table, k: int, links: int, ef: int
         step = max(1, min(1024, (64 << 20) // max(1, len(v))))
         for part in range(0, len(q), step):
             some = q[part : part + step].astype(np.float64)
-            length = np.sqrt((some**2).sum(axis=1, keepdims=True))
-            unit = np.concatenate([some / length, np.zeros((len(some), 1))], axis=1).astype(np.float32)
+            unit = some / np.abs(some).max(axis=1, keepdims=True)
+            unit = np.concatenate([unit / np.sqrt((unit**2).sum(axis=1, keepdims=True)), np.zeros((len(some), 1))], axis=1).astype(np.float32)
             found = g.query(unit, max(ef, k + 1))
             for row, own in enumerate(found):
                 own = own[own >= 0]
@@ -240,7 +246,13 @@ def search_shard(nodes: pa.Table, queries: pa.Table, k: int, links: int, ef: int
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = F.col(vec_col)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<float>").alias("vec"))
+    return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), v.cast(exact(vectors, vec_col)).alias("vec"))
+
+
+def exact(vectors: DataFrame, vec_col: str) -> str:
+    """The type that holds the vectors as they are: of floats, or else of doubles."""
+    own = vectors.schema[vec_col].dataType.simpleString()
+    return own if own == "array<float>" else "array<double>"
 
 
 def build_index(vectors: DataFrame, k: int = K, shards: int = SHARDS, shard_rows: int = SHARD_ROWS, links: int = LINKS, ef: int = EF_BUILD, batch: int = BATCH, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -250,7 +262,7 @@ def build_index(vectors: DataFrame, k: int = K, shards: int = SHARDS, shard_rows
     one = common.stored(few.groupBy("vid", "vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
     count = max(shards, -(-one.count() // shard_rows))
     dealt = one.select(F.pmod(F.xxhash64("vid", F.lit(1)), F.lit(count)).cast("int").alias("shard"), "vid", "vec", "ids")
-    return common.stored(dealt.groupBy("shard").applyInArrow(lambda t: build_shard(t, links, ef, batch), NODES), "graphs")
+    return common.stored(dealt.groupBy("shard").applyInArrow(lambda t: build_shard(t, links, ef, batch), NODES.format(vec=exact(vectors, vec_col))), "graphs")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = K, links: int = LINKS, ef: int = EF_SEARCH, query_block: int = QUERY_BLOCK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -7,7 +7,7 @@
    at most, those with the smallest hashes of their ids. This is the only sample; everything else covers all documents.
 4. All documents are scored by the fitted weights.
 
-Each pass is numpy over the bytes of chunks of texts. No gold labels are used: the tests hold the result against them.
+Each pass is numpy over the bytes of chunks of texts; where rows become rows of a matrix, a chunk has ``ROWS`` of them at most. No gold labels are used: the tests hold the result against them.
 
 Edge cases: null, empty and wordless texts have nothing to vote on and are rejected with score 0; equal texts get equal scores; an
 empty table gives an empty result; if all votes agree, the posterior is that of the votes; other columns are ignored.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common, wordhash
 
-BUCKETS, SAMPLE, ROUNDS, STEPS, THRESHOLD = 2048, 4000, 60, 300, 0.5
+BUCKETS, SAMPLE, ROUNDS, STEPS, THRESHOLD, CHUNK, ROWS = 2048, 4000, 60, 300, 0.5, 1 << 18, 256
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#$%&*|<>{}[]\\^~=_@", dtype=np.uint8))
 LABELLERS = ("symbols", "capitals", "exclamations", "bars", "repeats", "variety", "word_length", "sentences", "glued")
 ABSTAIN, BAD, GOOD = 0, 1, 2
@@ -169,7 +169,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, thre
 
     def features(batches):
         for batch in batches:
-            for first, data, bounds in wordhash.chunks(batch.column(1), 1 << 18):
+            for first, data, bounds in wordhash.chunks(batch.column(1), CHUNK, ROWS):
                 v, count = votes(data, bounds)
                 x = hashed(data, bounds, buckets)
                 keep = np.flatnonzero(count > 0)
@@ -189,7 +189,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, thre
     def scores(batches):
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for first, data, bounds in wordhash.chunks(batch.column(1), 1 << 18):
+            for first, data, bounds in wordhash.chunks(batch.column(1), CHUNK, ROWS):
                 _, row, _, _ = wordhash.words(data, bounds)
                 full = np.bincount(row, minlength=len(bounds) - 1) > 0
                 out[first : first + len(full)] = np.where(full, 1 / (1 + np.exp(-(hashed(data, bounds, buckets) @ w32 + bias))), 0)
@@ -201,9 +201,11 @@ def classify(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, thre
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", broadcast_ids: int = 2_000_000, **how) -> DataFrame:
     """docs without the rejected ones. Rows that share an id stay if any of them is good."""
-    found = common.stored(classify(docs, id_col=id_col, **how), "quality")
-    bad = common.stored(found.groupBy(id_col).agg(F.max("keep").alias("keep")).where("NOT keep").select(F.col(id_col).alias("_bad")), "rejected")
-    return docs.join(common.small_side(bad, broadcast_ids), F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    found = classify(docs, id_col=id_col, **how)
+    (own,) = common.unused(docs, "_bad")
+    bad = found.groupBy(id_col).agg(F.max("keep").alias("keep")).where("NOT keep").select(F.col(id_col).alias(own))
+    bad = common.stored(bad.hint("rebalance"), "rejected")
+    return docs.join(common.small_side(bad, broadcast_ids), F.col(id_col).eqNullSafe(F.col(own)), "left_anti")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

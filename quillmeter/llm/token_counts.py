@@ -1,6 +1,6 @@
 """Token counts of whole texts: batch encoding in an Arrow function that returns lengths only.
 
-Texts are gathered into batches of about ``batch_bytes`` and cut at safe boundaries into units. A boundary is safe before a
+Texts are gathered into batches of about ``batch_bytes`` bytes, whatever batches Arrow brings them in, and cut at safe boundaries into units. A boundary is safe before a
 run of spaces that follows something else: pieces of the vocabulary hold the space mark at their front only (checked when the
 model is loaded), so no merge crosses there, and the counts of the units add up to the count of the text. Equal units are
 encoded once a batch, and short ones are remembered by the worker in a table of bounded size. Without such a vocabulary whole
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MODEL, LIMIT, BATCH_BYTES, CACHE, CACHED_CHARS = "piece_bpe_32k.model", 4096, 4_000_000, 400_000, 48
+MODEL, LIMIT, BATCH_BYTES, MOST_ROWS, CACHE, CACHED_CHARS = "piece_bpe_32k.model", 4096, 4_000_000, 50_000, 400_000, 48
 MARK = "▁"
 RUNS = re.compile(" +[^ ]*")
 
@@ -88,26 +88,39 @@ def pieces_of(text: str, size: int) -> Iterator[str]:
 
 def token_lengths(batches: Iterator[pa.RecordBatch], path: str, batch_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     counter = UnitCounter(path)
-    for batch in batches:
-        out, pending, owner, held = [0] * batch.num_rows, [], [], 0
+    waiting, pending, owner, held, rows = [], [], [], 0, 0  # waiting: batches of which some texts aren't counted yet
+
+    def flush():
+        for (out, k), n in zip(owner, counter.count(pending), strict=True):
+            out[k] += n
+        pending.clear()
+        owner.clear()
 
-        def flush():
-            for k, n in zip(owner, counter.count(pending), strict=True):
-                out[k] += n
-            pending.clear()
-            owner.clear()
+    def done():
+        for batch, out in waiting:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.int64())], ["id", "n_bytes", "n_tokens"])
+        waiting.clear()
 
+    for batch in batches:
+        out = [0] * batch.num_rows
         for k, value in enumerate(batch.column(1)):
             text = value.as_py() or ""
             for part in pieces_of(text, batch_bytes // 4) if counter.safe else [text]:
                 pending.append(part)
-                owner.append(k)
-                held += len(part)
+                owner.append((out, k))
+                held += len(part) if part.isascii() else len(part.encode())
                 if held >= batch_bytes:
                     flush()
-                    held = 0
-        flush()
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.int64())], ["id", "n_bytes", "n_tokens"])
+                    yield from done()
+                    held = rows = 0
+        waiting.append((batch, out))
+        rows += batch.num_rows
+        if rows >= MOST_ROWS:
+            flush()
+            yield from done()
+            held = rows = 0
+    flush()
+    yield from done()
 
 
 def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT, batch_bytes: int = BATCH_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -37,8 +37,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Consecutive rows of about size bytes: first row, the bytes, and where each row begins and the last ends."""
+def chunks(column: pa.Array, size: int = CHUNK, rows: int = 1 << 30) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Consecutive rows of about size bytes, so many rows at most: first row, the bytes, and where each row begins and the last ends."""
     column = column.cast(pa.large_string()).fill_null("")
     if not len(column):
         return
@@ -48,6 +48,7 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, np.ndarra
     first = 0
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
+        last = min(last, first + rows)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
@@ -88,9 +89,12 @@ def shingles(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
         out, rows = mix(total[whole]), row[: len(total)][whole]
         begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         size = np.diff(np.r_[begin, len(row)])
-        for at, m in zip(begin[size < n], size[size < n], strict=True):
-            out = np.append(out, mix((h[at : at + m] * factor[:m]).sum(dtype=np.uint64, keepdims=True) + np.uint64(m)))
-            rows = np.append(rows, row[at])
+        short = size < n
+        if short.any():
+            inside = np.repeat(short, size)
+            place = np.arange(len(h)) - np.repeat(begin, size)
+            sums = np.add.reduceat(h[inside] * factor[place[inside]], np.r_[0, np.cumsum(size[short])[:-1]])
+            out, rows = np.concatenate([out, mix(sums + size[short].astype(np.uint64))]), np.concatenate([rows, row[begin[short]]])
     return out, rows
 
 
