@@ -1,9 +1,9 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, probed by every token window.
 
-Each training text is scanned once. Every window of n words is hashed inside generated code and looked up in the
-broadcast n-grams by that 64-bit hash; each hit is then verified word by word. Only hits leave the scan, so the shuffle
-carries a row per document and per hit, never texts. The broadcast is counted first: beyond ``broadcast_grams`` n-grams the
-windows meet them in a shuffled join instead.
+Each training text is scanned once. Every window of n words is hashed inside generated code and looked up in the broadcast
+n-grams by that 64-bit hash and the window's length; only where both agree are the words compared, one by one. Only hits leave
+the scan, so the shuffle carries a row per document and per hit, never texts. The broadcast is bounded by rows and bytes: beyond
+``broadcast_grams`` n-grams the windows meet them in a shuffled join instead, each with its own n words only.
 
 Edge cases: null texts and texts without a word have no windows, and aren't contaminated; an item of fewer than n words is
 one window of its own length; an item without words is none; items with equal windows are all reported; rows repeated in the
@@ -33,8 +33,10 @@ def benchmark_grams(benchmark: DataFrame, n: int = N, id_col: str = "item_id", t
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """Per document: its id, n_words, n_hit, items (array of strings, sorted) and spans (arrays of first word and end, merged)."""
-    grams = common.stored(benchmark_grams(benchmark, n), "grams")
+    grams = common.stored(benchmark_grams(benchmark, n), "grams", files=8)
     lengths = [r.m for r in grams.select("m").distinct().orderBy(F.desc("m")).collect()] or [n]  # n numbers at most
+    side = common.small_side(grams, broadcast_grams)
+    wide = side is grams
     text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col, F.reverse(text_col)).alias("row"), common.words(F.col(text_col)).alias("w"))
     # The window that starts at -1 stands for the document itself.
     at = text.select("id", "row", "w", F.explode(F.sequence(F.lit(-1), F.greatest(F.size("w") - min(lengths), F.lit(-1)))).alias("i"))
@@ -44,13 +46,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col
     else:
         each = F.array(*(F.struct(F.lit(m).alias("len"), F.when(inside[m], common.bag(F.col("w"), F.col("i"), m)).alias("h")) for m in lengths))
         at = at.select("id", "row", "w", "i", F.inline(each)).where(F.col("h").isNotNull() | (F.col("i") < 0) & (F.col("len") == lengths[0]))
-    side = common.small_side(grams, broadcast_grams)
-    met = at.join(side, (at.h == side.key) & (at.len == side.m) & (F.slice(at.w, F.greatest(at.i + 1, F.lit(1)), at.len) == side.gram), "left")
+    at = at.withColumn("n_words", F.when(F.col("i") < 0, F.size("w")))
+    if wide:  # a shuffled row carries its window, not the text
+        at = at.withColumn("w", F.slice("w", F.greatest(F.col("i"), F.lit(0)) + 1, F.col("len"))).withColumn("from", F.lit(0))
+    else:
+        at = at.withColumn("from", F.greatest(F.col("i"), F.lit(0)))
+    met = at.join(side, (at.h == side.key) & (at.len == side.m) & common.same_array(F.slice("w", F.col("from") + 1, F.col("len")), F.col("gram")), "left")
     met = met.where(F.col("items").isNotNull() | (F.col("i") < 0))
+    met = met.select("id", "row", "i", "len", "n_words", "items")
     own = F.col("i") < 0
     by = met.groupBy("id", "row").agg(
         F.count(F.when(own, 1)).alias("copies"),
-        F.max(F.when(own, F.size("w"))).cast("long").alias("n_words"),
+        F.max("n_words").cast("long").alias("n_words"),
         F.array_sort(F.collect_set(F.when(~own, F.struct("i", (F.col("i") + F.col("len")).alias("j"))))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
@@ -72,16 +79,18 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, how: str = "docum
 
     The columns stay as they are. A document is known by its id; rows that share an id share its fate.
     """
+    hit, spans = common.unused(docs, "_hit", "_spans")
     found = find_contamination(docs, benchmark, n, id_col, text_col).where("n_hit > 0")
-    found = common.stored(found.groupBy(F.col(id_col).alias("_hit")).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("_spans")), "hits")
-    side = common.small_side(found, broadcast_ids)
+    known = F.col(id_col).eqNullSafe(F.col(hit))
     if how == "documents":
-        return docs.join(side.select("_hit"), F.col(id_col).eqNullSafe(F.col("_hit")), "left_anti")
-    joined = docs.join(side, F.col(id_col).eqNullSafe(F.col("_hit")), "left")
+        found = common.stored(found.select(F.col(id_col).alias(hit)).distinct(), "hits")
+        return docs.join(common.small_side(found, broadcast_ids), known, "left_anti")
+    found = common.stored(found.groupBy(F.col(id_col).alias(hit)).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias(spans)), "hits")
+    joined = docs.join(common.small_side(found, broadcast_ids), known, "left")
     any_case = common.WORD.replace(r"\x60", r"\x40\x5B-\x60")
     word, gap = F.regexp_extract_all(text_col, F.lit(any_case), F.lit(0)), F.split(text_col, any_case, -1)
-    kept = F.transform(word, lambda w, k: F.when(F.exists("_spans", lambda s: (s["i"] <= k) & (k < s["j"])), F.lit("")).otherwise(F.concat(w, F.get(gap, k + 1))))
-    cut = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.concat(F.get(gap, F.lit(0)), F.array_join(kept, "")))
+    kept = F.transform(word, lambda w, k: F.when(F.exists(spans, lambda s: (s["i"] <= k) & (k < s["j"])), F.lit("")).otherwise(F.concat(w, F.get(gap, k + 1))))
+    cut = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(F.concat(F.get(gap, F.lit(0)), F.array_join(kept, "")))
     return joined.withColumn(text_col, cut).select(*docs.columns)
 
 
