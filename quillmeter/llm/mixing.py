@@ -14,15 +14,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-TOKEN = r"[^\x20\x09-\x0D]+"
+SPACE = r"\x20\x09-\x0D"
 WEIGHTS, SHARE, MOST, BUCKETS, SEED = (5, 2, 1), 1.5, 2, 512, "mix"
 
 
+def count_tokens(text: Column) -> Column:
+    """How many runs of [^\\x20\\x09-\\x0D] a text has. Each run with the white space around it becomes one letter, so no array of words is made."""
+    runs = F.length(F.regexp_replace(text, rf"[{SPACE}]*+[^{SPACE}]++[{SPACE}]*+", "w"))
+    return F.when(text.rlike(f"[^{SPACE}]"), runs).otherwise(0).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """sizes: source, source_size. Adds target: water is poured over the sources by weight, and none holds more than most x its size.
 
@@ -43,15 +49,16 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, cut: str = "words", buckets: int = BUCKETS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per document: id, size, source_size, target, taken. cut="words" ends at the exact word; "documents" takes the last document whole if over half of it fits."""
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(TOKEN)).cast("long")
+    size = count_tokens(F.coalesce(F.col(text_col), F.lit("")))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
-    slim = common.stored(slim.withColumn("bucket", (F.conv(F.substring("key", 1, 4), 16, 10).cast("int") * buckets / 65536).cast("int")), "mix")
+    # A scan's tasks would each write a small file; the rows without their texts are packed into files of a useful size first.
+    slim = common.stored(slim.withColumn("bucket", (F.conv(F.substring("key", 1, 4), 16, 10).cast("int") * buckets / 65536).cast("int")).hint("rebalance"), "mix")
     totals = slim.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     offsets = totals.withColumn("offset", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     targets = source_targets(totals.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     known = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source")))
-    known = common.stored(known.select(F.col("o.source").alias("s"), F.col("bucket").alias("b"), "offset", "source_size", "target"), "mix_offsets")
+    known = common.stored(known.select(F.col("o.source").alias("s"), F.col("bucket").alias("b"), "offset", "source_size", "target"), "mix_offsets", files=8)
     place = Window.partitionBy("source", "bucket").orderBy("key", F.col("id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = slim.withColumn("before", F.coalesce(F.sum("size").over(place), F.lit(0)))
     side = common.small_side(known, 1_000_000)
@@ -65,11 +72,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", broadcast_ids: int = 2_000_000, **how) -> DataFrame:
     """The mix itself: every document as many times as it is taken, in whole documents; the columns of docs."""
-    mixed = common.stored(mix_sources(docs, cut="documents", id_col=id_col, **how).where("taken > 0"), "mixed")
-    times = mixed.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
-    side = common.small_side(common.stored(times, "times"), broadcast_ids)
-    joined = docs.join(side, F.col(id_col).eqNullSafe(F.col("_id")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).select(*docs.columns)
+    mixed = mix_sources(docs, cut="documents", id_col=id_col, **how).where("taken > 0")
+    own, times, time = common.unused(docs, "_id", "_times", "_time")
+    counted = mixed.groupBy(F.col(id_col).alias(own)).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias(times))
+    side = common.small_side(common.stored(counted.hint("rebalance"), "times"), broadcast_ids)
+    joined = docs.join(side, F.col(id_col).eqNullSafe(F.col(own)))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(time)).select(*docs.columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
