@@ -1,22 +1,28 @@
 """PII: high-recall generators propose overlapping spans, boosted trees score format and context, calibrated thresholds select.
 
-The generators of each kind are the base rule without its validation, and looser forms (an address spelled out with "(at)", a
-telephone number without a plus). Base spans, which pass their validation, are always redacted. They also teach the trees:
-a candidate's features are its form and what stands around it, never the validation itself, and its label is whether it is a
-base span. So where nearly all candidates of some form and context validate, one that doesn't (a mistyped card number) is
-redacted as well, and where few do, none is. A loose candidate's label is whether it is valid once it is normalised (see
-``valid_loose``); those that meet a base span, such as the inside of a number with a plus, are no examples.
+The generators of each kind are the base rule without its validation, and looser forms: an address spelled out with "(at)", a
+telephone number without a plus, and for secrets (keys, tokens, passwords), which have no base rule, runs of 20 or more key
+characters and values assigned to names like ``token``. Base spans, which pass their validation, are always redacted. What
+else is redacted is up to the trees. A candidate's features are its form and what stands around it. Its label is evidence
+that is not among them: a loose candidate is right if its normalised form is valid (``valid_loose``), one that fails its base
+rule (a mistyped card number) if the document holds a base span of its kind and, but for addresses of machines, of as many
+digits or one more or less. So the trees learn in which forms and contexts
+such candidates are right, and add those that stand in them, whether they have the evidence themselves or not.
+Loose candidates that meet a base span, such as the inside of a number with a plus, are no examples.
 
 All features are small integers, so the training set is a table of counts per combination, grouped over all documents; its
 size is bounded by the number of combinations, not by the documents. Trees of depth two are fitted to it by Newton boosting, and
-scored as CASE expressions. Half of the documents, by a hash of the text, train; on the other half each kind's
-threshold is set: the lowest score above which at least ``precision`` of the candidates are right, and none if there is none.
+scored as CASE expressions. Half of the documents, by a hash of the text, train, base spans being right examples among them; the
+other half sets each kind's threshold, on candidates that aren't base spans, as these are redacted anyway. Their scores are
+calibrated by isotonic regression (neighbouring scores are pooled until higher ones are right more often), and the threshold is
+the lowest score such that each pool above it is right in ``precision`` of its cases, and so are all of them together with one
+right and one wrong case added (Laplace's rule): a few cases prove nothing, at every size of a corpus.
 
 Offsets are code points. Candidates are found by regex inside each row; a text without the character that a kind needs isn't
 searched for it. Java's possessive groups loop without recursion, so long runs can't exhaust the stack.
 
 Edge cases: null is the empty text; equal rows give equal results; other columns are ignored; an empty table gives an empty
-result; a corpus without enough candidates (``least``), or with negative ones only, adds no span to the base ones.
+result; a kind whose candidates give no evidence, or are seldom right, adds no span to the base ones.
 """
 
 from __future__ import annotations
@@ -29,8 +35,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-KINDS = ("email", "ip", "card", "phone")
-ROUNDS, RATE, PRECISION, LEAST = 12, 0.5, 0.9, 30
+KINDS = ("email", "ip", "card", "phone", "secret")
+SECRET = KINDS.index("secret")
+ROUNDS, RATE, PRECISION = 12, 0.5, 0.9
 LOCAL = "[A-Za-z0-9._%+-]"
 #: The base rules. The look-behinds only skip starts that a match from further left would have covered.
 BASE = {
@@ -39,12 +46,15 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+NAMES = "secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key"
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[](?:dot|DOT)[)\]]) ?[A-Za-z0-9-]{1,63}){1,4}",
-    "phone": r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])",
+    "email": [r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[](?:dot|DOT)[)\]]) ?[A-Za-z0-9-]++)++"],
+    "phone": [r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])"],
+    "secret": [r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/-]{20,}+=*+(?![A-Za-z0-9_+/-])", rf"(?<=(?i:{NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)[^\s\"']{{6,}}+"],
 }
 NEEDS = {"email": "@", "phone": "+"}
-CUES = {"email": "mail|write|contact", "ip": "(?<![a-z])ip|host|server|addr", "card": "card|visa|pay|account", "phone": "phone|tel|call|fax|mobile"}
+LOOSE_NEEDS = {"email": [r"[(\[](?:at|AT)[)\]]"], "phone": ["[0-9]"], "secret": ["[A-Za-z0-9_+/-]{20}", rf"(?=[aApPsStT])(?i:{NAMES})[\"']?\s{{0,3}}[:=]"]}
+CUES = {"email": "mail|write|contact", "ip": "(?<![a-z])ip|host|server|addr", "card": "card|visa|pay|account", "phone": "phone|tel|call|fax|mobile", "secret": "secret|token|passw|pwd|key|bearer|auth"}
 AROUND = 24
 #: The form of a candidate from a loose generator is at least this.
 FROM_LOOSE = 5
@@ -81,8 +91,11 @@ def valid(kind: str, x: Column) -> Column:
 
 def valid_loose(kind: str, x: Column) -> Column:
     """Whether a loose candidate, written as its base rule wants it, is one: an address whose "(at)" and "(dot)" are replaced and
-    which ends in letters; a number that is national: an area code from 2 to 9 in groups of 3, 3 and 4, or a trunk 0 and 9 to 11 digits.
+    which ends in letters; a number that is national: an area code from 2 to 9 in groups of 3, 3 and 4, or a trunk 0 and 9 to 11 digits;
+    a secret that looks drawn at random, with letters and three groups of digits or more.
     """
+    if kind == "secret":
+        return (F.length(digits(x)) >= 4) & (F.length(F.regexp_replace(x, "[^A-Za-z]", "")) >= 2) & (F.regexp_count(x, F.lit("[0-9]+")) >= 3)
     if kind == "email":
         at = F.regexp_replace(x, r" ?[(\[](?:at|AT)[)\]] ?", "@")
         return F.regexp_replace(at, r" ?[(\[](?:dot|DOT)[)\]] ?", ".").rlike(rf"^{LOCAL}++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{{2,}}$")
@@ -94,9 +107,11 @@ def char_class(c: Column) -> Column:
     return F.when(c == "", 0).when(c.rlike(r"^\s"), 1).when(c.rlike(r"^\p{L}"), 2).when(c.rlike("^[0-9]"), 3).otherwise(4)
 
 
-def form_of(kind: str, x: Column, loose: bool) -> Column:
-    """0-4: how the candidate is written; 5-9: the same from a loose generator."""
-    if kind == "email":
+def form_of(kind: str, x: Column, loose: bool, which: int = 0) -> Column:
+    """0-4: how the candidate is written, or for secrets which generator proposed it; 5-9: the same from a loose generator."""
+    if kind == "secret":
+        form = F.lit(which)
+    elif kind == "email":
         form = F.when(F.length(x) > 40, 1).otherwise(0)
         if loose:
             form = F.when(x.rlike(r" \.|\. "), 3).when(x.rlike("dot|DOT"), 2).otherwise(form)
@@ -120,7 +135,7 @@ def found(text: Column, pattern: str) -> Column:
     return F.aggregate(F.arrays_zip(x.alias("x"), F.slice(gap, 1, F.size(x)).alias("gap")), start, step, lambda acc: acc["out"])
 
 
-def described(text: Column, kind: str, number: int, loose: bool):
+def described(text: Column, kind: str, number: int, loose: bool, which: int = 0):
     """A function from a match (i, j, x) to a CANDIDATE."""
 
     def make(m: Column) -> Column:
@@ -129,7 +144,7 @@ def described(text: Column, kind: str, number: int, loose: bool):
         return F.struct(
             F.lit(number).alias("kind"), m["i"].alias("i"), m["j"].alias("j"),
             (F.lit(False) if loose else valid(kind, m["x"])).alias("base"), (valid_loose if loose else valid)(kind, m["x"]).alias("ok"),
-            F.least(F.length(digits(m["x"])), F.lit(20)).alias("ndig"), form_of(kind, m["x"], loose).alias("form"),
+            F.least((F.length(m["x"]) / 4).cast("int") if kind == "secret" else F.length(digits(m["x"])), F.lit(20)).alias("ndig"), form_of(kind, m["x"], loose, which).alias("form"),
             char_class(F.substring(before, -1, 1)).alias("left"), char_class(after).alias("right"),
             F.when(F.lower(before).rlike(CUES[kind]), 1).otherwise(0).alias("cue"),
         )
@@ -141,16 +156,17 @@ def candidates(text: Column) -> Column:
     """All proposals of all generators: an array of CANDIDATE."""
     none, parts = F.array().cast(f"array<{CANDIDATE}>"), []
     for number, kind in enumerate(KINDS):
-        for pattern, loose in ((BASE[kind], False), (LOOSE.get(kind), True)):
-            if not pattern:
-                continue
-
-            need = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS and not loose else text.rlike("[(\\[](?:at|AT)[)\\]]") if kind == "email" else text.rlike("[0-9]")
-            parts.append(F.when(need, F.transform(found(text, pattern), described(text, kind, number, loose)).cast(f"array<{CANDIDATE}>")).otherwise(none))
+        loose = zip(LOOSE.get(kind, ()), LOOSE_NEEDS.get(kind, ()), strict=True)
+        ways = [(pattern, text.rlike(need), True, k) for k, (pattern, need) in enumerate(loose)]
+        if kind in BASE:
+            ways.append((BASE[kind], F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("[0-9]"), False, 0))
+        for pattern, need, is_loose, which in ways:
+            parts.append(F.when(need, F.transform(found(text, pattern), described(text, kind, number, is_loose, which)).cast(f"array<{CANDIDATE}>")).otherwise(none))
     return F.concat(*parts)
 
 
-FEATURES = ("ndig", "form", "left", "right", "cue")
+#: Of equally good cuts the first is taken: form and context before length.
+FEATURES = ("form", "cue", "left", "right", "ndig")
 
 
 def boost(rows: list[tuple[tuple[int, ...], int, int]], rounds: int = ROUNDS, rate: float = RATE) -> tuple[float, list]:
@@ -181,7 +197,7 @@ def boost(rows: list[tuple[tuple[int, ...], int, int]], rounds: int = ROUNDS, ra
             for cut in sorted(by)[:-1]:
                 g, h = g + by[cut][0], h + by[cut][1]
                 gain = g * g / (h + 1) + (total_g - g) ** 2 / (total_h - h + 1) - total_g**2 / (total_h + 1)
-                if gain > best[0] + 1e-12:
+                if gain > best[0] * (1 + 1e-9) + 1e-12:
                     best = (gain, (f, cut))
         if best[1] is None or not depth:
             value = leaf(total_g, total_h)
@@ -210,23 +226,42 @@ def tree_column(tree, x: list[Column]) -> Column:
     return F.when(x[tree[0]] <= tree[1], tree_column(tree[2], x)).otherwise(tree_column(tree[3], x))
 
 
-def fit(cells: list[tuple[int, int, tuple[int, ...], int, int]], precision: float = PRECISION, least: int = LEAST) -> dict[int, tuple[float, list, float]]:
-    """cells: kind, half, features, positives, negatives. By kind: the model's first score, trees and threshold; kinds without any are left out."""
+def threshold_of(scored: list[tuple[float, int, int]], precision: float) -> float | None:
+    """scored: score, right and wrong cases. The lowest score to redact, by pools of an isotonic fit; None if no score will do."""
+    bins: dict[float, list[int]] = {}
+    for score, p, n in scored:
+        cell = bins.setdefault(score, [0, 0])
+        cell[0], cell[1] = cell[0] + p, cell[1] + n
+    pools: list[list] = []  # lowest score, right, wrong; from the highest score down, right ever more seldom
+    for score in sorted(bins, reverse=True):
+        pools.append([score, *bins[score]])
+        while len(pools) > 1 and pools[-1][1] * (pools[-2][1] + pools[-2][2]) > pools[-2][1] * (pools[-1][1] + pools[-1][2]):
+            score_, p, n = pools.pop()
+            pools[-1] = [score_, pools[-1][1] + p, pools[-1][2] + n]
+    right = wrong = 0
+    threshold = None
+    for score, p, n in pools:
+        if p < precision * (p + n):
+            break
+        right, wrong = right + p, wrong + n
+        if right + 1 >= precision * (right + wrong + 2):
+            threshold = score
+    return threshold
+
+
+def fit(cells: list[tuple[int, int, tuple[int, ...], int, int]], precision: float = PRECISION, known: list[tuple[int, int, tuple[int, ...], int]] = ()) -> dict[int, tuple[float, list, float]]:
+    """cells: kind, half, features, right and wrong cases among the candidates that aren't base spans; known: kind, half, features and number of base spans.
+
+    By kind: the model's first score, trees and threshold; kinds without any are left out.
+    """
     models = {}
     for kind in range(len(KINDS)):
         halves = [[(x, p, n) for k, half, x, p, n in cells if (k, half) == (kind, want)] for want in (0, 1)]
-        if not halves[0]:
+        if not halves[0] or not halves[1]:
             continue
-        first, trees = boost(halves[0])
-        scored = sorted(((first + sum(tree_value(t, x) for t in trees), p, n) for x, p, n in halves[1]), reverse=True)
-        p = n = 0
-        threshold = None
-        for k, (score, a, b) in enumerate(scored):
-            p, n = p + a, n + b
-            if k + 1 < len(scored) and scored[k + 1][0] == score:
-                continue
-            if p + n >= least and p >= precision * (p + n):
-                threshold = score
+        first, trees = boost(halves[0] + [(x, n, 0) for k, half, x, n in known if (k, half) == (kind, 0)])
+        score = lambda x: first + sum(tree_value(t, x) for t in trees)  # noqa: B023, E731
+        threshold = threshold_of([(round(score(x), 9), p, n) for x, p, n in halves[1]], precision)
         if threshold is not None:
             models[kind] = (first, trees, threshold)
     return models
@@ -238,13 +273,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pr
     rows = docs.select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(text), F.lit(2)).cast("int").alias("half"), candidates(text).alias("c"))
     rows = common.stored(rows, "pii")
     span = lambda c: F.struct(c["kind"].alias("kind"), c["i"].alias("i"), c["j"].alias("j"))
-    free = lambda c: ~F.exists("base", lambda b: (b["i"] < c["j"]) & (c["i"] < b["j"]))
+    meets = lambda b, c: F.when(c["kind"] == SECRET, (b["i"] <= c["i"]) & (c["j"] <= b["j"])).otherwise((b["i"] < c["j"]) & (c["i"] < b["j"]))
+    free = lambda c: ~F.exists("base", lambda b: meets(b, c))
+    twin = lambda b, c: b["base"] & (b["kind"] == c["kind"]) & ((c["kind"] == KINDS.index("ip")) | (F.abs(b["ndig"] - c["ndig"]) <= 1))
+    right = lambda c: F.when(c["base"], True).when(c["form"] >= FROM_LOOSE, c["ok"]).otherwise(F.exists("c", lambda b: twin(b, c)))
     rows = rows.withColumn("base", F.array_sort(F.transform(F.filter("c", lambda c: c["base"]), span)))
-    one = rows.where(F.size("c") > 0).select("half", F.inline(F.filter("c", lambda c: (c["form"] < FROM_LOOSE) | free(c))))
-    counted = one.groupBy("kind", "half", *FEATURES).agg(F.count(F.when(F.col("ok"), 1)).alias("p"), F.count(F.when(~F.col("ok"), 1)).alias("n"))
-    # At most a row for each combination of features: 4 * 2 * 21 * 10 * 5 * 5 * 2, whatever the corpus.
-    cells = sorted((r.kind, r.half, tuple(r[f] for f in FEATURES), r.p, r.n) for r in counted.collect())
-    models = fit(cells, precision)
+    example = lambda c: F.struct(c["kind"].alias("kind"), c["base"].alias("known"), right(c).alias("good"), *(c[f].alias(f) for f in FEATURES))
+    one = rows.where(F.size("c") > 0).select("half", F.inline(F.transform(F.filter("c", lambda c: c["base"] | free(c)), example)))
+    counted = one.groupBy("kind", "half", "known", *FEATURES).agg(F.count(F.when(F.col("good"), 1)).alias("p"), F.count(F.when(~F.col("good"), 1)).alias("n"))
+    # At most a row for each combination of features: 5 * 2 * 2 * 21 * 10 * 5 * 5 * 2, whatever the corpus.
+    held = sorted((r.kind, r.half, r.known, tuple(r[f] for f in FEATURES), r.p, r.n) for r in counted.collect())
+    models = fit([(k, half, x, p, n) for k, half, known, x, p, n in held if not known], precision, [(k, half, x, p) for k, half, known, x, p, _ in held if known])
 
     def added(c):
         own = F.lit(False)
@@ -253,7 +292,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pr
             score = F.lit(first)
             for t in trees:
                 score = score + tree_column(t, x)
-            own = F.when(c["kind"] == kind, score >= threshold - 1e-9).otherwise(own)
+            own = F.when(c["kind"] == kind, score >= threshold - 1e-6).otherwise(own)
         return own
 
     more = F.transform(F.filter("c", lambda c: ~c["base"] & added(c) & free(c)), span)
@@ -282,5 +321,5 @@ def listed(spans: Column) -> Column:
 def op3(spark, sf_dir: str) -> DataFrame:
     done = find_pii(common.table(spark, sf_dir, "documents"))
     of_kind = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("long")
-    counts = [of_kind(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [of_kind(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS) if kind in BASE]
     return done.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
