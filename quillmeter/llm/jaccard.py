@@ -2,15 +2,21 @@
 
 1. Every text is hashed to its set of n-word shingles. Texts with equal sets are one class of copies, counted with map-side
    aggregation; one member stands for it from here on.
-2. Each class gets ``trees`` labels of up to ``max_depth`` MinHash values. In a tree, sorted labels form a prefix trie, and
-   classes under one node of some depth are candidates. The prefix starts at full length and is shortened until a pair at the
-   threshold itself meets in some tree with probability ``recall`` or more: 1 - (1 - t ** depth) ** trees. After
-   verification the share of pairs that were missed is estimated from how many linked pairs met in one tree only and in two
-   (Chao's estimator), and while that says less than ``recall``, the prefix is shortened further and the join repeated.
-3. Classes connected through nodes form clusters (minimum labels are passed along, table by table). Only classes in a cluster of
+2. Each class gets ``trees`` labels of ``max_depth`` MinHash digits, kept once. All labels are sorted, tree by tree, which is the
+   forest's tries laid flat: neighbours in that order share their longest prefixes. One pass over the sorted labels links each class
+   to the first one that shares as long a prefix as its neighbour does, with that length; so the links of at least d digits connect
+   exactly the classes under one node of depth d, for every d. The sort is by ranges of label and class, so that neither a common
+   label nor a large group is one task.
+3. The prefix starts at the greatest length at which a pair at the threshold itself meets in some tree with probability
+   ``recall`` or more: 1 - (1 - t ** depth) ** trees. After verification the share of pairs that were missed is estimated from how many
+   linked pairs met in one tree only and in two (Chao's estimator), and while that says less than ``recall``, the prefix is
+   shortened by a digit: shorter links are taken from the same table, and only the clusters that they join are verified again. At
+   ``floor_for`` digits a pair at the threshold is missed once in 10 ** 9, and nothing is left to shorten.
+4. Classes connected through nodes form clusters (minimum labels are passed along, table by table). Only classes in a cluster of
    two or more bring their texts along again. Clusters are verified exactly: small ones are packed together, large ones cut
    into blocks, each pair of blocks a task of bounded size. Blocks return a link count per class and links to one root per
-   component, never pairs; so no link is lost and none is written out.
+   component, never pairs; so no link is lost and none is written out. A cluster of m different texts takes (m / block) ** 2 / 2 such
+   tasks, since each link counts.
 
 Edge cases: null and wordless texts have no shingles, no copies and no links, and are their own class; a text of fewer than n
 words is one shingle; equal rows are copies of each other; a null id is a document as any other, but can't name a class (the class
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import common, wordhash
 
-N, THRESHOLD, TREES, MAX_DEPTH, RECALL, BLOCK, PACK = 5, 0.8, 24, 12, 0.999, 512, 400
+N, THRESHOLD, TREES, MAX_DEPTH, RECALL, MISSED, BLOCK, PACK = 5, 0.8, 24, 8, 0.999, 1e-9, 512, 400
 BROADCAST_IDS = 1_000_000
 
 
@@ -41,6 +47,11 @@ def depth_for(threshold: float, trees: int, max_depth: int, recall: float) -> in
     return depth
 
 
+def floor_for(threshold: float, trees: int, max_depth: int, missed: float = MISSED) -> int:
+    """The longest prefix, of one digit at least, with which a pair at the threshold is missed no more often than that."""
+    return depth_for(threshold, trees, max_depth, 1 - missed)
+
+
 def permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
     seeds = wordhash.mix(np.arange(1, 2 * count + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
     return seeds[:count].astype(np.uint32) | np.uint32(1), seeds[count:].astype(np.uint32)
@@ -59,12 +70,10 @@ def signatures(h: np.ndarray, bounds: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
-def labels_of(values: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """A 64-bit name for each tree's node of that depth: the prefix of its label, hashed."""
-    out = np.zeros((len(values), trees), dtype=np.uint64)
-    for d in range(depth):
-        out = wordhash.mix(out + values[:, d * trees : (d + 1) * trees].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    return out
+def labels_of(values: np.ndarray, trees: int) -> list[bytes]:
+    """Per set its trees' labels, one after the other: each a digit of two bytes for each of the set's values in that tree."""
+    digits = ((values * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(">u2")
+    return [x.tobytes() for x in digits.reshape(len(values), -1, trees).transpose(0, 2, 1)]
 
 
 def text_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -81,7 +90,7 @@ def set_name(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
-def sketch(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
+def sketch(docs: DataFrame, n: int, trees: int, max_depth: int) -> DataFrame:
     """docs: id, key, text, mark. Per row: id, key, mark, cls (name of its shingle set; null without words) and labels."""
 
     def run(batches):
@@ -91,39 +100,90 @@ def sketch(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
             for first, h, rows, bounds in text_sets(batch.column(2), n):
                 if not len(rows):
                     continue
-                nodes = labels_of(signatures(h, bounds, trees * depth), trees, depth).astype(np.int64)
+                own = labels_of(signatures(h, bounds, trees * max_depth), trees)
                 for k, r in enumerate(rows):
-                    cls[first + r], labels[first + r] = set_name(h[bounds[k] : bounds[k + 1]]), nodes[k]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(cls, pa.binary()), pa.array(labels, pa.list_(pa.int64()))], ["id", "key", "mark", "cls", "labels"])
+                    cls[first + r], labels[first + r] = set_name(h[bounds[k] : bounds[k + 1]]), own[k]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(cls, pa.binary()), pa.array(labels, pa.binary())], ["id", "key", "mark", "cls", "labels"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, key string, mark long, cls binary, labels array<long>")
+    return docs.mapInArrow(run, f"id {kind}, key string, mark long, cls binary, labels binary")
+
+
+class Trie:
+    """Reads (tree, label, rep) in sorted order and links each to the first that shares as long a prefix as the one before it does."""
+
+    def __init__(self, digits: int, least: int):
+        self.digits, self.least, self.tree, self.label = digits, least, -1, np.zeros(digits, dtype=np.uint16)
+        self.first = np.zeros(digits + 1, dtype=np.int64)  # by length: the first class with the prefix of that length that was read last
+
+    def read(self, tree: np.ndarray, label: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """label: (n, digits). Returns links: the earlier class, the later one, digits shared."""
+        before = np.concatenate([self.label[None], label[:-1]])
+        same = (label == before) & (tree == np.r_[self.tree, tree[:-1]])[:, None]
+        shared = np.logical_and.accumulate(same, axis=1).sum(axis=1)
+        root = np.zeros(len(rep), dtype=np.int64)
+        for size in range(1, self.digits + 1):
+            begin = np.maximum.accumulate(np.where(shared < size, np.arange(len(rep)), -1))
+            first = np.where(begin >= 0, rep[begin], self.first[size])
+            root = np.where(shared == size, first, root)
+            self.first[size] = first[-1]
+        self.tree, self.label = tree[-1], label[-1]
+        keep = shared >= self.least
+        return root[keep], rep[keep], shared[keep]
+
+
+def forest(classes: DataFrame, trees: int, max_depth: int, least: int) -> DataFrame:
+    """classes: rep, labels. Links a, b of shared digits, least or more: those of at least d connect just the classes under one node of depth d."""
+    width = 2 * max_depth
+    at = classes.select("rep", "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    at = at.select("tree", F.substring("labels", F.col("tree") * width + 1, F.lit(width)).alias("label"), "rep")
+    at = at.repartitionByRange("tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
+
+    def run(batches):
+        trie, last = Trie(max_depth, least), None
+        names = ["a", "b", "shared", "tree", "label"]
+        end = lambda row: pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), row[2], pa.array([None], pa.int32()), row[0], row[1]], names)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last is None:
+                yield end(batch.slice(0, 1).columns)
+            digits = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u2").reshape(-1, max_depth)
+            a, b, shared = trie.read(batch.column(0).to_numpy(), digits, batch.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared, pa.int32()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names)
+            last = batch.slice(batch.num_rows - 1, 1)
+        if last is not None:
+            yield end(last.columns)
+
+    read = common.stored(at.mapInArrow(run, "a long, b long, shared int, tree int, label binary"), "forest")
+    # Where a range ends and the next begins: two rows for each range, whatever is in it.
+    ends = sorted((r.tree, bytes(r.label), r.b) for r in read.where("a IS NULL").collect())
+    trie, over = Trie(max_depth, least), []
+    for tree, label, rep in ends:
+        a, b, shared = trie.read(np.array([tree]), np.frombuffer(label, dtype=">u2")[None], np.array([rep]))
+        over += [(int(x), int(y), int(k)) for x, y, k in zip(a, b, shared, strict=True) if x != y]
+    links = read.where("a IS NOT NULL").select("a", "b", "shared")
+    return links.union(classes.sparkSession.createDataFrame(over, "a long, b long, shared int")) if over else links
 
 
 def min_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """edges: a, b. Per a: comp, the smallest b or a that it is connected with. Labels are passed along and jumped over until none changes."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = common.stored(both, name)
-    comp = common.stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("comp")), name)
+    both = common.stored(both.hint("rebalance"), name)
+    files = max(8, both.count() // 500_000)
+    comp = common.stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("comp")), name, files)
     while True:
         near = both.join(comp.select(F.col("a").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
         step = comp.join(near, "a").select("a", F.least("comp", "m").alias("comp"), F.col("comp").alias("was"))
-        step = common.stored(step, name)
+        step = common.stored(step, name, files)
         jump = step.select(F.col("a").alias("comp"), F.col("comp").alias("further"))
         next_ = step.join(jump, "comp", "left").select("a", F.least("comp", "further").alias("comp"), "was")
-        next_ = common.stored(next_, name)
+        next_ = common.stored(next_, name, files)
         if next_.where("comp <> was").isEmpty():
             return next_.select("a", "comp")
         comp = next_.select("a", "comp")
 
 
-def node_edges(classes: DataFrame) -> DataFrame:
-    """classes: rep, labels. An edge (a, b) from each class to the smallest of each node that it shares, for nodes of two or more."""
-    at = classes.select("rep", F.posexplode("labels").alias("tree", "node"))
-    hub = at.groupBy("tree", "node").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("tree", "node", "a")
-    return at.join(hub, ["tree", "node"]).where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-
-
 def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest member of each of n members' components."""
     comp = np.arange(n)
@@ -209,29 +269,40 @@ def enough(once: int, twice: int, pairs: int, recall: float) -> bool:
     return not pairs or missed <= (1 - recall) * (pairs + missed)
 
 
-def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL, block: int = BLOCK, start: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its id, class_id (smallest id connected with it by links), n_links (other documents at the threshold or above)."""
-    how = {"n": n, "threshold": threshold, "trees": trees, "max_depth": max_depth, "recall": recall, "block": block}
+    how = {"n": n, "threshold": threshold, "trees": trees, "max_depth": max_depth, "recall": recall, "block": block, "start": start}
     return joined_rows(docs, id_col, text_col, **how).select(F.col("id").alias(id_col), "class_id", "n_links")
 
 
-def joined_rows(docs: DataFrame, id_col: str, text_col: str, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """Per document: id, mark (hash of its text), class_id, n_links, and survivor, the first of its class: (without, id, mark); null without copies and links."""
+def joined_rows(docs: DataFrame, id_col: str, text_col: str, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL, block: int = BLOCK, start: int | None = None) -> DataFrame:
+    """Per document: id, mark (hash of its text), class_id, n_links, and survivor, the first of its class: (without, id, mark); null without copies and links.
+
+    start: the length of the first prefix, if it isn't to follow from threshold, trees and recall.
+    """
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.sha2(F.col(text_col).cast("binary"), 256)))
     keyed = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
-    depth = depth_for(threshold, trees, max_depth, recall)
+    rows = common.stored(sketch(keyed, n, trees, max_depth), "sketch")
+    by = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("key"), F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("without"), "id", "mark")).alias("first"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
+    # A class's number follows from its name alone; a clash of two in 2 ** 64 would still be told apart by cls when verified.
+    classes = common.stored(by.withColumn("rep", F.xxhash64("cls")), "classes")
+    depth, floor = depth_for(threshold, trees, max_depth, recall) if start is None else start, floor_for(threshold, trees, max_depth)
+    edges = forest(classes, trees, max_depth, min(depth, floor))
+    linked = was = None
     while True:
-        rows = common.stored(sketch(keyed, n, trees, depth), "sketch")
-        by = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("key"), F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("without"), "id", "mark")).alias("first"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
-        # A class's number follows from its name alone; a clash of two in 2 ** 64 would still be told apart by cls when verified.
-        classes = common.stored(by.withColumn("rep", F.xxhash64("cls")), "classes")
-        cluster = min_components(node_edges(classes), "clusters").withColumnRenamed("a", "rep")
-        members = common.stored(classes.join(cluster, "rep").select("rep", "cls", "key", "copies", "labels", F.col("comp").alias("cluster")), "members")
-        linked = common.stored(verified(keyed, members, n, threshold, block), "linked")
+        cluster = min_components(edges.where(F.col("shared") >= depth), "clusters").select(F.col("a").alias("rep"), F.col("comp").alias("cluster"))
+        fresh = cluster
+        if was is not None:  # a cluster is verified again only if it was several
+            several = cluster.join(was, "rep", "left").groupBy("cluster").agg(F.min(F.coalesce("was", "rep")).alias("x"), F.max(F.coalesce("was", "rep")).alias("y")).where("x <> y").select("cluster")
+            fresh = cluster.join(common.small_side(common.stored(several, "joined_clusters", 8), BROADCAST_IDS), "cluster", "left_semi").select("rep", "cluster")
+        nodes = F.array(*(F.xxhash64(F.substring("labels", 2 * max_depth * t + 1, 2 * depth)) for t in range(trees)))
+        members = classes.join(fresh, "rep").select("rep", "cls", "key", "copies", nodes.alias("labels"), "cluster")
+        found = common.stored(verified(keyed, members, n, threshold, block), "linked")
+        linked = found if linked is None else common.stored(linked.join(fresh, "rep", "left_anti").unionByName(found), "linked")
         once, twice, pairs = (x or 0 for x in linked.agg(F.sum("once"), F.sum("twice"), F.sum("pairs")).first())
-        if depth == 1 or enough(once, twice, pairs, recall):
+        if depth <= floor or enough(once, twice, pairs, recall):
             break
-        depth -= 1
+        depth, was = depth - 1, cluster.select("rep", F.col("cluster").alias("was"))
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = linked.where("rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b")).distinct()
     comp = min_components(roots, "roots").withColumnRenamed("a", "rep")
@@ -252,10 +323,12 @@ def joined_rows(docs: DataFrame, id_col: str, text_col: str, n: int = N, thresho
 
 def verified(keyed: DataFrame, members: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
     """Sends the texts of clustered classes to tasks of bounded size, a pack of small clusters or a pair of blocks each."""
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    placed = members.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
-    placed = common.stored(placed, "placed")
+    # Only clusters of more than a block need their sizes; these are few, so that members of a large one aren't sent to one task.
+    large = members.groupBy("cluster").agg(F.count("*").alias("m")).where(F.col("m") > block)
+    large = common.small_side(common.stored(large, "large", 8), BROADCAST_IDS)
+    blocks = F.coalesce(F.ceil(F.col("m") / block).cast("int"), F.lit(1))
+    placed = members.join(large, "cluster", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
+    placed = common.stored(placed.hint("rebalance"), "placed")
     small = placed.where("blocks = 1").count()
     packs = max(1, small // PACK)
     side = common.small_side(placed, 200_000)
@@ -269,18 +342,19 @@ def verified(keyed: DataFrame, members: DataFrame, n: int, threshold: float, blo
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = 2_000_000, **how) -> DataFrame:
     """docs without the documents that aren't the first of their class; rows with that one's id and text are kept once."""
-    found = common.stored(joined_rows(docs, id_col, text_col, **how).where("n_links > 0"), "near")
+    found = common.stored(joined_rows(docs, id_col, text_col, **how).where("n_links > 0").hint("rebalance"), "near")
+    own, of, mark, whole = common.unused(docs, "_id", "_of", "_mark", "_row")
     first = F.col("id").eqNullSafe(F.col("survivor.id")) & (F.col("mark") == F.col("survivor.mark"))
-    some = lambda rows, name: common.small_side(common.stored(rows.select(F.col("id").alias("_id"), F.col("mark").alias("_of")), name), broadcast_ids)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of"))
-    kept = docs.withColumn("_mark", F.xxhash64(text_col)).join(some(found.where(~first).select("id", "mark").distinct(), "gone"), same, "left_anti")
+    some = lambda rows, name: common.small_side(common.stored(rows.select(F.col("id").alias(own), F.col("mark").alias(of)).hint("rebalance"), name), broadcast_ids)
+    same = F.col(id_col).eqNullSafe(F.col(own)) & (F.col(mark) == F.col(of))
+    kept = docs.withColumn(mark, F.xxhash64(text_col)).join(some(found.where(~first).select("id", "mark").distinct(), "gone"), same, "left_anti")
     again = found.where(first).groupBy("id", "mark").count().where("count > 1")
     if again.isEmpty():
         return kept.select(docs.columns)
     again = some(again, "again")
     row = F.struct(*docs.columns)
-    one = kept.join(again, same, "left_semi").groupBy(id_col, "_mark").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("_row"))
-    return kept.join(again, same, "left_anti").select(docs.columns).unionByName(one.select("_row.*"))
+    one = kept.join(again, same, "left_semi").groupBy(id_col, mark).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias(whole))
+    return kept.join(again, same, "left_anti").select(docs.columns).unionByName(one.select(f"{whole}.*"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
