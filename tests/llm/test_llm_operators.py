@@ -421,7 +421,7 @@ def test_neighbours_on_the_table(spark):
 # 10
 
 
-def test_quality_on_held_out_labels(spark):
+def test_quality_on_labels(spark):
     sf = "/root/testdata/sf0.1"
     got = quality.classify(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("keep", "quality").collect()
     good, bad = [r.keep for r in got if r.quality == 1], [r.keep for r in got if r.quality == 0]
