@@ -47,9 +47,19 @@ def temporary(spark: SparkSession) -> Iterator[list[str]]:
         yield kept
     finally:
         for path in [p for p in _made[first:] if p not in kept]:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        _made[first:] = kept
+            discard(spark, path)
+
+
+def last_path() -> str:
+    """Where the last table was written."""
+    return _made[-1]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing will read again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made[:] = [p for p in _made if p != path]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

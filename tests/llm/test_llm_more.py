@@ -294,7 +294,7 @@ def test_temporary_tables_go(spark):
 
     with common.temporary(spark) as kept:
         one, two = common.stored(spark.range(3), "one"), common.stored(spark.range(4), "two")
-        kept.append(common._made[-1])
+        kept.append(common.last_path())
     where = [Path(re.sub("^file:/*", "/", p.rsplit("/", 1)[0])) for p in (two.inputFiles()[0],)]
     assert two.count() == 4 and where[0].exists() and not Path(str(where[0]).replace("two-", "one-")).exists()
     with pytest.raises(Exception, match="."):
