@@ -1,4 +1,10 @@
-"""A corpus from raw documents to shards, in five stages; each one's result is written and read again for the next."""
+"""A corpus from raw documents to shards, in five stages; each one's result is written and read again for the next.
+
+Edge cases, by stage: null, empty and wordless texts are rejected by the classifier; of exact and near copies the document with the
+smallest id stays, a null id last; rows that repeat an id and its text are one document; an item without words contaminates nothing;
+a null source is a source, the last; a document taken twice by the mix stands twice; null ids share a shard. An empty table gives
+an empty corpus. Other columns are kept, whatever their names, but for ``slot`` and ``shard``, which the last stage sets.
+"""
 
 from __future__ import annotations
 
@@ -34,6 +40,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
+    held = []
     for _, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), "stage")
+        with common.temporary(spark) as kept:
+            docs = common.stored(stage(spark, docs, sf_dir), "stage")
+            kept.append(common.last_path())
+        held.append(kept[0])
+        if len(held) > 1:
+            common.discard(spark, held[-2])
     return docs
