@@ -5,7 +5,8 @@
 2. Each class gets ``trees`` labels of ``max_depth`` MinHash digits, kept once. All labels are sorted, tree by tree, which is the
    forest's tries laid flat: neighbours in that order share their longest prefixes. One pass over the sorted labels links each class
    to the first one that shares as long a prefix as its neighbour does, with that length; so the links of at least d digits connect
-   exactly the classes under one node of depth d, for every d. The sort is by ranges of label and class, so that neither a common
+   exactly the classes under one node of depth d, for every d up to the length that step 3 starts with; longer shared prefixes
+   count as that long, so that all classes of a node are linked to its first. The sort is by ranges of label and class, so that neither a common
    label nor a large group is one task.
 3. The prefix starts at the greatest length at which a pair at the threshold itself meets in some tree with probability
    ``recall`` or more: 1 - (1 - t ** depth) ** trees. After verification the share of pairs that were missed is estimated from how many
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from . import common, wordhash
 
 N, THRESHOLD, TREES, MAX_DEPTH, RECALL, MISSED, BLOCK, PACK = 5, 0.8, 24, 8, 0.999, 1e-9, 512, 400
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS, LABELS = 1_000_000, 300_000
 
 
 def depth_for(threshold: float, trees: int, max_depth: int, recall: float) -> int:
@@ -132,15 +133,15 @@ class Trie:
         return root[keep], rep[keep], shared[keep]
 
 
-def forest(classes: DataFrame, trees: int, max_depth: int, least: int) -> DataFrame:
-    """classes: rep, labels. Links a, b of shared digits, least or more: those of at least d connect just the classes under one node of depth d."""
+def forest(classes: DataFrame, trees: int, max_depth: int, least: int, most: int) -> DataFrame:
+    """classes: rep, labels. Links a, b of shared digits, from least to most: those of at least d connect just the classes under one node of depth d."""
     width = 2 * max_depth
     at = classes.select("rep", "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     at = at.select("tree", F.substring("labels", F.col("tree") * width + 1, F.lit(width)).alias("label"), "rep")
     at = at.repartitionByRange("tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
 
     def run(batches):
-        trie, last = Trie(max_depth, least), None
+        trie, last = Trie(most, least), None
         names = ["a", "b", "shared", "tree", "label"]
         end = lambda row: pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), row[2], pa.array([None], pa.int32()), row[0], row[1]], names)
         for batch in batches:
@@ -148,7 +149,7 @@ def forest(classes: DataFrame, trees: int, max_depth: int, least: int) -> DataFr
                 continue
             if last is None:
                 yield end(batch.slice(0, 1).columns)
-            digits = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u2").reshape(-1, max_depth)
+            digits = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u2").reshape(-1, max_depth)[:, :most]
             a, b, shared = trie.read(batch.column(0).to_numpy(), digits, batch.column(2).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared, pa.int32()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names)
             last = batch.slice(batch.num_rows - 1, 1)
@@ -158,9 +159,9 @@ def forest(classes: DataFrame, trees: int, max_depth: int, least: int) -> DataFr
     read = common.stored(at.mapInArrow(run, "a long, b long, shared int, tree int, label binary"), "forest")
     # Where a range ends and the next begins: two rows for each range, whatever is in it.
     ends = sorted((r.tree, bytes(r.label), r.b) for r in read.where("a IS NULL").collect())
-    trie, over = Trie(max_depth, least), []
+    trie, over = Trie(most, least), []
     for tree, label, rep in ends:
-        a, b, shared = trie.read(np.array([tree]), np.frombuffer(label, dtype=">u2")[None], np.array([rep]))
+        a, b, shared = trie.read(np.array([tree]), np.frombuffer(label, dtype=">u2")[None, :most], np.array([rep]))
         over += [(int(x), int(y), int(k)) for x, y, k in zip(a, b, shared, strict=True) if x != y]
     links = read.where("a IS NOT NULL").select("a", "b", "shared")
     return links.union(classes.sparkSession.createDataFrame(over, "a long, b long, shared int")) if over else links
@@ -171,13 +172,14 @@ def min_components(edges: DataFrame, name: str = "components") -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = common.stored(both.hint("rebalance"), name)
     files = max(8, both.count() // 500_000)
+    side = lambda df: common.small_side(df, LABELS)
     comp = common.stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("comp")), name, files)
     while True:
-        near = both.join(comp.select(F.col("a").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        step = comp.join(near, "a").select("a", F.least("comp", "m").alias("comp"), F.col("comp").alias("was"))
+        near = both.join(side(comp.select(F.col("a").alias("b"), "comp")), "b").groupBy("a").agg(F.min("comp").alias("m"))
+        step = near.join(side(comp), "a").select("a", F.least("comp", "m").alias("comp"), F.col("comp").alias("was"))
         step = common.stored(step, name, files)
         jump = step.select(F.col("a").alias("comp"), F.col("comp").alias("further"))
-        next_ = step.join(jump, "comp", "left").select("a", F.least("comp", "further").alias("comp"), "was")
+        next_ = step.join(side(jump), "comp", "left").select("a", F.least("comp", "further").alias("comp"), "was")
         next_ = common.stored(next_, name, files)
         if next_.where("comp <> was").isEmpty():
             return next_.select("a", "comp")
@@ -287,7 +289,7 @@ def joined_rows(docs: DataFrame, id_col: str, text_col: str, n: int = N, thresho
     # A class's number follows from its name alone; a clash of two in 2 ** 64 would still be told apart by cls when verified.
     classes = common.stored(by.withColumn("rep", F.xxhash64("cls")), "classes")
     depth, floor = depth_for(threshold, trees, max_depth, recall) if start is None else start, floor_for(threshold, trees, max_depth)
-    edges = forest(classes, trees, max_depth, min(depth, floor))
+    edges = forest(classes, trees, max_depth, min(depth, floor), depth)
     linked = was = None
     while True:
         cluster = min_components(edges.where(F.col("shared") >= depth), "clusters").select(F.col("a").alias("rep"), F.col("comp").alias("cluster"))
