@@ -154,9 +154,9 @@ def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = STEPS) -> tuple[np.nda
     for step in range(steps):
         beta = step / (step + 3)
         u, c = w + beta * (w - last), bias + beta * (bias - was)
-        miss = 1 / (1 + np.exp(-np.clip(x @ u + c, -50, 50))) - y
+        miss = 1 / (1 + np.exp(-np.clip(x @ u.astype(x.dtype) + c, -50, 50))) - y
         last, was = w, bias
-        w, bias = u - rate / 10 * (x.T @ miss / len(y) + 1e-5 * u), c - rate / 10 * miss.mean()
+        w, bias = u - rate / 10 * (x.T @ miss.astype(x.dtype) / len(y) + 1e-5 * u), c - rate / 10 * miss.mean()
     return w, float(bias)
 
 
@@ -180,7 +180,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, thre
     some = slim.withColumn("draw", drawn).where(F.pmod("draw", F.lit(1_000_000)) < share * 1_000_000).orderBy("draw", "id").limit(sample).select("id", "text")
     got = some.mapInArrow(features, f"id {kind}, y double, x binary").select("y", "x").toArrow()
     if got.num_rows:
-        x = np.frombuffer(b"".join(got["x"].to_pylist()), dtype=np.float32).reshape(-1, buckets).astype(np.float64)
+        x = np.concatenate([np.frombuffer(c.buffers()[2], dtype=np.float32)[c.offset * buckets : (c.offset + len(c)) * buckets] for c in got["x"].chunks]).reshape(-1, buckets)
         w, bias = fit_linear(x, got["y"].to_numpy())
     else:
         w, bias = np.zeros(buckets), 0.0
