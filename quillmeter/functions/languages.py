@@ -20,14 +20,14 @@ EXCLUDED_DIRS = (
 MAX_FILE_BYTES = 1_500_000
 #: What the first line of a script names, in this order.
 SHEBANGS = (("python", "python"), ("node", "javascript"), ("bash", "bash"), ("sh", "bash"))
-#: What gives a language away in a text without a telling name. W and S stand for word characters and white space.
+#: What gives a language away in a text without a telling name.
 SNIFFS = (
-    ("python", r"^S*(?:defS+W+S*\(|classS+W+[S(:]|fromS+[W.]+S+importS|importS+W)"),
-    ("typescript", r"^S*(?:exportS+(?:interface|type|class|const|function)\b|interfaceS+W+S*\{)"),
-    ("javascript", r"^S*(?:functionS+W+S*\(|constS+W+S*=S*(?:asyncS*)?\(|module\.exports\b)"),
-    ("go", r"^S*(?:packageS+W+|funcS+(?:\(W)?)"),
-    ("rust", r"^S*(?:pubS+)?(?:fnS+W+|structS+W+|implS+)"),
-    ("markdown", r"^#{1,6}S+[^S]"),
+    ("python", r"^\s*(?:def\s+\w+\s*\(|class\s+\w+[\s(:]|from\s+[\w.]+\s+import\s|import\s+\w)"),
+    ("typescript", r"^\s*(?:export\s+(?:interface|type|class|const|function)\b|interface\s+\w+\s*\{)"),
+    ("javascript", r"^\s*(?:function\s+\w+\s*\(|const\s+\w+\s*=\s*(?:async\s*)?\(|module\.exports\b)"),
+    ("go", r"^\s*(?:package\s+\w+|func\s+(?:\(\w)?)"),
+    ("rust", r"^\s*(?:pub\s+)?(?:fn\s+\w+|struct\s+\w+|impl\s+)"),
+    ("markdown", r"^#{1,6}\s+[^\s]"),
 )
 #: Declarations by language, the first that fits a line counts.
 DECLARATIONS = {

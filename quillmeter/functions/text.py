@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +32,32 @@ def terms(text: Column, split_identifiers: bool = True) -> Column:
     return F.filter(F.flatten(F.transform(raw, expand)), keep)
 
 
+class TermCounter:
+    """Counts the same terms of texts in Python; what a word gives is remembered, as most words come again."""
+
+    def __init__(self, most: int = 200_000):
+        self.word, self.parts, self.several = re.compile(WORD.replace(r"\p{Nd}", r"\d")), re.compile(PARTS), re.compile(r".+[A-Z_0-9]")
+        self.stop, self.known, self.most = frozenset(STOPWORDS), {}, most
+
+    def expand(self, word: str) -> tuple[str, ...]:
+        out = [word.lower()]
+        if self.several.match(word) and len(parts := self.parts.findall(word.replace("_", " "))) > 1:
+            out += [p.lower() for p in parts]
+        return tuple(t for t in out if len(t) > 1 and t not in self.stop)
+
+    def count(self, text: str) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for word, n in Counter(self.word.findall(text)).items():
+            terms_ = self.known.get(word)
+            if terms_ is None:
+                if len(self.known) >= self.most:
+                    self.known.clear()
+                terms_ = self.known[word] = self.expand(word)
+            for t in terms_:
+                out[t] = out.get(t, 0) + n
+        return out
+
+
 def citation(path: Column, start: Column, end: Column, symbol: Column | None = None) -> Column:
     place = F.concat(path, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
     return place if symbol is None else F.when(F.coalesce(symbol, F.lit("")) == "", place).otherwise(F.concat(place, F.lit(" ("), symbol, F.lit(")")))

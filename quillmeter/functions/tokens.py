@@ -10,8 +10,10 @@ DIVISORS = {"prose": 4.0, "markdown": 3.8, "mixed": 3.5, "code": 3.2, "json": 2.
 #: How a profile is told.
 SAMPLE, BASE64_LEAST, BASE64_SPACE, JSON_DENSITY, CODE_DENSITY, MIXED_DENSITY = 8192, 128, 0.02, 0.08, 0.045, 0.02
 ANSI = r"\x1b\[[0-9;?]*[ -/]*[@-~]"
-CODE_SIGNALS = r"[{}();=<>\[\]|&$#@]|=>|::|->"
-JSON_SIGNALS = r'["{}\[\]:,]'
+CODE_CHARACTERS = r"{}();=<>\[\]|&$#@"
+CODE_SIGNALS = rf"[{CODE_CHARACTERS}]|=>|::|->"
+JSON_CHARACTERS = r'"{}\[\]:,'
+JSON_SIGNALS = f"[{JSON_CHARACTERS}]"
 MARKDOWN = r"^(#{1,6} |```)"
 #: White space and line ends as Unicode text has them, spelled out because regex engines differ.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -35,19 +37,29 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
 
 
+def count_of(text: Column, characters: str) -> Column:
+    """How many of text's characters are in a class, by what is left without them: no array of matches is made."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{characters}]+", ""))
+
+
+def code_signals(text: Column) -> Column:
+    """How often CODE_SIGNALS matches: "=>" counts as two signs, "->" as its second one, "::" as one."""
+    return count_of(text, CODE_CHARACTERS) + ((F.length(text) - F.length(F.replace(text, F.lit("::"), F.lit("")))) / 2).cast("int")
+
+
 def profile_of(clean: Column) -> Column:
     """The content profile of a text without escape sequences."""
 
     def told(x):
         sample, body, spaces = x["sample"], x["body"], x["spaces"]
         size, length = F.length(sample), F.length(body)
-        encoded = (length - spaces > BASE64_LEAST) & (spaces / length < BASE64_SPACE) & (F.regexp_count(body, F.lit(f"[^A-Za-z0-9+/={SPACE}]")) == 0)
-        json = F.substring(body, 1, 1).isin("[", "{") & F.substring(body, -1, 1).isin("]", "}") & (F.regexp_count(sample, F.lit(JSON_SIGNALS)) / size > JSON_DENSITY)
-        density = F.regexp_count(sample, F.lit(CODE_SIGNALS)) / size
+        encoded = (length - spaces > BASE64_LEAST) & (spaces / length < BASE64_SPACE) & ~body.rlike(f"[^A-Za-z0-9+/={SPACE}]")
+        json = F.substring(body, 1, 1).isin("[", "{") & F.substring(body, -1, 1).isin("]", "}") & (count_of(sample, JSON_CHARACTERS) / size > JSON_DENSITY)
+        density = code_signals(sample) / size
         plain = bound(density, lambda d: F.when(d > CODE_DENSITY, "code").when(sample.rlike(f"(?md){MARKDOWN}"), "markdown").when(d > MIXED_DENSITY, "mixed").otherwise("prose"))
         return F.when(length == 0, "prose").when(encoded, "base64").when(json, "json").otherwise(plain)
 
-    count = lambda body: F.regexp_count(body, F.lit(f"[{SPACE}]"))
+    count = lambda body: count_of(body, SPACE)
     parts = lambda sample: bound(trimmed(sample), lambda body: F.struct(sample.alias("sample"), body.alias("body"), count(body).alias("spaces")))
     return bound(bound(F.substring(clean, 1, SAMPLE), parts), told)
 

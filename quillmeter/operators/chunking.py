@@ -2,52 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import tokens
 
-MAX_TOKENS, MIN_TOKENS, OVERLAP = 512, 24, 4
-
+MAX_TOKENS, MIN_TOKENS, OVERLAP, CUT_CHARS = 512, 24, 4, 4_000_000
 
-def window_ranges(costs: Column, most: int = MAX_TOKENS, overlap: int = OVERLAP) -> Column:
-    """costs of lines to an array of (i, j), half-open line ranges from 0. A window always takes its first line.
-
-    One pass over the lines carries the open window; closing one goes back overlap lines and may close again, so an inner loop of
-    overlap + 1 steps runs only where a window ends.
-    """
-    state = "struct<cur:int,used:bigint,out:array<struct<i:int,j:int>>>"
-    start = F.struct(F.lit(0), F.lit(0).cast("long"), F.array().cast("array<struct<i:int,j:int>>")).cast(state)
 
-    def step(acc, cost, at):
-        def close(a, _):
-            over = (a["cur"] < at) & (a["used"] + cost > most)
-            new = F.greatest(at - overlap, a["cur"] + 1)
-            gone = F.aggregate(F.slice(costs, a["cur"] + 1, new - a["cur"]), F.lit(0).cast("long"), lambda s, c: s + c)
-            closed = F.struct(new, a["used"] - gone, F.concat(a["out"], F.array(F.struct(a["cur"].alias("i"), at.alias("j"))))).cast(state)
-            return F.when(over, closed).otherwise(a)
+def line_cost(text: str) -> int:
+    """Tokens of text as code, by characters."""
+    if not text:
+        return 0
+    ends = text.count("\n")
+    return max(1, math.ceil((len(text) - ends) / tokens.DIVISORS["code"]) + ends)
 
-        add = lambda a: F.struct(a["cur"], a["used"] + cost, a["out"]).cast(state)
-        fits = (acc["cur"] == at) | (acc["used"] + cost <= most)
-        return F.when(fits, add(acc)).otherwise(F.transform(F.array(F.aggregate(F.sequence(F.lit(0), F.lit(overlap)), acc, close)), add)[0])
 
-    pairs = F.transform(costs, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    done = F.aggregate(pairs, start, lambda acc, x: step(acc, x["c"], x["i"]))
-    last = lambda d: F.concat(d["out"], F.array(F.struct(d["cur"].alias("i"), F.size(costs).alias("j"))))
-    return F.transform(F.array(done), last)[0]
+def line_windows(costs: list[int], most: int = MAX_TOKENS, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+    """Half-open line ranges from 0, in one pass. A window always takes its first line, and begins overlap lines before the end of the last."""
+    out, cur, end, used = [], 0, 0, 0
+    while cur < len(costs):
+        if end == cur:
+            end, used = cur + 1, costs[cur]
+        while end < len(costs) and used + costs[end] <= most:
+            used, end = used + costs[end], end + 1
+        out.append((cur, end))
+        if end == len(costs):
+            break
+        new = max(end - overlap, cur + 1)
+        used -= sum(costs[cur:new])
+        cur = new
+    return out
 
 
 def window_chunks(sources: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP, language: str = "text") -> DataFrame:
     """sources: path, text. A row per window: id, path, start, end (lines from 1), tokens, language, kind, text. Blank texts have none.
 
-    Lines are charged as code, as windows of sources are.
+    Lines are charged as code, as windows of sources are. Texts are cut in one Arrow pass, without a shuffle.
     """
-    lines = F.split("text", "\n", -1)
-    s = sources.where(F.regexp_count("text", F.lit(f"[^{tokens.SPACE}]")) > 0).select("path", lines.alias("lines"))
-    s = s.withColumn("costs", F.transform("lines", lambda x: tokens.estimate_tokens(x, "code") + 1))
-    s = s.select("path", "lines", F.explode(window_ranges(F.col("costs"), most, overlap)).alias("w"))
-    s = s.select("path", (F.col("w.i") + 1).alias("start"), F.col("w.j").alias("end"), F.array_join(F.slice("lines", F.col("w.i") + 1, F.col("w.j") - F.col("w.i")), "\n").alias("text"))
+    ansi = re.compile(tokens.ANSI)
+
+    def cut(batches):
+        for batch in batches:
+            out, held = ([], [], [], []), 0
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                lines = text.as_py().split("\n")
+                costs = [line_cost(ansi.sub("", x) if "\x1b" in x else x) + 1 for x in lines]
+                for i, j in line_windows(costs, most, overlap):
+                    for column, value in zip(out, (path, i + 1, j, "\n".join(lines[i:j])), strict=True):
+                        column.append(value)
+                    held += len(out[3][-1])
+                if held >= CUT_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["path", "start", "end", "text"])
+                    out, held = ([], [], [], []), 0
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["path", "start", "end", "text"])
+
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.string())
+    s = sources.where(F.col("text").rlike(f"[^{tokens.SPACE}]")).select("path", "text").mapInArrow(cut, "path string, start int, end int, text string")
     place = F.concat(F.lit("#"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))
     return s.select(F.concat("path", place).alias("id"), "path", "start", "end", tokens.estimate_tokens(F.col("text")).alias("tokens"), F.lit(language).alias("language"), F.lit(None).cast("string").alias("symbol"), F.lit("window").alias("kind"), F.lit("").alias("signature"), "text")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,24 +200,54 @@ def sessions(upserts: DataFrame) -> DataFrame:
 def budget_gate(requests: DataFrame) -> DataFrame:
     """requests: session_id, artifact_id, seq, estimated_cost_usd, actual_cost_usd, artifact_budget_usd, session_budget_usd; an artifact belongs to one session.
 
-    What a call may spend depends on the calls admitted before it, so each session is folded in order: a blocked call spends
-    nothing. Adds budget_reason, null where the call is admitted. The state is a sum per artifact and one for the session.
+    What a call may spend depends on the calls admitted before it, so each session is read in order: a blocked call spends
+    nothing. Adds budget_reason, null where the call is admitted. The state is a sum per artifact and one for the session, so a
+    session of any length is one pass over sorted rows.
+    """
+
+    def start():
+        spent, by = 0.0, {}
+
+        def step(x):
+            nonlocal spent
+            own, cost = by.get(x["artifact_id"], 0.0), x["estimated_cost_usd"]
+            if None not in (cost, x["artifact_budget_usd"]) and own + cost > x["artifact_budget_usd"]:
+                why = "ARTIFACT_BUDGET_EXCEEDED"
+            elif None not in (cost, x["session_budget_usd"]) and spent + cost > x["session_budget_usd"]:
+                why = "SESSION_BUDGET_EXCEEDED"
+            else:
+                why, actual = None, x["actual_cost_usd"] or 0.0
+                spent, by[x["artifact_id"]] = spent + actual, own + actual
+            return {"artifact_id": x["artifact_id"], "seq": x["seq"], "budget_reason": why}
+
+        return step
+
+    order = ["seq", "artifact_id", "estimated_cost_usd", "actual_cost_usd", "artifact_budget_usd", "session_budget_usd"]
+    return folded(requests, order, start, "artifact_id string, seq long, budget_reason string")
+
+
+def folded(requests: DataFrame, order: list[str], start, schema: str) -> DataFrame:
+    """A row for each row of a session, read in order by a step that start() makes for each session: session_id and schema's columns.
+
+    Rows are sorted on disk and streamed, so a session's length is no matter of memory.
     """
-    row = F.struct("seq", "artifact_id", "estimated_cost_usd", "actual_cost_usd", "artifact_budget_usd", "session_budget_usd")
-    by = requests.groupBy("session_id").agg(F.array_sort(F.collect_list(row)).alias("r"))
-    out = "array<struct<seq:bigint,artifact:string,reason:string>>"
-    state = f"struct<spent:double,by:map<string,double>,out:{out}>"
-    empty = F.create_map().cast("map<string,double>")
+    names = [x.split()[0] for x in schema.split(", ")]
+    rows = requests.select("session_id", *order).repartition("session_id").sortWithinPartitions("session_id", *order)
+    schema = f"session_id {requests.schema['session_id'].dataType.simpleString()}, {schema}"
 
-    def step(acc, x):
-        own = F.coalesce(F.try_element_at(acc["by"], x["artifact_id"]), F.lit(0.0))
-        why = F.when(own + x["estimated_cost_usd"] > x["artifact_budget_usd"], "ARTIFACT_BUDGET_EXCEEDED").when(acc["spent"] + x["estimated_cost_usd"] > x["session_budget_usd"], "SESSION_BUDGET_EXCEEDED")
-        cost = F.when(why.isNull(), F.coalesce(x["actual_cost_usd"], F.lit(0.0))).otherwise(0.0)
-        rest = F.map_filter(acc["by"], lambda k, _: k != x["artifact_id"])
-        return F.struct(acc["spent"] + cost, F.map_concat(rest, F.create_map(x["artifact_id"], own + cost)), F.concat(acc["out"], F.array(F.struct(x["seq"], x["artifact_id"], why)).cast(out))).cast(state)
+    def run(batches):
+        own, step, kinds = None, None, None
+        for batch in batches:
+            if kinds is None:
+                kinds = pa.schema([pa.field("session_id", batch.schema.field("session_id").type), *(pa.field(n, {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[k]) for n, k in (x.split() for x in schema.split(", ")[1:]))])
+            out = []
+            for x in batch.to_pylist():
+                if step is None or x["session_id"] != own:
+                    own, step = x["session_id"], start()
+                out.append({"session_id": own, **step(x)})
+            yield pa.RecordBatch.from_pylist(out, kinds)
 
-    done = F.aggregate("r", F.struct(F.lit(0.0), empty, F.array()).cast(state), step)
-    return by.select("session_id", F.inline(done["out"])).select("session_id", F.col("artifact").alias("artifact_id"), "seq", F.col("reason").alias("budget_reason"))
+    return rows.mapInArrow(run, schema).select("session_id", *names)
 
 
 # Reservations
@@ -227,22 +260,29 @@ def reservations(requests: DataFrame, ttl: int = TTL) -> DataFrame:
     one is committed or released at once, or stands until it expires. Folded per session in order of time; the state holds
     the session's spend and what stands only. Per request: granted and status.
     """
-    row = F.struct("ts", "reservation_id", F.col("estimated_cost_usd").alias("est"), F.col("session_budget_usd").alias("budget"), "outcome", F.coalesce("actual_cost_usd", "estimated_cost_usd").alias("actual"))
-    by = requests.groupBy("session_id").agg(F.array_sort(F.collect_list(row)).alias("r"))
-    held, out = "array<struct<until:bigint,est:double>>", "array<struct<id:string,granted:boolean,status:string>>"
-    state = f"struct<spent:double,held:{held},out:{out}>"
-
-    def step(acc, x):
-        stands = F.filter(acc["held"], lambda h: h["until"] > x["ts"])
-        reserved = F.aggregate(stands, F.lit(0.0), lambda a, h: a + h["est"])
-        ok = F.coalesce(acc["spent"] + reserved + x["est"] <= x["budget"], F.lit(True))
-        open_ = ok & x["outcome"].isNull()
-        status = F.when(~ok, "rejected").otherwise(F.coalesce(x["outcome"], F.lit("active")))
-        kept = F.when(open_, F.concat(stands, F.array(F.struct(x["ts"] + ttl, x["est"])).cast(held))).otherwise(stands)
-        return F.struct(acc["spent"] + F.when(ok & (x["outcome"] == "committed"), x["actual"]).otherwise(0.0), kept, F.concat(acc["out"], F.array(F.struct(x["reservation_id"], ok, status)).cast(out))).cast(state)
-
-    done = F.aggregate("r", F.struct(F.lit(0.0), F.array(), F.array()).cast(state), step)
-    return by.select("session_id", F.inline(done["out"])).withColumnRenamed("id", "reservation_id")
+    rows = requests.select("session_id", "ts", "reservation_id", F.col("estimated_cost_usd").alias("est"), F.col("session_budget_usd").alias("budget"), "outcome", F.coalesce("actual_cost_usd", "estimated_cost_usd").alias("actual"))
+    unit = 1 << 1074  # every double is a whole number of these, so that what stands is summed exactly and can be taken off again
+
+    def start():
+        spent, reserved, held = 0.0, 0, deque()
+
+        def step(x):
+            nonlocal spent, reserved
+            while held and (x["ts"] is None or held[0][0] <= x["ts"]):
+                reserved -= held.popleft()[1]
+            est, outcome = x["est"], x["outcome"]
+            ok = est is None or x["budget"] is None or spent + reserved / unit + est <= x["budget"]
+            if ok and outcome is None and x["ts"] is not None:
+                top, bottom = (est or 0.0).as_integer_ratio()
+                held.append((x["ts"] + ttl, top * (unit // bottom)))
+                reserved += held[-1][1]
+            if ok and outcome == "committed":
+                spent += x["actual"] or 0.0
+            return {"reservation_id": x["reservation_id"], "granted": ok, "status": (outcome or "active") if ok else "rejected"}
+
+        return step
+
+    return folded(rows, ["ts", "reservation_id", "est", "budget", "outcome", "actual"], start, "reservation_id string, granted boolean, status string")
 
 
 def expired(reserved: DataFrame, as_of: Column) -> DataFrame:

@@ -2,35 +2,60 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import tables
 
 K1, B, RRF, OVERFETCH = 1.5, 0.75, 60, 3
 #: Scores are summed as whole billionths: sums of doubles depend on their order, and ties must not.
 UNIT = 1e9
+POSTING_ROWS, BROADCAST_TERMS, CELLS, SHARD = 500_000, 200_000, 1 << 22, 50_000
+
+
+def searched(chunks: DataFrame) -> Column:
+    """The text that a chunk is found by: its path, its symbol twice, and its own text."""
+    whole = F.coalesce("text", F.lit(""))
+    if "symbol" in chunks.columns:
+        whole = F.concat(F.when(F.coalesce("symbol", F.lit("")) == "", "").otherwise(F.concat(F.lit(" "), F.col("symbol"), F.lit(" "), F.col("symbol"), F.lit(" "))), whole)
+    return F.concat(F.col("path"), F.lit(" "), whole) if "path" in chunks.columns else whole
 
 
 def postings(chunks: DataFrame, id_col: str = "id") -> DataFrame:
     """chunks: id, text, and path and symbol if they have them. A row per chunk and term: id, term, freq, length.
 
-    Terms are counted per task before they are shuffled.
+    A chunk's terms are counted where it is read, so nothing is shuffled; ids that repeat give rows each.
     """
-    whole = F.col("text")
-    if "symbol" in chunks.columns:
-        whole = F.concat(F.when(F.coalesce("symbol", F.lit("")) == "", "").otherwise(F.concat(F.lit(" "), F.col("symbol"), F.lit(" "), F.col("symbol"), F.lit(" "))), whole)
-    if "path" in chunks.columns:
-        whole = F.concat(F.col("path"), F.lit(" "), whole)
-    c = chunks.select(F.col(id_col).alias("id"), T.terms(whole).alias("t"))
-    c = c.withColumn("length", F.greatest(F.size("t"), F.lit(1)).cast("long"))
-    return c.select("id", "length", F.explode("t").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("freq")).select("id", "term", "freq", "length")
+    c = chunks.select(F.col(id_col).alias("id"), searched(chunks).alias("text"))
 
+    def count(batches):
+        counter = T.TermCounter()
+        for batch in batches:
+            row, term, freq, length = [], [], [], []
+            for k, text in enumerate(batch.column(1)):
+                found = counter.count(text.as_py())
+                row += [k] * len(found)
+                term += found
+                freq += found.values()
+                length += [sum(found.values())] * len(found)
+                if len(row) >= POSTING_ROWS:
+                    yield out(batch, row, term, freq, length)
+                    row, term, freq, length = [], [], [], []
+            yield out(batch, row, term, freq, length)
 
-def lengths(chunks: DataFrame, id_col: str = "id") -> DataFrame:
-    """Per chunk: id and length, chunks without terms included (length 1)."""
-    whole = F.col("text") if "path" not in chunks.columns else F.concat(F.col("path"), F.lit(" "), F.col("text"))
-    return chunks.select(F.col(id_col).alias("id"), F.greatest(F.size(T.terms(whole)), F.lit(1)).cast("long").alias("length"))
+    def out(batch, row, term, freq, length):
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(term, pa.string()), pa.array(freq, pa.int64()), pa.array(length, pa.int64())], ["id", "term", "freq", "length"])
+
+    return c.mapInArrow(count, f"id {c.schema['id'].dataType.simpleString()}, term string, freq long, length long")
+
+
+def lengths(chunks: DataFrame, id_col: str = "id", held: DataFrame | None = None) -> DataFrame:
+    """Per chunk: id and length, chunks without terms included (length 1). held: its postings, if they are stored."""
+    own = (postings(chunks, id_col) if held is None else held).groupBy("id").agg(F.first("length").alias("length"))
+    return chunks.select(F.col(id_col).alias("id")).join(own, "id", "left").select("id", F.coalesce("length", F.lit(1)).alias("length"))
 
 
 def query_terms(queries: DataFrame, most: int | None = None) -> DataFrame:
@@ -64,13 +89,19 @@ def bm25(asked: DataFrame, held: DataFrame, k1: float = K1, b: float = B, size:
     if size is None:
         size = corpus_size(held.groupBy("id").agg(F.first("length").alias("length")))
     terms = asked.select("term").distinct()
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    if few:
+        terms, asked = F.broadcast(terms), F.broadcast(asked)
     met = held.join(terms, "term")
     df = met.groupBy("term").agg(F.count("*").alias("df"))
-    hits = met.join(df, "term").join(asked, "term").crossJoin(F.broadcast(size))
+    if few:
+        df = F.broadcast(df)
+    # What a posting is worth is the same for all queries that ask for its term, so it is computed before they are met.
+    worth = met.join(df, "term").crossJoin(F.broadcast(size))
     mean = F.col("total") / F.col("n")
     part = idf(F.col("n"), F.col("df")) * (F.col("freq") * (k1 + 1)) / (F.col("freq") + k1 * (1 - b + b * F.col("length") / mean))
-    scored = hits.groupBy("query_id", "id").agg(F.sum(F.floor(part * UNIT)).cast("long").alias("score"))
-    return scored.where("score > 0")
+    worth = worth.select("term", "id", F.floor(part * UNIT).cast("long").alias("part")).where("part > 0")
+    return worth.join(asked, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score")).where("score > 0")
 
 
 def top(scored: DataFrame, k: int, score: str = "score", id_col: str = "id") -> DataFrame:
@@ -80,7 +111,8 @@ def top(scored: DataFrame, k: int, score: str = "score", id_col: str = "id") ->
 
 
 def lexical_search(queries: DataFrame, chunks: DataFrame, k: int = 10, terms_of_query: int | None = None) -> DataFrame:
-    return top(bm25(query_terms(queries, terms_of_query), postings(chunks), size=corpus_size(lengths(chunks))), k).withColumn("source", F.lit("lexical"))
+    held = tables.stored(postings(chunks), "postings")
+    return top(bm25(query_terms(queries, terms_of_query), held, size=size_of(held, chunks)), k).withColumn("source", F.lit("lexical"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -93,22 +125,75 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(parts["dot"] / F.nullif(parts["norm"], F.lit(0.0)), F.lit(0.0))
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 1024, most: int = 4096) -> DataFrame:
-    """queries: query_id, embedding; vectors: id, embedding. Exact, by cosine: query_id, id, score in whole billionths, rank.
-
-    A block of queries is broadcast to all vectors, so the larger side is never shuffled; beyond most queries, blocks follow one
-    another. A query isn't its own neighbour.
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A row per vector; a null one has no length."""
+    rows = column.to_numpy(zero_copy_only=False)
+    none = np.zeros(next((len(x) for x in rows if x is not None), 0))
+    return np.stack([none if x is None else np.asarray(x, dtype=np.float64) for x in rows]) if len(rows) else np.zeros((0, 0))
+
+
+def best_of(ids: pa.Array, vectors: np.ndarray, query_ids: list, queries: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k vectors nearest to each query by cosine, ties by id, a query's own left out: query_id, id, score in whole billionths."""
+    norm = lambda v: np.sqrt((v * v).sum(axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cos = (vectors @ queries.T) / (norm(vectors)[:, None] * norm(queries)[None, :])
+    score = np.floor(np.nan_to_num(cos, nan=0.0) * UNIT).astype(np.int64)
+    rank = np.argsort(np.argsort(np.array(ids.to_pylist()), kind="stable"), kind="stable")
+    plain = ids.to_pylist()
+    rows, owner = [], []
+    for q, own in enumerate(query_ids):
+        s = score[:, q]
+        some = np.flatnonzero(s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]) if len(s) > k + 1 else np.arange(len(s))
+        some = some[np.lexsort((rank[some], -s[some]))]
+        some = [r for r in some[: k + 1] if plain[r] != own][:k]
+        rows += some
+        owner += [q] * len(some)
+    return pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), ids.take(pa.array(rows, pa.int64())), pa.array(score[rows, owner] if rows else [], pa.int64())], ["q", "id", "score"])
+
+
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
+    """queries: query_id, embedding; vectors: id, embedding. Exact, by cosine in double precision: query_id, id, score in whole billionths, rank.
+
+    A block of queries meets the vectors as one product of matrices, and only the k best of each batch are shuffled. One block goes
+    to all tasks; with more, blocks of queries meet shards of vectors in tasks of bounded size. A query isn't its own neighbour.
     """
     n = queries.count()
-    blocks = -(-n // block) if n > most else 1
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1))))
-    out = None
-    for k_ in range(max(blocks, 1)):
-        some = F.broadcast(numbered.where(F.col("_block") == k_).select("query_id", F.col("embedding").alias("q")))
-        met = vectors.select("id", "embedding").join(some, F.col("id") != F.col("query_id"))
-        best = top(met.select("query_id", "id", F.floor(cosine(F.col("q"), F.col("embedding")) * UNIT).cast("long").alias("score")), k)
-        out = best if out is None else out.unionByName(best)
-    return out.withColumn("source", F.lit("vector"))
+    query_kind, kind = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    names, v = ["query_id", "id", "score"], vectors.select("id", "embedding")
+    q = queries.select("query_id", "embedding")
+
+    def met(ids, column, table):
+        asked = _matrix(table.column("embedding"))
+        own = table.column("query_id")
+        step = max(1, CELLS // max(1, len(asked)))
+        for at in range(0, len(ids) if len(asked) else 0, step):
+            best = best_of(ids.slice(at, step), _matrix(column.slice(at, step)), own.to_pylist(), asked, k)
+            yield pa.RecordBatch.from_arrays([own.take(best.column(0)), best.column(1), best.column(2)], names)
+
+    if n <= block:
+        some = q.toArrow().combine_chunks().to_batches()  # a block at most
+        table = some[0] if some else pa.RecordBatch.from_pylist([], q.toArrow().schema)
+
+        def scan(batches):
+            for batch in batches:
+                yield from met(batch.column(0), batch.column(1), table)
+
+        found = v.mapInArrow(scan, f"query_id {query_kind}, id {kind}, score long")
+    else:
+        blocks, shards = -(-n // block), max(1, v.count() // SHARD)
+        asked = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
+        dealt = v.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+
+        def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+            left, right = left.combine_chunks().to_batches(), right.combine_chunks().to_batches()
+            got = [x for a in left for t in right for x in met(a.column("id"), a.column("embedding"), t)]
+            return pa.Table.from_batches(got) if got else pa.table({c: pa.array([], t) for c, t in zip(names, types, strict=True)})
+
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(vectors.schema["id"].dataType), pa.int64()]
+        found = dealt.groupBy("b", "s").cogroup(asked.groupBy("b", "s")).applyInArrow(pair, f"query_id {query_kind}, id {kind}, score long")
+    return top(found, k).withColumn("source", F.lit("vector"))
 
 
 def fuse(rankings: list[DataFrame], k: int, c: int = RRF) -> DataFrame:
@@ -143,3 +228,39 @@ def suggestions(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     by = hits.join(c, "id").groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("hits"))
     follow = F.slice(F.transform(F.filter("hits", lambda h: F.coalesce(h["symbol"], F.lit("")) != ""), lambda h: F.concat(h["path"], F.lit(" "), h["symbol"])), 1, 3)
     return by.select("query_id", F.size("hits").cast("long").alias("n"), "hits", follow.alias("next"))
+
+
+class Index:
+    """Chunks and their postings, stored once and searched often; vectors of the chunks too, if there is a function that makes them.
+
+    embed: takes a list of texts, ``embed_rows`` at most, and returns as many vectors; it runs on the executors.
+    """
+
+    def __init__(self, chunks: DataFrame, embed=None, embed_rows: int = 64):
+        self.chunks = tables.stored(chunks, "chunks")
+        self.held = tables.stored(postings(self.chunks), "postings")
+        self.size = tables.stored(size_of(self.held, self.chunks), "size")
+        self.embed, self.embed_rows = embed, embed_rows
+        self.vectors = None if embed is None else tables.stored(embedded(self.chunks.select("id", searched(self.chunks).alias("text")), embed, embed_rows), "vectors")
+
+    def search(self, queries: DataFrame, k: int = 10, terms_of_query: int | None = None) -> DataFrame:
+        """queries: query_id, text. By BM25 alone without vectors, else fused with the search by cosine."""
+        wide = k if self.vectors is None else k * OVERFETCH
+        lexical = top(bm25(query_terms(queries, terms_of_query), self.held, size=self.size), wide).withColumn("source", F.lit("lexical"))
+        if self.vectors is None:
+            return lexical
+        asked = embedded(queries.select(F.col("query_id").alias("id"), "text"), self.embed, self.embed_rows).withColumnRenamed("id", "query_id")
+        return fuse([lexical, vector_search(asked, self.vectors, wide)], k)
+
+
+def embedded(texts: DataFrame, embed, rows: int = 64) -> DataFrame:
+    """texts: id, text. Their vectors, made in batches of so many: id, embedding."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                made = embed([x or "" for x in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[float(y) for y in x] for x in made], pa.list_(pa.float64()))], ["id", "embedding"])
+
+    return texts.select("id", "text").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, embedding array<double>")

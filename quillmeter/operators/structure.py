@@ -7,7 +7,6 @@ state, so they run as an Arrow function over whole files: no shuffle, and a file
 from __future__ import annotations
 
 import ast
-import math
 import re
 from collections.abc import Iterator
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import languages as L
 from ..functions import tokens
 from ..schemas import CHUNK, SYMBOL
-from .chunking import MAX_TOKENS, MIN_TOKENS, OVERLAP
+from .chunking import MAX_TOKENS, MIN_TOKENS, OVERLAP, line_cost, line_windows
 
 SNIFFED = 8000
 #: What marks a structural line when a payload is compressed, and what begins a comment there.
@@ -27,12 +26,14 @@ COMPRESS_COMMENTS = ("#", "//", "--")
 
 
 def sniff_pattern(pattern: str) -> str:
-    """A pattern of SNIFFS for engines with Unicode classes: its S and W spelled out, inside classes and out."""
-    out, inside = "", False
-    for c in pattern:
-        inside = c == "[" or inside and c != "]"
-        spelled = {"S": tokens.SPACE, "W": r"\p{L}\p{N}_"}.get(c)
-        out += c if spelled is None else spelled if inside else f"[{spelled}]"
+    """A pattern of SNIFFS for engines whose \\s and \\w are ASCII only: both spelled out, inside classes and out."""
+    spelled, out, inside, at = {r"\s": tokens.SPACE, r"\w": r"\p{L}\p{N}_"}, "", False, 0
+    while at < len(pattern):
+        part = pattern[at : at + 2] if pattern[at] == "\\" else pattern[at]
+        inside = part == "[" or inside and part != "]"
+        known = spelled.get(part)
+        out += part if known is None else known if inside else f"[{known}]"
+        at += len(part)
     return out
 
 
@@ -331,28 +332,6 @@ def syntax_checked(files: DataFrame) -> DataFrame:
 # Chunks along the structure
 
 
-def _cost(text: str) -> int:
-    """Tokens of text as code, by characters."""
-    if not text:
-        return 0
-    ends = text.count("\n")
-    return max(1, math.ceil((len(text) - ends) / tokens.DIVISORS["code"]) + ends)
-
-
-def _windows(lines: list[str], most: int, overlap: int) -> list[tuple[int, int]]:
-    out, cur = [], 0
-    costs = [_cost(x) + 1 for x in lines]
-    while cur < len(lines):
-        end, used = cur + 1, costs[cur]
-        while end < len(lines) and used + costs[end] <= most:
-            used, end = used + costs[end], end + 1
-        out.append((cur, end))
-        if end == len(lines):
-            break
-        cur = max(end - overlap, cur + 1)
-    return out
-
-
 def structure_chunks(sources: DataFrame, most: int = MAX_TOKENS, least: int = MIN_TOKENS, overlap: int = OVERLAP) -> DataFrame:
     """sources: path, text, language if known. CHUNK rows: top-level declarations, windows of those that are too large, and the regions between.
 
@@ -372,7 +351,7 @@ def structure_chunks(sources: DataFrame, most: int = MAX_TOKENS, least: int = MI
         out = []
 
         def add(i, j, symbol, kind, signature):
-            windows = [{"start": i + a + 1, "end": i + b, "text": "\n".join(lines[i + a : i + b])} for a, b in _windows(lines[i:j], most, overlap)]
+            windows = [{"start": i + a + 1, "end": i + b, "text": "\n".join(lines[i + a : i + b])} for a, b in line_windows([line_cost(x) + 1 for x in lines[i:j]], most, overlap)]
             out.append({"path": path, "language": language, "start": i + 1, "end": j, "symbol": symbol, "kind": kind, "signature": signature, "text": "\n".join(lines[i:j]), "windows": windows})
 
         if not top:

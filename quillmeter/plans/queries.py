@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -345,10 +343,12 @@ def c2b(spark, d):
     return structure.structure_chunks(X.markdown(spark, d).withColumn("language", F.lit("markdown"))).groupBy("kind").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
 
 
-@query("c2_lines_quote_back", "SELECT CAST(NULL AS VARCHAR) AS path, CAST(NULL AS INT) AS start, CAST(NULL AS INT) AS \"end\" WHERE false")
+@query("c2_lines_quote_back", f"WITH RECURSIVE {Q.CHUNKS} SELECT count(*) AS chunks, count(DISTINCT path) AS files, CAST(sum(e - s + 1) AS BIGINT) AS lines, CAST(0 AS BIGINT) AS unquoted FROM chunks")
 def c2c(spark, d):
-    s = X.markdown(spark, d).withColumn("language", F.lit("markdown"))
-    return structure.unquoted(structure.structure_chunks(s), s)
+    s = tables.stored(X.corpus(spark, d), "corpus")
+    c = tables.stored(chunking.window_chunks(s), "chunks")
+    wrong = structure.unquoted(c, s).agg(F.count("*").alias("unquoted"))
+    return c.agg(F.count("*").alias("chunks"), F.countDistinct("path").alias("files"), F.sum(F.col("end") - F.col("start") + 1).alias("lines")).crossJoin(F.broadcast(wrong))
 
 
 @query("c3_citations", f"WITH RECURSIVE {Q.CHUNKS} SELECT path, count(*) AS n, md5(string_agg(path || ':' || CAST(s AS VARCHAR) || '-' || CAST(e AS VARCHAR), ',' ORDER BY s)) AS citations FROM chunks GROUP BY 1")
@@ -394,7 +394,7 @@ def l3(spark, d):
 _DOCS = "dx AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents)"
 _POST = f"""{_DOCS}, dt AS (SELECT id, {Q.terms('t')} AS ts FROM dx), dl AS (SELECT id, greatest(len(ts), 1) AS len FROM dt),
 pst AS (SELECT id, term, count(*) AS freq FROM (SELECT id, unnest(ts) AS term FROM dt) GROUP BY 1, 2)"""
-_ASK = f"qt AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest(list_slice({Q.terms('coalesce(text, chr(32))')}, 1, 8)) AS term FROM benchmark))"
+_ASK = f"qt AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest({Q.terms('coalesce(text, chr(32))')}) AS term FROM benchmark))"
 _BM25 = f"""{_POST}, {_ASK}, sz AS (SELECT count(*) AS n, CAST(sum(len) AS BIGINT) AS total FROM dl), df AS (SELECT term, count(*) AS df FROM pst GROUP BY 1),
 sc AS (SELECT query_id, pst.id, CAST(sum(floor(greatest(CAST(0 AS DOUBLE), ln(1.0 + (CAST(n AS DOUBLE) - df + 0.5) / (CAST(df AS DOUBLE) + 0.5))) * (CAST(freq AS DOUBLE) * CAST(2.5 AS DOUBLE)) / (CAST(freq AS DOUBLE) + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * len / (CAST(total AS DOUBLE) / n))) * 1e9)) AS BIGINT) AS score
  FROM pst JOIN qt USING (term) JOIN df USING (term) JOIN dl ON dl.id = pst.id, sz GROUP BY 1, 2)"""
@@ -429,30 +429,37 @@ def r2(spark, d):
     return retrieval.lengths(s).join(n, "id", "left").select("id", "length", F.coalesce("distinct_terms", F.lit(0)).alias("distinct_terms"))
 
 
-#: The SQL of the search and packing queries cuts a query's text to so many terms. Their names with _whole search all of them and have no SQL.
-SQL_TERMS = 8
+_indexes: dict[tuple, retrieval.Index] = {}
 
 
-def _scores(spark, d, most=None):
-    s = _searchable(spark, d)
-    held = tables.stored(retrieval.postings(s), "postings")
-    return tables.stored(retrieval.bm25(retrieval.query_terms(_asked(spark, d), most), held, size=retrieval.size_of(held, s)), "scores")
+def _indexed(spark, d, kind, chunks) -> retrieval.Index:
+    """The index of a table's documents or chunks: built at first use, and anew when the table's files or the stored index change."""
+    key = (spark.sparkContext.applicationId, kind, tables.signature(spark, f"{d}/documents.parquet"))
+    held = _indexes.get(key)
+    if held is None or not all(tables.exists(spark, t.inputFiles()[0].rpartition("/")[0]) for t in (held.chunks, held.held, held.size)):
+        held = _indexes[key] = retrieval.Index(chunks())
+    return held
+
+
+def _scores(spark, d):
+    index = _indexed(spark, d, "documents", lambda: _searchable(spark, d))
+    return tables.stored(retrieval.bm25(retrieval.query_terms(_asked(spark, d)), index.held, size=index.size), "scores")
 
 
 @query("r3_bm25_scores", f"WITH {_BM25} SELECT query_id, count(*) AS hits, max(score) // 1000 AS best FROM sc WHERE score > 0 GROUP BY 1")
-def r3(spark, d, most=SQL_TERMS):
-    return _scores(spark, d, most).groupBy("query_id").agg(F.count("*").alias("hits"), F.floor(F.max("score") / 1000).alias("best"))
+def r3(spark, d):
+    return _scores(spark, d).groupBy("query_id").agg(F.count("*").alias("hits"), F.floor(F.max("score") / 1000).alias("best"))
 
 
 @query("r4_bm25_topk", f"WITH {_BM25}, {_TOP.format(name='top', src='sc', k=10)} SELECT query_id, id, CAST(rank AS INT) AS rank, score // 1000 AS score FROM top")
-def r4(spark, d, most=SQL_TERMS):
-    return retrieval.top(_scores(spark, d, most), 10).select("query_id", "id", "rank", F.floor(F.col("score") / 1000).alias("score"))
+def r4(spark, d):
+    return retrieval.top(_scores(spark, d), 10).select("query_id", "id", "rank", F.floor(F.col("score") / 1000).alias("score"))
 
 
 @query("r5_stored_search", f"WITH {_BM25}, {_TOP.format(name='top', src='sc', k=5)} SELECT query_id, id, CAST(rank AS INT) AS rank, length(dx.t) AS chars FROM top JOIN dx USING (id)")
-def r5(spark, d, most=SQL_TERMS):
+def r5(spark, d):
     s = _searchable(spark, d)
-    return retrieval.top(_scores(spark, d, most), 5).join(s, "id").select("query_id", "id", "rank", F.length("text").cast("long").alias("chars"))
+    return retrieval.top(_scores(spark, d), 5).join(s, "id").select("query_id", "id", "rank", F.length("text").cast("long").alias("chars"))
 
 
 _DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
@@ -480,23 +487,23 @@ def r7(spark, d):
 _FUSED = f"{_BM25}, {_TOP.format(name='lx', src='sc', k=30)}, qv AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)), vh AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {_COS} AS score FROM qv q JOIN embeddings v ON v.vec_id <> q.vec_id), {_TOP.format(name='vx', src='vh', k=30).replace('WHERE score > 0', '')}, fu AS (SELECT query_id, id, CAST(sum(CAST(floor(1e9 / (60 + rank)) AS BIGINT)) AS BIGINT) AS score FROM (SELECT query_id, id, rank FROM lx UNION ALL SELECT query_id, id, rank FROM vx) GROUP BY 1, 2)"
 
 
-def _hybrid(spark, d, most=None):
+def _hybrid(spark, d):
     v, _ = _vectors(spark, d)
     asked = X.table(spark, d, "benchmark").select(F.col("item_id").alias("id"))
     q = v.join(asked, "id", "left_semi").select(F.col("id").alias("query_id"), "embedding")
-    lexical, vector = retrieval.top(_scores(spark, d, most), 30), retrieval.vector_search(q, v, 30)
+    lexical, vector = retrieval.top(_scores(spark, d), 30), retrieval.vector_search(q, v, 30)
     return lexical, vector
 
 
 @query("r8_rank_fusion", f"WITH {_FUSED} SELECT query_id, id, score FROM fu")
-def r8(spark, d, most=SQL_TERMS):
-    parts = [r.select("query_id", "id", F.floor(F.lit(retrieval.UNIT) / (F.lit(60) + F.col("rank"))).cast("long").alias("s")) for r in _hybrid(spark, d, most)]
+def r8(spark, d):
+    parts = [r.select("query_id", "id", F.floor(F.lit(retrieval.UNIT) / (F.lit(60) + F.col("rank"))).cast("long").alias("s")) for r in _hybrid(spark, d)]
     return parts[0].unionByName(parts[1]).groupBy("query_id", "id").agg(F.sum("s").alias("score"))
 
 
 @query("r9_hybrid_search", f"WITH {_FUSED}, {_TOP.format(name='top', src='fu', k=10)} SELECT query_id, id, CAST(rank AS INT) AS rank, score FROM top")
-def r9(spark, d, most=SQL_TERMS):
-    return retrieval.fuse(list(_hybrid(spark, d, most)), 10).select("query_id", "id", "rank", "score")
+def r9(spark, d):
+    return retrieval.fuse(list(_hybrid(spark, d)), 10).select("query_id", "id", "rank", "score")
 
 
 @query("r10_precision_at_k", f"WITH {_VEC}, {_TOP.format(name='top', src='vs', k=3).replace('WHERE score > 0', '')}, j AS (SELECT query_id, min(rank) FILTER (a.label = b.label) AS f FROM top JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = id GROUP BY 1) SELECT CAST(count(*) FILTER (f <= 1) AS DOUBLE) / count(*) AS p_at_1, CAST(count(*) FILTER (f <= 3) AS DOUBLE) / count(*) AS p_at_3, count(*) AS queries FROM j")
@@ -510,16 +517,15 @@ def r10(spark, d):
 _CHUNKED = f"""{Q.CHUNKS}, ct AS (SELECT id, path, s, e, t, tokens, {Q.terms("path || ' ' || t")} AS ts FROM chunks), dl AS (SELECT id, greatest(len(ts), 1) AS len FROM ct), pst AS (SELECT id, term, count(*) AS freq FROM (SELECT id, unnest(ts) AS term FROM ct) GROUP BY 1, 2), {_ASK}""" + _BM25.split(_ASK)[1]
 
 
-def _chunk_hits(spark, d, k, most=None):
-    c = tables.stored(chunking.window_chunks(X.corpus(spark, d)), "chunks")
-    held = tables.stored(retrieval.postings(c), "postings")
-    scores = retrieval.bm25(retrieval.query_terms(_asked(spark, d), most), held, size=retrieval.size_of(held, c))
-    return c, tables.stored(retrieval.top(scores, k), "hits")
+def _chunk_hits(spark, d, k):
+    index = _indexed(spark, d, "chunks", lambda: chunking.window_chunks(X.corpus(spark, d)))
+    scores = retrieval.bm25(retrieval.query_terms(_asked(spark, d)), index.held, size=index.size)
+    return index.chunks, tables.stored(retrieval.top(scores, k), "hits")
 
 
 @query("r11_search_suggestions", f"WITH RECURSIVE {_CHUNKED}, {_TOP.format(name='top', src='sc', k=5)} SELECT query_id, count(*) AS n, string_agg(path || ':' || CAST(s AS VARCHAR) || '-' || CAST(e AS VARCHAR), ' ' ORDER BY rank) AS citations FROM top JOIN chunks USING (id) GROUP BY 1")
-def r11(spark, d, most=SQL_TERMS):
-    c, hits = _chunk_hits(spark, d, 5, most)
+def r11(spark, d):
+    c, hits = _chunk_hits(spark, d, 5)
     s = retrieval.suggestions(hits, c)
     return s.select("query_id", "n", F.array_join(F.transform("hits", lambda h: h["citation"]), " ").alias("citations"))
 
@@ -544,16 +550,16 @@ pe AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, budget
 
 
 @query("p1_density_order", f"WITH RECURSIVE {_PACK0} SELECT query_id, md5(string_agg(id, ',' ORDER BY n)) AS ids FROM ph GROUP BY 1")
-def p1(spark, d, most=SQL_TERMS):
-    c, hits = _chunk_hits(spark, d, 24, most)
+def p1(spark, d):
+    c, hits = _chunk_hits(spark, d, 24)
     h = hits.join(c.select("id", "tokens"), "id").withColumn("score", F.col("score") / retrieval.UNIT)
     row = F.struct(*(x.alias(f"o{k}") for k, x in enumerate(packing.density_order(F.col("score"), F.col("tokens"), F.col("id")))))
     return h.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("r")).select("query_id", F.md5(F.array_join(F.transform("r", lambda x: x["o2"]), ",")).alias("ids"))
 
 
 @query("p2_overlap_ratio", f"WITH RECURSIVE {_PACK0} SELECT a.query_id, count(*) AS pairs, CAST(sum(CAST(floor(1e6 * greatest(0, least(a.e, b.e) - greatest(a.s, b.s) + 1) / CAST(b.e - b.s + 1 AS DOUBLE)) AS BIGINT)) AS BIGINT) AS overlap FROM ph a JOIN ph b ON a.query_id = b.query_id AND a.path = b.path AND a.n < b.n GROUP BY 1")
-def p2(spark, d, most=SQL_TERMS):
-    c, hits = _chunk_hits(spark, d, 24, most)
+def p2(spark, d):
+    c, hits = _chunk_hits(spark, d, 24)
     h = hits.join(c.select("id", "path", "start", "end", "tokens"), "id").withColumn("score", F.col("score") / retrieval.UNIT)
     order = Window.partitionBy("query_id").orderBy(*packing.density_order(F.col("score"), F.col("tokens"), F.col("id")))
     h = h.withColumn("n", F.row_number().over(order))
@@ -563,8 +569,8 @@ def p2(spark, d, most=SQL_TERMS):
     return met.groupBy(F.col("a.query_id").alias("query_id")).agg(F.count("*").alias("pairs"), F.sum(micro(packing.overlap_ratio(F.col("b.start"), F.col("b.end"), ranges))).alias("overlap"))
 
 
-def _packed(spark, d, budgets, most=None, **how):
-    c, hits = _chunk_hits(spark, d, 24, most)
+def _packed(spark, d, budgets, **how):
+    c, hits = _chunk_hits(spark, d, 24)
     met = hits.select("query_id", "id", (F.col("score") / retrieval.UNIT).alias("score")).join(c, "id")
     met = met.withColumn("budget", F.explode(F.array(*map(F.lit, budgets)))).withColumn("query_id", F.struct("query_id", "budget"))
     out = packing.pack_hits(met, F.col("query_id.budget"), **how)
@@ -572,14 +578,14 @@ def _packed(spark, d, budgets, most=None, **how):
 
 
 @query("p3_pack", f"WITH RECURSIVE {_pack_sql('[2000]')} SELECT query_id, CAST(len(sel) AS BIGINT) AS sections, used, md5(array_to_string(list_sort(sel), ',')) AS ids FROM pe")
-def p3(spark, d, most=SQL_TERMS):
-    p = _packed(spark, d, [2000], most)
+def p3(spark, d):
+    p = _packed(spark, d, [2000])
     return p.select("query_id", F.size("sections").cast("long").alias("sections"), "used", F.md5(F.array_join(F.array_sort(F.transform("sections", lambda x: x["id"])), ",")).alias("ids"))
 
 
 @query("p4_section_overhead", f"WITH RECURSIVE {_PACK0} SELECT DISTINCT cite AS citation, frame AS overhead FROM ph")
-def p4(spark, d, most=SQL_TERMS):
-    c, hits = _chunk_hits(spark, d, 24, most)
+def p4(spark, d):
+    c, hits = _chunk_hits(spark, d, 24)
     x = chunking.cited(hits.select("id").distinct().join(c, "id"))
     return x.select("citation", packing.overhead(F.col("citation")).alias("overhead"))
 
@@ -598,13 +604,13 @@ def p6(spark, d):
 
 
 @query("p7_assembled", f"WITH RECURSIVE {_pack_sql('[2000]')}, ps AS (SELECT pe.query_id, string_agg('--- ' || cite || ' ---' || chr(10) || body, chr(10) || chr(10) ORDER BY path, cite) AS t FROM pe JOIN ph ON ph.query_id = pe.query_id AND list_contains(pe.sel, ph.id) GROUP BY 1), {Q.tokens('ps', 'pt')} SELECT query_id, tokens, md5(t) AS text FROM pt")
-def p7(spark, d, most=SQL_TERMS):
-    return _packed(spark, d, [2000], most).where(F.size("sections") > 0).select("query_id", "tokens", md5("text").alias("text"))
+def p7(spark, d):
+    return _packed(spark, d, [2000]).where(F.size("sections") > 0).select("query_id", "tokens", md5("text").alias("text"))
 
 
 @query("p8_manifest", f"WITH RECURSIVE {_pack_sql('[2000]')}, hc AS (SELECT query_id, count(*) AS c FROM ph GROUP BY 1) SELECT query_id, CAST(1 + len(sel) + least(10, c - len(sel)) + CASE WHEN c - len(sel) > 10 THEN 1 ELSE 0 END AS BIGINT) AS lines FROM pe JOIN hc USING (query_id)")
-def p8(spark, d, most=SQL_TERMS):
-    m = packing.manifest(_packed(spark, d, [2000], most))
+def p8(spark, d):
+    m = packing.manifest(_packed(spark, d, [2000]))
     return m.select("query_id", (K.newlines(F.col("manifest")) + 1).cast("long").alias("lines"))
 
 
@@ -638,18 +644,16 @@ def p10(spark, d):
     return p.select("request_id", "used", F.size("sections").cast("long").alias("files"), F.size("dropped").cast("long").alias("dropped"))
 
 
-@query("p11_budget_violations", "SELECT CAST(NULL AS BIGINT) AS query_id, CAST(NULL AS BIGINT) AS budget, CAST(NULL AS BIGINT) AS used WHERE false")
+@query("p11_budget_violations", f"WITH RECURSIVE {_pack_sql(str(list(BUDGETS)))} SELECT CAST(budget AS BIGINT) AS budget, count(*) AS packs, count(*) FILTER (used > budget) AS violations, CAST(max(used) AS BIGINT) AS most FROM pe GROUP BY 1")
 def p11(spark, d):
-    return packing.violations(_packed(spark, d, BUDGETS)).select("query_id", "budget", "used")
+    p = tables.stored(_packed(spark, d, BUDGETS).select("query_id", "budget", "used"), "packed")
+    over = packing.violations(p).groupBy("budget").agg(F.count("*").alias("violations"))
+    return p.groupBy("budget").agg(F.count("*").alias("packs"), F.max("used").alias("most")).join(F.broadcast(over), "budget", "left").select("budget", "packs", F.coalesce("violations", F.lit(0)).alias("violations"), "most")
 
 
 @query("p11_budget_adherence", f"WITH RECURSIVE {_pack_sql(str(list(BUDGETS)))} SELECT CAST(budget AS BIGINT) AS budget, count(*) AS packs, CAST(sum(used) AS BIGINT) AS used, CAST(sum(len(sel)) AS BIGINT) AS sections FROM pe GROUP BY 1")
-def p11b(spark, d, most=SQL_TERMS):
-    return _packed(spark, d, BUDGETS, most).groupBy("budget").agg(F.count("*").alias("packs"), F.sum("used").alias("used"), F.sum(F.size("sections")).alias("sections"))
-
-
-for _name in "r3_bm25_scores r4_bm25_topk r5_stored_search r8_rank_fusion r9_hybrid_search r11_search_suggestions p1_density_order p2_overlap_ratio p3_pack p4_section_overhead p7_assembled p8_manifest p11_budget_adherence".split():
-    query(f"{_name}_whole")(partial(QUERIES[_name], most=None))
+def p11b(spark, d):
+    return _packed(spark, d, BUDGETS).groupBy("budget").agg(F.count("*").alias("packs"), F.sum("used").alias("used"), F.sum(F.size("sections")).alias("sections"))
 
 
 # Offers
@@ -709,7 +713,7 @@ sk AS (SELECT m.path, m.t AS src, m.cost, coalesce(n, 0) AS n, CASE WHEN n IS NU
 
 @query("l11_read_advice", f"WITH {_ADVICE} SELECT path, cost AS full_tokens, skc AS skeleton_tokens, CASE WHEN cost < 1200 THEN 'pass' WHEN n = 0 THEN 'pass' WHEN cost - skc < 600 THEN 'pass' ELSE 'suggest' END AS action, CASE WHEN cost < 1200 OR n = 0 OR cost - skc < 600 THEN 0 ELSE cost - skc END AS savings FROM skt")
 def l11(spark, d):
-    s = X.markdown(spark, d).withColumn("language", F.lit("markdown"))
+    s = tables.stored(X.markdown(spark, d), "markdown").withColumn("language", F.lit("markdown"))
     sections = structure.markdown_sections(s).select("path", "name", "kind", "start", "end", "signature", "parent", F.lit(None).cast("string").alias("doc"), F.lit(None).cast("array<string>").alias("decorators"))
     k = structure.skeletons(s, sections)
     m = s.select("path", K.estimate_tokens(F.col("text")).alias("full_tokens")).join(k.select("path", "symbols", K.estimate_tokens(F.col("skeleton")).alias("skeleton_tokens")), "path")
@@ -777,7 +781,7 @@ def g6(spark, d):
     return e.groupBy(F.col("reason_code").alias("reason")).agg(F.count("*").alias("n"))
 
 
-_BUDGET_ROWS = "br0 AS (SELECT doc_id, coalesce(source, 'none') || '/' || CAST(doc_id // 500 AS VARCHAR) AS sid, 'a' || CAST(doc_id % 3 AS VARCHAR) AS aid, CAST(length(coalesce(text, '')) % 100 + 1 AS DOUBLE) AS est FROM documents), br AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY doc_id) AS n FROM br0)"
+_BUDGET_ROWS = "br0 AS (SELECT doc_id, coalesce(source, 'none') AS sid, 'a' || CAST(doc_id % 3 AS VARCHAR) AS aid, CAST(length(coalesce(text, '')) % 100 + 1 AS DOUBLE) AS est FROM documents), br AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY doc_id) AS n FROM br0)"
 
 
 @query("g7_budget_gate", f"""WITH RECURSIVE {_BUDGET_ROWS},
@@ -787,7 +791,7 @@ bk AS (SELECT sid, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS spent, CAST(0 AS
 SELECT doc_id, why AS reason FROM bk WHERE n > 0""")
 def g7(spark, d):
     est = (F.length("text") % 100 + 1).cast("double")
-    r = X.documents(spark, d).select(F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 500).cast("string")).alias("session_id"), F.concat(F.lit("a"), (F.col("doc_id") % 3).cast("string")).alias("artifact_id"), F.col("doc_id").alias("seq"), est.alias("estimated_cost_usd"), est.alias("actual_cost_usd"), F.lit(300.0).alias("artifact_budget_usd"), F.lit(700.0).alias("session_budget_usd"))
+    r = X.documents(spark, d).select(F.coalesce("source", F.lit("none")).alias("session_id"), F.concat(F.lit("a"), (F.col("doc_id") % 3).cast("string")).alias("artifact_id"), F.col("doc_id").alias("seq"), est.alias("estimated_cost_usd"), est.alias("actual_cost_usd"), F.lit(300.0).alias("artifact_budget_usd"), F.lit(700.0).alias("session_budget_usd"))
     return governance.budget_gate(r).select(F.col("seq").alias("doc_id"), F.col("budget_reason").alias("reason"))
 
 
@@ -1008,14 +1012,14 @@ def f12(spark, d):
     return finops.registry_upsert(_registry(spark, d), found, X.AS_OF).select("name", "project", "model", "status")
 
 
-@query("f13_decision_history", f"WITH {Q.LOG} SELECT change_id AS decision_id, event_type AS decision FROM log WHERE artifact_id = '7'")
+@query("f13_decision_history", f"WITH {Q.LOG} SELECT artifact_id, change_id AS decision_id, event_type AS decision FROM log")
 def f13(spark, d):
-    return finops.decision_history(X.decisions(spark, d), "p", "7").select("decision_id", "decision")
+    return finops.decision_history(X.decisions(spark, d), "p").select("artifact_id", "decision_id", "decision")
 
 
-@query("f13_decision_history_whole")
+@query("f13_decision_history_of_one", f"WITH {Q.LOG} SELECT change_id AS decision_id, event_type AS decision FROM log WHERE artifact_id = '7'")
 def f13b(spark, d):
-    return finops.decision_history(X.decisions(spark, d), "p").select("artifact_id", "decision_id", "decision")
+    return finops.decision_history(X.decisions(spark, d), "p", "7").select("decision_id", "decision")
 
 
 @query("f14_current_decisions", f"WITH {Q.LOG}, g AS (SELECT CAST(before AS VARCHAR) AS id FROM log WHERE event_type = 'purchase' AND before IS NOT NULL) SELECT change_id AS decision_id FROM log WHERE change_id NOT IN (SELECT id FROM g)")
@@ -1046,11 +1050,11 @@ _LANGS = f"WITH {_ADVICE}, fl AS (SELECT regexp_extract(path, '^[^/]*') AS langu
 
 @query("f17_reduction_by_language", f"{_LANGS} SELECT language, count(*) AS files, CAST(sum(cost) AS BIGINT) AS tokens_full, CAST(sum(skc) AS BIGINT) AS tokens_skeleton, CAST(sum(n) AS BIGINT) AS symbols, {MICRO('1 - CAST(sum(skc) AS DOUBLE) / sum(cost)')} AS reduction, {MICRO('1 - quantile_cont(r, 0.5) + 1e-9')} AS median_reduction FROM al GROUP BY 1")
 def f17(spark, d):
-    s = X.markdown(spark, d).withColumn("language", F.lit("markdown"))
+    s = tables.stored(X.markdown(spark, d), "markdown").withColumn("language", F.lit("markdown"))
     sections = structure.markdown_sections(s).select("path", "name", "kind", "start", "end", "signature", "parent", F.lit(None).cast("string").alias("doc"), F.lit(None).cast("array<string>").alias("decorators"))
     k = structure.skeletons(s, sections)
     f = s.select("path", K.estimate_tokens(F.col("text")).alias("full")).join(k.select("path", "symbols", K.estimate_tokens(F.col("skeleton")).alias("skeleton")), "path").withColumn("language", F.substring_index("path", "/", 1))
-    r = finops.reduction_by_language(f)
+    r = finops.reduction_by_language(tables.stored(f.select("language", "full", "skeleton", "symbols"), "reductions"))
     return r.select("language", "files", "tokens_full", "tokens_skeleton", "symbols", micro("reduction").alias("reduction"), micro(F.col("median_reduction") + 1e-9).alias("median_reduction"))
 
 

@@ -44,8 +44,7 @@ def model_windows(costs, most, overlap):
 def test_windows_against_a_model(spark):
     rng = random.Random(1)
     rows = [(k, [rng.choice([1, 2, 5, 20, 70]) for _ in range(rng.randint(1, 40))]) for k in range(200)]
-    df = spark.createDataFrame(rows, "k int, c array<long>").select("k", chunking.window_ranges(F.col("c"), 64, 4).alias("w"))
-    got = {r.k: [tuple(x) for x in r.w] for r in df.collect()}
+    got = {k: chunking.line_windows(c, 64, 4) for k, c in rows}
     assert all(got[k] == model_windows(c, 64, 4) for k, c in rows)
 
 
@@ -91,14 +90,14 @@ def test_whole_queries_search_every_term(spark):
                 idf = max(0.0, math.log(1 + (len(held) - df[x] + 0.5) / (df[x] + 0.5)))
                 scores[i] += math.floor(idf * tf[x] * 2.5 / (tf[x] + 1.5 * (0.25 + 0.75 * len(t) / mean)) * 1e9)
         want |= {(q, k + 1): (i, n / 1000) for k, (i, n) in enumerate(sorted(((i, n) for i, n in scores.items() if n > 0), key=lambda x: (-x[1], x[0]))[:10])}
-    got = {(r.query_id, r.rank): (r.id, r.score) for r in QUERIES["r4_bm25_topk_whole"](spark, sf).collect()}
+    got = {(r.query_id, r.rank): (r.id, r.score) for r in QUERIES["r4_bm25_topk"](spark, sf).collect()}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
     assert all(abs(got[k][1] - want[k][1]) <= 1.001 for k in want)
 
 
 def test_whole_decision_history(spark):
     sf = "/root/testdata/sf0.001"
-    got = QUERIES["f13_decision_history_whole"](spark, sf).collect()
+    got = QUERIES["f13_decision_history"](spark, sf).collect()
     events = {(str(r.user_id), str(r.event_id), r.event_type) for r in spark.read.parquet(f"{sf}/events.parquet").collect()}
     assert {tuple(r) for r in got} == events and len(got) == len(events) and len({r.artifact_id for r in got}) > 1
 
@@ -106,9 +105,9 @@ def test_whole_decision_history(spark):
 def test_packs_find_late_terms(spark, tmp_path):
     spark.createDataFrame([(1, "a zebra walks", "s"), (2, "nothing here", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, "alpha bravo charlie delta echo foxtrot golf hotel india juliet zebra")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for name in ("p5_section_cap", "p3_pack_whole"):
+    for name in ("p5_section_cap", "p3_pack"):
         assert [(r.query_id, r.sections) for r in QUERIES[name](spark, str(tmp_path)).collect()] == [(7, 1)]
-    assert [r.id for r in QUERIES["r5_stored_search_whole"](spark, str(tmp_path)).collect()] == [1]
+    assert [r.id for r in QUERIES["r5_stored_search"](spark, str(tmp_path)).collect()] == [1]
     assert [(r.band, r.sections) for r in QUERIES["p9_pack_query_under_pressure"](spark, str(tmp_path)).orderBy("band").collect()] == [("cool", 1), ("hot", 1)]
 
 
