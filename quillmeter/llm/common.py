@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import tables
-from ..sources.tables import shared_dir  # noqa: F401
+from ..sources.tables import shared_dir, small_side  # noqa: F401
 
 #: What separates words, after A-Z are lower-cased; everything else belongs to a word.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -19,8 +19,6 @@ LOWERED_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Parquet bytes that a broadcast table may have; in memory it takes some times that.
-BROADCAST_BYTES = 16 << 20
 _made: list[str] = []
 
 
@@ -68,13 +66,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tables.spread(spark.read.parquet(path), path)
 
 
-def small_side(df: DataFrame, rows: int, size: int | None = None) -> DataFrame:
-    """df marked for broadcast if it holds no more than so many rows and bytes of Parquet; else as it is, for a shuffled join. df is a stored table."""
-    most = BROADCAST_BYTES if size is None else size
-    bytes_ = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if bytes_ <= most and df.limit(rows + 1).count() <= rows else df
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as make it none of df's columns."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -323,3 +323,24 @@ def op3(spark, sf_dir: str) -> DataFrame:
     of_kind = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("long")
     counts = [of_kind(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS) if kind in BASE]
     return done.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def base_spans(spark, sf_dir: str) -> DataFrame:
+    """The base rules' part of op3, which SQL can express."""
+    return op3(spark, sf_dir).drop("spans")
+
+
+def base_sql() -> str:
+    plain = {"email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "ip": "[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)", "card": "[0-9](?:[\\x20-]?[0-9])+", "phone": "\\+[0-9][\\x20().0-9-]+[0-9]"}
+    each = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, '{kind}' AS kind, regexp_extract_all(t, '{p}') AS x, string_split_regex(t, '{p}') AS g FROM d" for k, (kind, p) in enumerate(plain.items()))
+    digit = "CAST(substr(reverse(n), CAST(j AS INT), 1) AS INT)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({each}),
+u AS (SELECT doc_id, k, kind, x[i] AS v, coalesce(list_sum(list_transform(g[1:i], lambda s: length(s))), 0) + coalesce(list_sum(list_transform(x[1:i - 1], lambda s: length(s))), 0) AS a FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM m)),
+w AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS n FROM u),
+b AS (SELECT * FROM w WHERE CASE kind WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda p: TRY_CAST(p AS HUGEINT) IS NULL OR TRY_CAST(p AS HUGEINT) > 255)) = 0
+ WHEN 'card' THEN length(n) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(n) + 1), lambda j: CASE WHEN j % 2 = 1 THEN {digit} WHEN {digit} > 4 THEN {digit} * 2 - 9 ELSE {digit} * 2 END)) % 10 = 0
+ WHEN 'phone' THEN length(n) BETWEEN 8 AND 15 ELSE true END),
+l AS (SELECT doc_id, count(*) FILTER (k = 0) AS e, count(*) FILTER (k = 1) AS i, count(*) FILTER (k = 2) AS c, count(*) FILTER (k = 3) AS p, string_agg(kind || ':' || CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(a + length(v) AS BIGINT) AS VARCHAR), ',' ORDER BY k, a) AS s FROM b GROUP BY 1)
+SELECT d.doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone, sha256(coalesce(s, '')) AS base_sha256 FROM d LEFT JOIN l USING (doc_id)
+"""

@@ -15,5 +15,6 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8,
     "op9_nearest_neighbours": neighbours.op9,
     "op10_quality_classifier": quality.op10,
+    "pii_base_spans": pii.base_spans,
 }
-SQL = {"op1_warc_normaliser": warc.OP1_SQL, "op7_sharding": sharding.op7_sql(), "op2_decontamination": decontaminate.OP2_SQL, "op4_license_scan": licenses.op4_sql(), "op5_source_mixing": mixing.OP5_SQL, "op8_jaccard_join": jaccard.OP8_SQL}
+SQL = {"pii_base_spans": pii.base_sql(), "op1_warc_normaliser": warc.OP1_SQL, "op7_sharding": sharding.op7_sql(), "op2_decontamination": decontaminate.OP2_SQL, "op4_license_scan": licenses.op4_sql(), "op5_source_mixing": mixing.OP5_SQL, "op8_jaccard_join": jaccard.OP8_SQL}
