@@ -245,7 +245,7 @@ def extract_symbols(sources: DataFrame) -> DataFrame:
 
 def find_symbol(symbols: DataFrame, selectors: DataFrame) -> DataFrame:
     """selectors: path, selector. The symbol each names: its full name, else its name, else the shortest full name that ends with it, else its name in any case."""
-    met = symbols.join(F.broadcast(selectors.withColumn("selector", tokens.trimmed(F.col("selector")))), "path")
+    met = symbols.join(selectors.withColumn("selector", tokens.trimmed(F.col("selector"))), "path")
     ends = F.endswith("qualname", F.concat(F.lit("."), F.col("selector")))
     rank = F.when(F.col("qualname") == F.col("selector"), 1).when(F.col("name") == F.col("selector"), 2).when(ends, 3).when(F.lower("name") == F.lower("selector"), 4)
     order = Window.partitionBy("path", "selector").orderBy("_rank", F.when(F.col("_rank") == 3, F.length("qualname")).otherwise(0), "start", "end")

@@ -11,6 +11,7 @@ from ..operators import chunking, finops, governance, headroom, offers, packing,
 from ..schemas import LANES, PRESSURE
 from ..sources import tables
 from . import fixtures as X
+from . import programs as P
 from . import sql as Q
 
 QUERIES: dict = {}
@@ -244,14 +245,21 @@ def _symbols(spark) -> DataFrame:
     return structure.extract_symbols(sources(spark))
 
 
-@query("a3_python_symbols")
+def _declared(spark, d):
+    return structure.extract_symbols(P.programs(spark, d))
+
+
+_DECLARED = f"WITH {P.CTES} SELECT path, language, name, kind, start, stop AS \"end\", parent, qualname FROM ps WHERE "
+
+
+@query("a3_python_symbols", _DECLARED + "language = 'python'")
 def a3(spark, d):
-    return _symbols(spark).where("language = 'python'")
+    return _declared(spark, d).where("language = 'python'").select("path", "language", "name", "kind", "start", "end", "parent", "qualname")
 
 
-@query("a4_structural_symbols")
+@query("a4_structural_symbols", _DECLARED + "language NOT IN ('python', 'markdown')")
 def a4(spark, d):
-    return _symbols(spark).where("language NOT IN ('python', 'markdown')")
+    return _declared(spark, d).where("language NOT IN ('python', 'markdown')").select("path", "language", "name", "kind", "start", "end", "parent", "qualname")
 
 
 _HEADS = f"""{Q.MARKDOWN}, ml AS (SELECT path, {Q.LINES.format('t')} AS l FROM md),
@@ -267,29 +275,30 @@ def a5(spark, d):
     return structure.markdown_sections(X.markdown(spark, d)).select("path", "name", "level", "start", "end", "parent")
 
 
-@query("a6_extract_symbols")
+@query("a6_extract_symbols", f"WITH {P.CTES} SELECT language, kind, count(*) AS n FROM ps GROUP BY 1, 2")
 def a6(spark, d):
-    return _symbols(spark).groupBy("language", "kind").agg(F.count("*").alias("n"))
+    return _declared(spark, d).groupBy("language", "kind").agg(F.count("*").alias("n"))
 
 
-SELECTORS = (("pkg/store.py", "Store.put"), ("pkg/store.py", "get"), ("pkg/store.py", "limit"), ("web/token.ts", "refresh"), ("web/token.ts", "ISSUE"), ("cmd/main.go", "Nothing"))
-
-
-@query("a7_find_symbol")
+@query("a7_find_symbol", f"WITH {P.CTES}, {P.CHOSEN} SELECT path, selector, qualname, start, stop AS \"end\" FROM pc")
 def a7(spark, d):
-    chosen = spark.createDataFrame(list(SELECTORS), "path string, selector string")
-    return structure.find_symbol(_symbols(spark), chosen).select("path", "selector", "qualname", "start", "end")
+    return structure.find_symbol(_declared(spark, d), P.selectors(P.programs(spark, d))).select("path", "selector", "qualname", "start", "end")
 
 
-@query("a8_slice_symbol")
+@query("a8_slice_symbol", f"WITH {P.CTES}, {P.CHOSEN}, x AS (SELECT pc.path, selector, qualname, array_to_string(list_slice(string_split(text, chr(10)), start, stop), chr(10)) AS t FROM pc JOIN pf USING (path)), {Q.tokens('x', 'y')} SELECT path, selector, qualname, md5(t) AS text, tokens FROM y")
 def a8(spark, d):
-    chosen = spark.createDataFrame(list(SELECTORS), "path string, selector string")
-    return structure.slice_symbol(sources(spark), _symbols(spark), chosen).select("path", "selector", "qualname", "text", "tokens", "tokens_file")
+    s = P.programs(spark, d)
+    return structure.slice_symbol(s, structure.extract_symbols(s), P.selectors(s)).select("path", "selector", "qualname", md5("text").alias("text"), "tokens")
+
+
+_SHOWN_LINES = f"""pk AS (SELECT ps.*, CASE WHEN parent IS NULL THEN '' ELSE '  ' END AS ind, {Q.TRIM("regexp_replace(regexp_replace(trim(string_split(text, chr(10))[start]), '[ ]+', ' ', 'g'), '[{]+$', '')")} AS sig, text FROM ps JOIN pf USING (path)),
+pb AS (SELECT path, count(*) AS n, string_agg(ind || lpad(CAST(start AS VARCHAR), 5, ' ') || ': ' || sig || CASE WHEN stop > start AND kind <> 'const' AND kind NOT LIKE 'h_' THEN chr(10) || ind || '       ... ' || CAST(stop - start AS VARCHAR) || ' lines (' || CAST(start AS VARCHAR) || '-' || CAST(stop AS VARCHAR) || ')' ELSE '' END, chr(10) ORDER BY start, stop, name) AS body FROM pk GROUP BY 1)"""
 
 
-@query("a9_skeleton")
+@query("a9_skeleton", f"WITH {P.CTES}, {_SHOWN_LINES} SELECT pf.path, language, n AS symbols, md5('# skeleton: ' || pf.path || ' [' || language || '] ' || CAST(n AS VARCHAR) || CASE WHEN n = 1 THEN ' symbol, ' ELSE ' symbols, ' END || CAST(length(text) - length(replace(text, chr(10), '')) AS VARCHAR) || ' lines' || chr(10) || body) AS skeleton FROM pf JOIN pb USING (path)")
 def a9(spark, d):
-    return structure.skeletons(sources(spark), _symbols(spark))
+    s = P.programs(spark, d)
+    return structure.skeletons(s, structure.extract_symbols(s)).withColumn("skeleton", md5("skeleton"))
 
 
 @query("a9_markdown_skeleton", f"WITH {_HEADS} SELECT path, count(*) AS symbols FROM sec GROUP BY 1")
@@ -297,9 +306,9 @@ def a9b(spark, d):
     return structure.markdown_sections(X.markdown(spark, d)).groupBy("path").agg(F.count("*").alias("symbols"))
 
 
-@query("a10_outline")
+@query("a10_outline", f"WITH {P.CTES}, o AS (SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY start, stop, name) AS INT) AS seq FROM ps) SELECT path, seq, name, kind, start, stop AS \"end\", (SELECT min(h.seq) FROM o h WHERE h.path = o.path AND h.name = o.parent AND h.seq <= o.seq) AS under FROM o")
 def a10(spark, d):
-    return structure.outlines(_symbols(spark))
+    return structure.outlines(_declared(spark, d))
 
 
 _STRUCT = " OR ".join(f"contains(x, '{m}')" for m in structure.STRUCTURAL)
@@ -311,10 +320,13 @@ def a11(spark, d):
     return X.documents(spark, d).select("doc_id", md5(structure.compressed(F.col("text"), 300)).alias("text"))
 
 
-@query("a12_syntax_gate")
+@query("a12_syntax_gate", f"WITH {P.CTES} SELECT CASE WHEN language = 'rust' THEN replace(path, '.rs', '.json') ELSE path END AS path, NOT (language IN ('python', 'rust') AND k = 1) AS ok FROM pf JOIN pd USING (doc_id)")
 def a12(spark, d):
-    extra = spark.createDataFrame([("ok.json", '{"a": [1, 2]}'), ("bad.json", "{'a'"), ("x.go", "package x")], "path string, text string")
-    return structure.syntax_checked(sources(spark).union(extra)).select("path", "ok")
+    s = P.programs(spark, d).join(X.documents(spark, d).select(F.col("doc_id").cast("string").alias("id"), (F.length("text") % 7 + 1).alias("k")), F.regexp_extract("path", "[0-9]+", 0) == F.col("id"))
+    is_json, broken = F.endswith("path", F.lit(".rs")), F.col("k") == 1
+    json = F.when(broken, "{'a'").otherwise(F.concat(F.lit('{"a": ['), F.col("k").cast("string"), F.lit("]}")))
+    text = F.when(is_json, json).when(F.endswith("path", F.lit(".py")) & broken, F.concat("text", F.lit("def broken(:\n"))).otherwise(F.col("text"))
+    return structure.syntax_checked(s.select(F.regexp_replace("path", r"\.rs$", ".json").alias("path"), text.alias("text"))).select("path", "ok")
 
 
 @query("a12_json_gate", "SELECT 'props' AS origin, count(*) AS n, count(*) FILTER (json_valid(props)) AS ok FROM events UNION ALL SELECT 'texts', count(*), count(*) FILTER (json_valid(coalesce(text, ''))) FROM documents")
@@ -333,9 +345,9 @@ def c1(spark, d):
     return c.select("id", "path", "start", "end", "tokens", md5("text").alias("text"))
 
 
-@query("c2_structure_chunks")
+@query("c2_structure_chunks", f"WITH {P.CTES}, tp AS (SELECT * FROM ps a WHERE NOT EXISTS (SELECT 1 FROM ps o WHERE o.path = a.path AND o.qualname <> a.qualname AND o.start <= a.start AND a.stop <= o.stop)), x AS (SELECT tp.path, qualname, kind, start, stop, array_to_string(list_slice(string_split(text, chr(10)), start, stop), chr(10)) AS t FROM tp JOIN pf USING (path)), {Q.tokens('x', 'y')} SELECT path || '#' || qualname || '@' || CAST(start AS VARCHAR) || '-' || CAST(stop AS VARCHAR) AS id, path, start, stop AS \"end\", qualname AS symbol, kind, tokens FROM y")
 def c2(spark, d):
-    return structure.structure_chunks(sources(spark), most=60).select("id", "path", "start", "end", "symbol", "kind", "tokens")
+    return structure.structure_chunks(P.programs(spark, d)).select("id", "path", "start", "end", "symbol", "kind", "tokens")
 
 
 @query("c2_markdown_chunks_by_kind")
