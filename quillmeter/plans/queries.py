@@ -640,14 +640,16 @@ def p9(spark, d):
 def _requests(spark, d):
     c = X.documents(spark, d)
     c = c.select(F.floor(F.col("doc_id") / 50).alias("request_id"), F.concat_ws("/", F.coalesce("source", F.lit("none")), F.col("doc_id").cast("string")).alias("path"), "text")
-    return c.withColumn("tokens", K.estimate_tokens(F.col("text"))).withColumn("skeleton", F.lit("")).withColumn("skeleton_tokens", F.lit(0).cast("long"))
+    c = c.withColumn("tokens", K.estimate_tokens(F.col("text"))).withColumn("skeleton", F.substring("text", 1, 120))
+    return c.withColumn("skeleton_tokens", K.estimate_tokens(F.col("skeleton")))
 
 
 _FILES = f"""{Q.CORPUS}, fr AS (SELECT doc_id // 50 AS request_id, coalesce(source, 'none') || '/' || CAST(doc_id AS VARCHAR) AS path, coalesce(text, '') AS t FROM documents), {Q.tokens('fr', 'ft')},
-fc AS (SELECT request_id, path, tokens AS cost, '--- ' || path || ' ---' AS t FROM ft), {Q.tokens('fc', 'ff', out='fr0')},
-fo AS (SELECT request_id, path, cost, fr0 + 2 AS frame, row_number() OVER (PARTITION BY request_id ORDER BY cost, path) AS n FROM ff),
+fs AS (SELECT request_id, path, tokens AS cost, substr(t, 1, 120) AS t FROM ft), {Q.tokens('fs', 'fx', out='short')},
+fc AS (SELECT request_id, path, cost, CASE WHEN t <> '' THEN short END AS short, '--- ' || path || ' ---' AS t FROM fx), {Q.tokens('fc', 'ff', out='fr0')},
+fo AS (SELECT request_id, path, cost, short, fr0 + 2 AS frame, row_number() OVER (PARTITION BY request_id ORDER BY cost, path) AS n FROM ff),
 fk AS (SELECT request_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS kept, CAST(0 AS BIGINT) AS dropped FROM (SELECT DISTINCT request_id FROM fo)
- UNION ALL SELECT fk.request_id, fo.n, CASE WHEN used + cost + frame <= 6000 THEN used + cost + frame ELSE used END, CASE WHEN used + cost + frame <= 6000 THEN kept + 1 ELSE kept END, CASE WHEN used + cost + frame <= 6000 THEN dropped ELSE dropped + 1 END FROM fk JOIN fo ON fo.request_id = fk.request_id AND fo.n = fk.n + 1)"""
+ UNION ALL SELECT fk.request_id, fo.n, CASE WHEN used + cost + frame <= 6000 THEN used + cost + frame WHEN used + short + frame <= 6000 THEN used + short + frame ELSE used END, CASE WHEN used + cost + frame <= 6000 OR coalesce(used + short + frame <= 6000, false) THEN kept + 1 ELSE kept END, CASE WHEN used + cost + frame <= 6000 OR coalesce(used + short + frame <= 6000, false) THEN dropped ELSE dropped + 1 END FROM fk JOIN fo ON fo.request_id = fk.request_id AND fo.n = fk.n + 1)"""
 
 
 @query("p10_pack_files", f"WITH RECURSIVE {_FILES} SELECT request_id, max(used) AS used, max(kept) AS files, max(dropped) AS dropped FROM fk GROUP BY 1")
@@ -904,10 +906,10 @@ def g18(spark, d):
     return X.usage(spark, d).select("message_id", c["input_tokens"].alias("input_tokens"), c["cost_usd"].alias("cost_usd"))
 
 
-@query("g19_compressors", f"WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), y AS (SELECT doc_id, {_SHOWN} AS l, t FROM x) SELECT doc_id, length(substr(t, 1, 400)) AS prefix, length(substr(array_to_string(list_concat(list_filter(l, lambda x: {_STRUCT}), list_filter(l, lambda x: NOT ({_STRUCT}))), chr(10)), 1, 400)) AS structural FROM y")
+@query("g19_compressors", f"WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), y AS (SELECT doc_id, {_SHOWN} AS l, t FROM x) SELECT doc_id, md5(substr(t, 1, 400)) AS prefix, md5(substr(array_to_string(list_concat(list_filter(l, lambda x: {_STRUCT}), list_filter(l, lambda x: NOT ({_STRUCT}))), chr(10)), 1, 400)) AS structural FROM y")
 def g19(spark, d):
     both = governance.with_fallback(lambda p, c: F.lit(None).cast("string"), governance.by_structure)
-    return X.documents(spark, d).select("doc_id", long(F.length(governance.by_prefix(F.col("text"), F.lit(100)))).alias("prefix"), long(F.length(both(F.col("text"), F.lit(100)))).alias("structural"))
+    return X.documents(spark, d).select("doc_id", md5(governance.by_prefix(F.col("text"), F.lit(100))).alias("prefix"), md5(both(F.col("text"), F.lit(100))).alias("structural"))
 
 
 # Reports

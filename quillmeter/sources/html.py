@@ -19,3 +19,23 @@ def page(title: str, tables: dict[str, DataFrame], rows: int = ROWS) -> str:
         out += ["<tr>" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in got[:rows]]
         out.append("</table>" + (f"<p>The first {rows} rows.</p>" if len(got) > rows else ""))
     return "\n".join(out)
+
+
+def dashboard(usage: DataFrame, savings: DataFrame, registry: DataFrame, ledger: DataFrame, as_of: str, title: str = "Token economics") -> str:
+    """The report of spend and of the ledger: what projects, models and days cost, what was saved, what to rightsize, who runs, and what the gates did."""
+    from ..operators import finops
+
+    return page(
+        title,
+        {
+            "Cost by project": finops.top_projects(usage, as_of),
+            "Cost by model": finops.cost_report(usage, as_of, by="model").orderBy("grp"),
+            "Cost by day": finops.cost_by_day(usage, as_of).orderBy("day"),
+            "Savings by source": finops.savings_by_source(savings, as_of).orderBy("source"),
+            "Rightsizing": finops.rightsizing(usage, as_of).orderBy("project", "model"),
+            "Agents by project": finops.registry_counts(registry).orderBy("project"),
+            "Ledger": finops.ledger_totals(ledger),
+            "Ledger by tier": finops.by_tier(ledger).orderBy("tier"),
+            "Ledger by reason": finops.by_reason(ledger).orderBy("reason_code"),
+        },
+    )

@@ -59,3 +59,58 @@ def test_store(spark, tmp_path):
 def test_html(spark):
     page = html.page("<r>", {"t": spark.range(3).select(F.col("id").alias("n"))}, rows=2)
     assert "&lt;r&gt;" in page and "The first 2 rows." in page
+
+
+def test_dashboard(spark):
+    from quillmeter.plans import fixtures as X
+    from quillmeter.plans import queries
+    from quillmeter.sources import html
+
+    sf = "/root/testdata/sf0.001"
+    page = html.dashboard(X.usage(spark, sf), X.savings(spark, sf), queries._registry(spark, sf), queries._calls(spark, sf), X.AS_OF)
+    assert all(f"<h2>{x}</h2>" in page for x in ("Cost by project", "Cost by model", "Cost by day", "Savings by source", "Rightsizing", "Agents by project", "Ledger", "Ledger by tier", "Ledger by reason"))
+    assert "team1" in page and "blended_reduction" in page
+
+
+def test_index_searches_twice_and_embeds(spark):
+    from quillmeter.operators import retrieval
+
+    rows = [("a", "refresh the access token"), ("b", "render the invoice"), ("c", "price of the parcel")]
+    chunks = spark.createDataFrame(rows, "id string, text string")
+    asked = spark.createDataFrame([(1, "access token"), (2, "invoice")], "query_id int, text string")
+    index = retrieval.Index(chunks)
+    first = sorted((r.query_id, r.id) for r in index.search(asked, 1).collect())
+    assert first == [(1, "a"), (2, "b")] == sorted((r.query_id, r.id) for r in index.search(asked, 1).collect())
+    sizes = []
+
+    def embed(texts):
+        sizes.append(len(texts))
+        return [[float(len(t)), float(t.count("a")) + 1] for t in texts]
+
+    both = retrieval.Index(chunks, embed, 2).search(asked, 3)
+    assert {(r.query_id, r.id) for r in both.collect()} == {(q, i) for q in (1, 2) for i in "abc"}
+
+
+def test_vector_search_in_blocks(spark):
+    import numpy as np
+
+    from quillmeter.operators import retrieval
+
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(x) for x in rng.normal(size=6)]) for k in range(200)] + [(k, [1.0] * 6) for k in range(200, 230)] + [(230, [0.0] * 6), (231, None)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = v.where("id % 10 = 0").selectExpr("id AS query_id", "embedding")
+    get = lambda **how: sorted(tuple(r) for r in retrieval.vector_search(q, v, 5, **how).select("query_id", "id", "rank", "score").collect())
+    unit = {k: np.zeros(6) if x is None or not any(x) else np.array(x) / np.linalg.norm(x) for k, x in rows}
+    want = sorted((a, b, n + 1) for a, _ in rows if a % 10 == 0 for n, (s, b) in enumerate(sorted((-int(np.floor(round(float(unit[a] @ unit[b]), 12) * 1e9)), b) for b in unit if b != a)[:5]))
+    assert [x[:3] for x in get()] == want and get() == get(block=7)
+
+
+def test_long_sessions_are_streamed(spark):
+    from pyspark.sql import functions as F
+
+    from quillmeter.operators import governance
+
+    r = spark.range(200_000).select(F.lit("s").alias("session_id"), (F.col("id") % 3).cast("string").alias("artifact_id"), F.col("id").alias("seq"), F.lit(1.0).alias("estimated_cost_usd"), F.lit(1.0).alias("actual_cost_usd"), F.lit(50_000.0).alias("artifact_budget_usd"), F.lit(120_000.0).alias("session_budget_usd"))
+    got = {x.budget_reason: x["count"] for x in governance.budget_gate(r).groupBy("budget_reason").count().collect()}
+    assert got == {None: 120_000, "SESSION_BUDGET_EXCEEDED": 80_000}
