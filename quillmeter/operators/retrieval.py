@@ -36,7 +36,7 @@ def postings(chunks: DataFrame, id_col: str = "id") -> DataFrame:
         for batch in batches:
             row, term, freq, length = [], [], [], []
             for k, text in enumerate(batch.column(1)):
-                found = counter.count(text.as_py())
+                found = counter.count(text.as_py() or "")
                 row += [k] * len(found)
                 term += found
                 freq += found.values()

@@ -448,7 +448,7 @@ def _indexed(spark, d, kind, chunks) -> retrieval.Index:
     """The index of a table's documents or chunks: built at first use, and anew when the table's files or the stored index change."""
     key = (spark.sparkContext.applicationId, kind, tables.signature(spark, f"{d}/documents.parquet"))
     held = _indexes.get(key)
-    if held is None or not all(tables.exists(spark, t.inputFiles()[0].rpartition("/")[0]) for t in (held.chunks, held.held, held.size)):
+    if held is None or not all(tables.exists(spark, f.rpartition("/")[0]) for t in (held.chunks, held.held, held.size) for f in t.inputFiles()[:1]):
         held = _indexes[key] = retrieval.Index(chunks())
     return held
 
