@@ -185,6 +185,8 @@ def classify(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, thre
     else:
         w, bias = np.zeros(buckets), 0.0
     w32 = w.astype(np.float32)
+    got = None
+    pa.default_memory_pool().release_unused()  # the sample's matrix needn't stay with the driver
 
     def scores(batches):
         for batch in batches:
