@@ -2,7 +2,7 @@
 
 The generators of each kind are the base rule without its validation, and looser forms: an address spelled out with "(at)", a
 telephone number without a plus, and for secrets (keys, tokens, passwords), which have no base rule, runs of 20 or more key
-characters and values assigned to names like ``token``. Base spans, which pass their validation, are always redacted. What
+characters with a digit among them, and values assigned to names like ``token``. Base spans, which pass their validation, are always redacted. What
 else is redacted is up to the trees. A candidate's features are its form and what stands around it. Its label is evidence
 that is not among them: a loose candidate is right if its normalised form is valid (``valid_loose``), one that fails its base
 rule (a mistyped card number) if the document holds a base span of its kind and, but for addresses of machines, of as many
@@ -29,6 +29,8 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,10 +52,11 @@ NAMES = "secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?k
 LOOSE = {
     "email": [r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[](?:dot|DOT)[)\]]) ?[A-Za-z0-9-]++)++"],
     "phone": [r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])"],
-    "secret": [r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/-]{20,}+=*+(?![A-Za-z0-9_+/-])", rf"(?<=(?i:{NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)[^\s\"']{{6,}}+"],
+    "secret": [r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{20,}+=*+(?![A-Za-z0-9_+/-])", rf"(?<=(?i:{NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)[^\s\"']{{6,}}+"],
 }
 NEEDS = {"email": "@", "phone": "+"}
-LOOSE_NEEDS = {"email": [r"[(\[](?:at|AT)[)\]]"], "phone": ["[0-9]"], "secret": ["[A-Za-z0-9_+/-]{20}", rf"(?=[aApPsStT])(?i:{NAMES})[\"']?\s{{0,3}}[:=]"]}
+#: What a text must hold, all of it, to be searched: cheap patterns first.
+LOOSE_NEEDS = {"email": [[r"[(\[](?:at|AT)[)\]]"]], "phone": [["[0-9]"]], "secret": [["[0-9]", "[A-Za-z0-9_+/-]{20}"], ["[:=]", rf"(?=[aApPsStT])(?i:{NAMES})[\"']?\s{{0,3}}[:=]"]]}
 CUES = {"email": "mail|write|contact", "ip": "(?<![a-z])ip|host|server|addr", "card": "card|visa|pay|account", "phone": "phone|tel|call|fax|mobile", "secret": "secret|token|passw|pwd|key|bearer|auth"}
 AROUND = 24
 #: The form of a candidate from a loose generator is at least this.
@@ -157,7 +160,7 @@ def candidates(text: Column) -> Column:
     none, parts = F.array().cast(f"array<{CANDIDATE}>"), []
     for number, kind in enumerate(KINDS):
         loose = zip(LOOSE.get(kind, ()), LOOSE_NEEDS.get(kind, ()), strict=True)
-        ways = [(pattern, text.rlike(need), True, k) for k, (pattern, need) in enumerate(loose)]
+        ways = [(pattern, reduce(and_, map(text.rlike, needs)), True, k) for k, (pattern, needs) in enumerate(loose)]
         if kind in BASE:
             ways.append((BASE[kind], F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("[0-9]"), False, 0))
         for pattern, need, is_loose, which in ways:
