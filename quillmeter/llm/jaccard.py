@@ -13,7 +13,7 @@
    linked pairs met in one tree only and in two (Chao's estimator), and while that says less than ``recall``, the prefix is
    shortened by a digit: shorter links are taken from the same table, and only the clusters that they join are verified again. At
    ``floor_for`` digits a pair at the threshold is missed once in 10 ** 9, and nothing is left to shorten.
-4. Classes connected through nodes form clusters (minimum labels are passed along, table by table). Only classes in a cluster of
+4. Classes connected through nodes form clusters (links are contracted to their ends, round by round). Only classes in a cluster of
    two or more bring their texts along again. Clusters are verified exactly: small ones are packed together, large ones cut
    into blocks, each pair of blocks a task of bounded size. Blocks return a link count per class and links to one root per
    component, never pairs; so no link is lost and none is written out. A cluster of m different texts takes (m / block) ** 2 / 2 such
@@ -168,22 +168,33 @@ def forest(classes: DataFrame, trees: int, max_depth: int, least: int, most: int
 
 
 def min_components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """edges: a, b. Per a: comp, the smallest b or a that it is connected with. Labels are passed along and jumped over until none changes."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = common.stored(both.hint("rebalance"), name)
-    files = max(8, both.count() // 500_000)
-    side = lambda df: common.small_side(df, LABELS)
-    comp = common.stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("comp")), name, files)
+    """edges: a, b. Per node of an edge, as a: comp, the smallest node that it is connected with.
+
+    Each round points every node to the smallest among its neighbours and itself, follows the pointers to their ends and draws the edges
+    anew between the ends, equal ones once. So an edge is read again only as one of those between ends that still differ; two rounds
+    leave half of the nodes at most, as an end that takes in no other has a smaller neighbour in the next round.
+    """
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = common.stored(edges.hint("rebalance"), name)
+    files = max(8, edges.count() // 250_000)
+    side = lambda df: common.small_side(df, LABELS).select(F.col("a").alias("comp"), F.col("comp").alias("further"))
+    found = None
     while True:
-        near = both.join(side(comp.select(F.col("a").alias("b"), "comp")), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        step = near.join(side(comp), "a").select("a", F.least("comp", "m").alias("comp"), F.col("comp").alias("was"))
-        step = common.stored(step, name, files)
-        jump = step.select(F.col("a").alias("comp"), F.col("comp").alias("further"))
-        next_ = step.join(side(jump), "comp", "left").select("a", F.least("comp", "further").alias("comp"), "was")
-        next_ = common.stored(next_, name, files)
-        if next_.where("comp <> was").isEmpty():
-            return next_.select("a", "comp")
-        comp = next_.select("a", "comp")
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = common.stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("comp")), name, files)
+        while True:
+            jump = side(ends)
+            near = ends.join(jump, "comp").select("a", F.col("further").alias("comp"))
+            step = common.stored(near.join(jump, "comp").select("a", F.col("further").alias("comp"), F.col("comp").alias("was")), name, files)
+            ends = step.select("a", "comp")
+            if step.where("comp <> was").isEmpty():
+                break
+        jump = side(ends)
+        found = ends if found is None else common.stored(found.join(jump, "comp", "left").select("a", F.coalesce("further", "comp").alias("comp")), name, files)
+        drawn = edges.join(jump.toDF("a", "x"), "a").join(jump.toDF("b", "y"), "b").where("x <> y")
+        edges = common.stored(drawn.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), name, files)
+        if edges.isEmpty():
+            return found
 
 
 def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -306,8 +317,7 @@ def joined_rows(docs: DataFrame, id_col: str, text_col: str, n: int = N, thresho
             break
         depth, was = depth - 1, cluster.select("rep", F.col("cluster").alias("was"))
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = linked.where("rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b")).distinct()
-    comp = min_components(roots, "roots").withColumnRenamed("a", "rep")
+    comp = min_components(root_links(linked), "roots").withColumnRenamed("a", "rep")
     classes = classes.select("rep", "cls", "id", "first", "copies").join(links, "rep", "left").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     classes = common.stored(classes, "joined")
     smallest = classes.groupBy("comp").agg(F.min("id").alias("class_id"), F.min("first").alias("survivor"))
@@ -342,6 +352,18 @@ def verified(keyed: DataFrame, members: DataFrame, n: int, threshold: float, blo
     return dealt.groupBy("pack", "i", "j").applyInArrow(lambda t: verify(t, n, threshold), "rep long, root long, links long, pairs long, once long, twice long")
 
 
+def root_links(linked: DataFrame) -> DataFrame:
+    """linked: rep, root, a row for each pair of blocks. Links a, b that connect the same: each class to its smallest root, and what roots it has to that one.
+
+    A class of a large cluster has a row for each block of it. Classes with the same roots, as most of a block have in a dense cluster,
+    have the links between these once for all of them, so that links grow with the classes and not with the classes times the blocks.
+    """
+    sets = linked.where("rep <> root").groupBy("rep").agg(F.sort_array(F.collect_set("root")).alias("roots"))
+    sets = common.stored(sets, "root_sets")
+    several = sets.where(F.size("roots") > 1).select("roots").distinct().select(F.col("roots")[0].alias("a"), F.explode(F.slice("roots", 2, F.size("roots") - 1)).alias("b"))
+    return sets.select(F.col("roots")[0].alias("a"), F.col("rep").alias("b")).union(several)
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = 2_000_000, **how) -> DataFrame:
     """docs without the documents that aren't the first of their class; rows with that one's id and text are kept once."""
     found = common.stored(joined_rows(docs, id_col, text_col, **how).where("n_links > 0").hint("rebalance"), "near")

@@ -241,6 +241,64 @@ def test_shortened_prefixes_recover_links(spark):
     assert long < 0.9 * want and shortened >= 0.99 * want
 
 
+def joined_rows_since(spark, first):
+    """Rows that the joins of the executions from that number on have made."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    for e in (store.executionsList().apply(k) for k in range(store.executionsList().size())):
+        if e.executionId() < first:
+            continue
+        values, nodes = store.executionMetrics(e.executionId()), store.planGraph(e.executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and values.get(m.accumulatorId()).isDefined():
+                    made += int(values.get(m.accumulatorId()).get().replace(",", ""))
+    return made
+
+
+def test_components_read_an_edge_while_its_ends_differ(spark):
+    rng = random.Random(4)
+    names = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(1500)]
+    near = [(names[k], names[rng.randrange(k // 2, k)]) for k in range(1, 1000) for _ in range(14)]
+    path = list(zip(names[1000:1200], names[1001:1201], strict=True))
+    steps = [(k, k + 1) for k in range(100)]
+    star = [(names[1499], x) for x in names[1201:1300]] + [(names[1300], names[1300])]
+    edges = near + path + steps + star + near[:50] + [(b, a) for a, b in near[50:90]]
+    group = {x: {x} for e in edges for x in e}
+    for a, b in edges:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            group.update(dict.fromkeys(group[b], group[a]))
+    want = sorted((x, min(g)) for x, g in group.items() if len(g) > 1)
+    df = common.stored(spark.createDataFrame(edges, "a long, b long"), "edges")
+    before = spark._jsparkSession.sharedState().statusStore().executionsList()
+    first = before.apply(before.size() - 1).executionId() + 1
+    found = jaccard.min_components(df)
+    made = joined_rows_since(spark, first)
+    assert sorted((r.a, r.comp) for r in found.collect()) == want
+    # Both ends of an edge are looked up in the first round; later rounds have few edges, and pointers are few rows.
+    assert made <= 3.5 * len(set(edges))
+
+
+def test_links_of_a_large_group_are_as_many_as_its_texts(spark, monkeypatch):
+    from test_llm_operators import plain_join
+
+    rng, base, links = random.Random(6), [f"w{k}" for k in range(200)], []
+    rows = [(k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(160)] + [(200 + k, " ".join(f"v{rng.randrange(3000)}" for _ in range(30))) for k in range(20)]
+    search = jaccard.min_components
+
+    def counted(edges, name):
+        if name == "roots":
+            links.append(edges.count())
+        return search(edges, name)
+
+    monkeypatch.setattr(jaccard, "min_components", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard.jaccard_join(df, block=10).collect()), key=repr)
+    assert got == plain_join(rows) and max(n for *_, n in got) == 159
+    assert len(links) == 1 and links[0] <= 2 * 160  # in 16 blocks
+
+
 # 9
 
 
