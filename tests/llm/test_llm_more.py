@@ -299,6 +299,25 @@ def test_links_of_a_large_group_are_as_many_as_its_texts(spark, monkeypatch):
     assert len(links) == 1 and links[0] <= 2 * 160  # in 16 blocks
 
 
+def test_one_of_a_large_group_stays_and_links_are_read_once(spark, monkeypatch):
+    rng, base, read = random.Random(5), [f"w{k}" for k in range(60)], []
+    rows = [(k + 7, " ".join(base[:at] + [f"x{k}"] + base[at + 1 :])) for k, at in enumerate(rng.randrange(60) for _ in range(1000))] + [(3, "a text of its own"), (2, None)]
+    search, store = jaccard.min_components, spark._jsparkSession.sharedState().statusStore()
+
+    def counted(edges, name):
+        edges = common.stored(edges.select("a", "b"), "edges")
+        links = edges.distinct().count()
+        before = store.executionsList()
+        found = search(edges, name)
+        read.append((links, joined_rows_since(spark, before.apply(before.size() - 1).executionId() + 1)))
+        return found
+
+    monkeypatch.setattr(jaccard, "min_components", counted)
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 7]
+    assert read[0][0] > 5000 and all(made <= 3.5 * links for links, made in read)
+
+
 # 9
 
 
