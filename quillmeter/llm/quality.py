@@ -4,7 +4,8 @@
 2. Votes are grouped to patterns, 3 ** 9 at most whatever the corpus, and counted over all documents. Expectation-maximisation over
    these counts gives each labeller's rates among good and bad documents, and each pattern's posterior.
 3. A logistic scorer over hashed byte trigrams (and repeated words) is fitted to the posteriors of a sample of ``sample`` documents
-   at most, those with the smallest hashes of their ids. This is the only sample; everything else covers all documents.
+   at most, those with the smallest hashes of their ids, in one task: the driver gets the weights only. This is the only sample;
+   everything else covers all documents.
 4. All documents are scored by the fitted weights.
 
 Each pass is numpy over the bytes of chunks of texts; where rows become rows of a matrix, a chunk has ``ROWS`` of them at most. No gold labels are used: the tests hold the result against them.
@@ -167,26 +168,25 @@ def classify(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, thre
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
 
-    def features(batches):
+    def fitted(batches):
+        x, y, n = np.empty((sample, buckets), dtype=np.float32), np.empty(sample), 0
         for batch in batches:
-            for first, data, bounds in wordhash.chunks(batch.column(1), CHUNK, ROWS):
+            for _, data, bounds in wordhash.chunks(batch.column(0), CHUNK, ROWS):
                 v, count = votes(data, bounds)
-                x = hashed(data, bounds, buckets)
                 keep = np.flatnonzero(count > 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(count)).take(pa.array(keep)), pa.array(posterior[encode(v)[keep]]), pa.array([x[k].tobytes() for k in keep], pa.binary())], ["id", "y", "x"])
+                x[n : n + len(keep)], y[n : n + len(keep)] = hashed(data, bounds, buckets)[keep], posterior[encode(v)[keep]]
+                n += len(keep)
+        if n:
+            w, bias = fit_linear(x[:n], y[:n])
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], ["w", "bias"])
 
     share = min(1.0, 0.8 * sample / max(1, sum(counts.values())))
     drawn = F.xxhash64(F.lit("sample"), "id", F.length("text"))
-    some = slim.withColumn("draw", drawn).where(F.pmod("draw", F.lit(1_000_000)) < share * 1_000_000).orderBy("draw", "id").limit(sample).select("id", "text")
-    got = some.mapInArrow(features, f"id {kind}, y double, x binary").select("y", "x").toArrow()
-    if got.num_rows:
-        x = np.concatenate([np.frombuffer(c.buffers()[2], dtype=np.float32)[c.offset * buckets : (c.offset + len(c)) * buckets] for c in got["x"].chunks]).reshape(-1, buckets)
-        w, bias = fit_linear(x, got["y"].to_numpy())
-    else:
-        w, bias = np.zeros(buckets), 0.0
-    w32 = w.astype(np.float32)
-    got = None
-    pa.default_memory_pool().release_unused()  # the sample's matrix needn't stay with the driver
+    some = slim.withColumn("draw", drawn).where(F.pmod("draw", F.lit(1_000_000)) < share * 1_000_000).orderBy("draw", "id").limit(sample).select("text")
+    # The sample is one partition anyway, and its matrix never leaves the task: the driver gets the weights, one row or none.
+    got = some.coalesce(1).mapInArrow(fitted, "w binary, bias double").collect()
+    w32 = np.frombuffer(got[0].w).astype(np.float32) if got else np.zeros(buckets, dtype=np.float32)
+    bias = got[0].bias if got else 0.0
 
     def scores(batches):
         for batch in batches:

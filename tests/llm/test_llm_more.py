@@ -350,6 +350,21 @@ def test_short_rows_take_little_memory():
     assert by[0] == by[3] and len({frozenset(x) for x in by.values()}) == 3 and len(by[4]) == 2
 
 
+def test_the_driver_gets_weights_and_not_the_sample(spark):
+    import tracemalloc
+
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"w{rng.randrange(500)}" for _ in range(12)) + (", and so on." if k % 3 else " #### $$$$ ||||")) for k in range(2500)] + [(2500, ""), (2501, None)]
+    docs = common.stored(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
+    tracemalloc.start()
+    scored = quality.classify(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5e6  # the sample's matrix has 2,500 rows of 2,048 floats
+    got = {r.doc_id: r.keep for r in scored.collect()}
+    assert len(got) == 2502 and not got[2500] and not got[2501] and all(got[k] == bool(k % 3) for k in range(2500))
+
+
 # Names
 
 
