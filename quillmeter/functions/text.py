@@ -33,28 +33,41 @@ def terms(text: Column, split_identifiers: bool = True) -> Column:
 
 
 class TermCounter:
-    """Counts the same terms of texts in Python; what a word gives is remembered, as most words come again."""
+    """Counts the same terms of texts in Python. What a word gives is remembered, as most words come again, and so are a few lines, as windows of a text overlap."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 50_000, lines: int = 1_000, terms_: int = 100_000):
         self.word, self.parts, self.several = re.compile(WORD.replace(r"\p{Nd}", r"\d")), re.compile(PARTS), re.compile(r".+[A-Z_0-9]")
         self.stop, self.known, self.most = frozenset(STOPWORDS), {}, most
+        self.lines, self.held, self.most_lines, self.most_terms = {}, 0, lines, terms_
 
     def expand(self, word: str) -> tuple[str, ...]:
         out = [word.lower()]
         if self.several.match(word) and len(parts := self.parts.findall(word.replace("_", " "))) > 1:
             out += [p.lower() for p in parts]
-        return tuple(t for t in out if len(t) > 1 and t not in self.stop)
+        out = tuple(t for t in out if len(t) > 1 and t not in self.stop)
+        if len(self.known) >= self.most:
+            self.known.clear()
+        self.known[word] = out
+        return out
+
+    def of_line(self, line: str) -> list[str]:
+        get = self.known.get
+        out = []
+        for word in self.word.findall(line):
+            found = get(word)
+            out += self.expand(word) if found is None else found
+        if len(self.lines) >= self.most_lines or self.held > self.most_terms:
+            self.lines.clear()
+            self.held = 0
+        self.lines[line] = out
+        self.held += len(out)
+        return out
 
     def count(self, text: str) -> dict[str, int]:
-        out: dict[str, int] = {}
-        for word, n in Counter(self.word.findall(text)).items():
-            terms_ = self.known.get(word)
-            if terms_ is None:
-                if len(self.known) >= self.most:
-                    self.known.clear()
-                terms_ = self.known[word] = self.expand(word)
-            for t in terms_:
-                out[t] = out.get(t, 0) + n
+        out: Counter[str] = Counter()
+        for line in text.split("\n"):
+            found = self.lines.get(line)
+            out.update(self.of_line(line) if found is None else found)
         return out
 
 

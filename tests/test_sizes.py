@@ -20,3 +20,54 @@ def test_json_gate_reads_whole_texts(spark, tmp_path):
     got = plans.QUERIES["a12_json_gate"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(plans.SQL["a12_json_gate"]).fetchall())
     assert [structure.is_json(x) for x in JSON] == [con.execute("SELECT json_valid(?::VARCHAR)", [x]).fetchone()[0] for x in JSON]
+
+
+
+@pytest.fixture(scope="module")
+def index(spark):
+    from quillmeter.operators import retrieval
+
+    words = F.array(*(F.concat(F.lit(w), ((F.col("id") * k) % m).cast("string")) for w, k, m in (("ant", 7, 5), ("bee", 3, 11), ("cat", 11, 23), ("dog", 1, 40))))
+    chunks = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.array_join(F.concat(words, F.slice(words, 1, (F.col("id") % 4 + 1).cast("int"))), " ").alias("text"))
+    asked = spark.range(50).select(F.col("id").alias("query_id"), F.explode(F.array(*(F.concat(F.lit(w), (F.col("id") % m).cast("string")) for w, m in (("ant", 5), ("bee", 11), ("cat", 23), ("eel", 3))))).alias("term"))
+    return retrieval.Index(chunks), asked
+
+
+def test_search_never_makes_pairs(spark, index):
+    """Queries and chunks met as rows before; now a task gives its best only."""
+    from quillmeter.operators import retrieval
+
+    held, asked = index
+    scan = retrieval._scan(asked, held.held, held.size)
+    made = []
+    run = scan.run
+    scan.run = lambda fold, more: made.append(run(fold, more)) or made[-1]
+    got = sorted(map(tuple, scan.best(5).collect()))
+    want = sorted(map(tuple, retrieval.top(retrieval.bm25(asked, retrieval.exploded(held.held), size=held.size), 5).select("query_id", "id", "score", "rank").collect()))
+    assert got == want and len(got) == 250
+    pairs = retrieval.bm25(asked, retrieval.exploded(held.held), size=held.size).count()
+    assert made[0].count() <= 250 * held.held.rdd.getNumPartitions() and pairs > 10 * 250
+
+
+def test_search_for_more_queries_than_one_place_holds(spark, index, monkeypatch):
+    from quillmeter.operators import retrieval
+
+    held, asked = index
+    want = sorted(map(tuple, retrieval.best(asked, held.held, held.size, 7).collect()))
+    pairs = retrieval.bm25(asked, retrieval.exploded(held.held), size=held.size)
+    hits = sorted(map(tuple, pairs.groupBy("query_id").agg(F.count("*"), F.max("score")).collect()))
+    assert sorted(map(tuple, retrieval.hits(asked, held.held, held.size).collect())) == hits
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 3)
+    assert sorted(map(tuple, retrieval.best(asked, held.held, held.size, 7).select("query_id", "id", "score", "rank").collect())) == want
+    assert sorted(map(tuple, retrieval.hits(asked, held.held, held.size).collect())) == hits
+
+
+def test_terms_are_counted_by_lines():
+    from collections import Counter
+
+    from quillmeter.functions.text import TermCounter
+
+    lines = ["getUserToken 9lives42 the", "", "snake_case x1 getUserToken", "ä ABCd"] * 3
+    whole = Counter(t for x in lines for w in TermCounter().word.findall(x) for t in TermCounter().expand(w))
+    small = TermCounter(most=2, lines=1, terms_=3)
+    assert small.count("\n".join(lines)) == whole == TermCounter().count("\n".join(lines)) and len(small.known) <= 2 and len(small.lines) <= 1
