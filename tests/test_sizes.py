@@ -71,3 +71,29 @@ def test_terms_are_counted_by_lines():
     whole = Counter(t for x in lines for w in TermCounter().word.findall(x) for t in TermCounter().expand(w))
     small = TermCounter(most=2, lines=1, terms_=3)
     assert small.count("\n".join(lines)) == whole == TermCounter().count("\n".join(lines)) and len(small.known) <= 2 and len(small.lines) <= 1
+
+
+def planned(df, mark):
+    """How often mark stands in the optimized plan: each time it is computed anew."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(mark)
+
+
+@pytest.fixture(scope="module")
+def calls(spark):
+    from quillmeter.schemas import ENVELOPE
+
+    rows = [("s", "p", "long", "abc def " * 9000, 0, 10.0, "daylight", "x", "m", 0.1), ("s", "p", "short", "abc", 0, 10.0, "daylight", "x", "m", 0.1), ("s", "p", "none", "abc", 0, None, "daylight", "x", "m", 0.1)]
+    return spark.createDataFrame(rows, ENVELOPE.split(", artifact_budget_usd")[0])
+
+
+def marked(payload, cap):
+    return F.substring(F.replace(payload, F.lit("compressor's mark"), F.lit("")), F.lit(1), (cap * 4).cast("int"))
+
+
+@pytest.mark.parametrize("gate, rows", [("compression", {("recompress", "long")})])
+def test_admission_is_folded_once_for_its_events(spark, calls, gate, rows):
+    from quillmeter.operators import governance
+
+    e = governance.ledger_events(governance.admission(calls, compressor=marked)).where(F.col("gate") == gate)
+    assert planned(e, "compressor's mark") == 1
+    assert {(r.decision, r.artifact_id) for r in e.collect()} == rows
