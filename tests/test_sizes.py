@@ -97,3 +97,14 @@ def test_admission_is_folded_once_for_its_events(spark, calls, gate, rows):
     e = governance.ledger_events(governance.admission(calls, compressor=marked)).where(F.col("gate") == gate)
     assert planned(e, "compressor's mark") == 1
     assert {(r.decision, r.artifact_id) for r in e.collect()} == rows
+
+
+def test_admission_is_folded_once_for_guarded_calls(spark, calls):
+    from quillmeter.operators import governance
+
+    assert planned(governance.admission(calls, compressor=marked).where("decision = 'admitted'"), "compressor's mark") == 1
+    answers = spark.createDataFrame([("s", x, 3, 0.5, "pass") for x in ("long", "short", "none")], "session_id string, artifact_id string, output_tokens long, actual_cost_usd double, quality_status string")
+    asked = spark.createDataFrame([("s", "long", 1, 1.0, 10.0, "released", None), ("s", "short", 2, 1.0, 0.0, "released", None)], "session_id string, reservation_id string, ts long, estimated_cost_usd double, session_budget_usd double, outcome string, actual_cost_usd double")
+    g = governance.guarded(calls, answers, asked, compressor=marked)
+    assert planned(g, "compressor's mark") == 0
+    assert sorted((r.artifact_id, r.decision) for r in g.collect()) == [("long", "admitted"), ("long", "completed"), ("long", "recompress"), ("none", "blocked"), ("short", "admitted")]
