@@ -90,7 +90,7 @@ def marked(payload, cap):
     return F.substring(F.replace(payload, F.lit("compressor's mark"), F.lit("")), F.lit(1), (cap * 4).cast("int"))
 
 
-@pytest.mark.parametrize("gate, rows", [("compression", {("recompress", "long")})])
+@pytest.mark.parametrize("gate, rows", [("compression", {("recompress", "long")}), ("admission", {("admitted", "long"), ("admitted", "short"), ("blocked", "none")})])
 def test_admission_is_folded_once_for_its_events(spark, calls, gate, rows):
     from quillmeter.operators import governance
 
