@@ -125,3 +125,46 @@ def test_windows_of_large_declarations_quote_their_lines(spark):
     s = spark.createDataFrame([("m.py", f"import os\n\n\ndef big():\n{body}\n", "python"), ("n.md", "# T\n" + "\n".join(f"line {k} of some words" for k in range(200)), "markdown")], "path string, text string, language string")
     c = structure.structure_chunks(s, most=100)
     assert structure.unquoted(c, s).count() == 0 and c.where("symbol = 'big'").count() > 3 and c.where("path = 'n.md'").count() > 3
+
+
+def trimmed(text, budget, keep, price):
+    """Whole lines of text under a budget, plainly: (kept lines, their text)."""
+    lines, body = text.split("\n"), max(1, budget - 48)
+
+    def fit(some, most):
+        n = used = 0
+        for x in some:
+            if used + price[x] + 1 > most:
+                break
+            used, n = used + price[x] + 1, n + 1
+        return n
+
+    if keep != "both":
+        n = fit(lines if keep == "head" else lines[::-1], body)
+        return n, "\n".join(lines[:n] if keep == "head" else lines[len(lines) - n :])
+    half = max(1, body // 2)
+    tail = fit(lines[::-1], body - half)
+    head = min(fit(lines, half), len(lines) - tail)
+    return head + tail, "\n".join([*lines[:head], f"... {len(lines) - tail - head} lines elided ...", *lines[len(lines) - tail :]])
+
+
+@pytest.mark.parametrize("keep, prices", [("both", 4)])
+def test_trimming_prices_few_lines_once(spark, keep, prices):
+    """A price is that of the whole, of a line (for both ends two) and of what is left: each line was priced for every use of a count before."""
+    import random
+
+    from quillmeter.functions import tokens
+
+    rng = random.Random(5)
+    line = lambda: rng.choice(["", "a", "{};()=>" * rng.randint(1, 9), "# t", "\x1b[3\x1b[0m1mred", "word " * rng.randint(1, 40), "x" * 300, "[1, 2]"])
+    texts = ["\n".join(line() for _ in range(n)) for n in (1, 2, 5, 30, 200, 900) for _ in range(6)] + ["\n" * 1000, "y" * 5000, ""]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, text string")
+    clean = {r.k: r.c for r in df.select("k", tokens.stripped(F.col("text")).alias("c")).collect()}
+    parts = sorted({x for c in clean.values() for x in c.split("\n")})
+    price = {r.x: r.n for r in spark.createDataFrame([(x,) for x in parts], "x string").select("x", tokens.estimate_tokens(F.col("x")).alias("n")).collect()}
+    for budget in (10, 60, 200):
+        cut = df.select("k", tokens.trim_to_budget(F.col("text"), budget, keep).alias("r"))
+        for r in cut.where("r.truncated").collect():
+            n, body = trimmed(clean[r.k], budget, keep, price)
+            assert r.r.kept_lines == n and body == (r.r.text.partition("\n")[2] if keep == "tail" else r.r.text.rpartition("\n")[0])
+    assert planned(cut, tokens.MARKDOWN) == prices
