@@ -148,7 +148,7 @@ def trimmed(text, budget, keep, price):
     return head + tail, "\n".join([*lines[:head], f"... {len(lines) - tail - head} lines elided ...", *lines[len(lines) - tail :]])
 
 
-@pytest.mark.parametrize("keep, prices", [("both", 4)])
+@pytest.mark.parametrize("keep, prices", [("both", 4), ("tail", 3), ("head", 3)])
 def test_trimming_prices_few_lines_once(spark, keep, prices):
     """A price is that of the whole, of a line (for both ends two) and of what is left: each line was priced for every use of a count before."""
     import random
