@@ -177,6 +177,13 @@ def reduction_by_language(files: DataFrame, price_per_mtok: float = 3.0, least:
     return g.where("files > 0").select(F.when(F.col("_g") == 1, "all").otherwise(F.col("language")).alias("language"), "files", "tokens_full", "tokens_skeleton", "symbols", "reduction", "median_reduction", usd("tokens_full").alias("usd_full"), usd("tokens_skeleton").alias("usd_skeleton"))
 
 
+def longest(symbols: DataFrame, least: int = NARROW_LINES) -> DataFrame:
+    """symbols: path, qualname, start, end. Each file's longest symbol of more than so many lines, the first of equal ones."""
+    lines = F.col("end") - F.col("start") + 1
+    one = symbols.where(lines > least).groupBy("path").agg(F.max_by(F.struct("qualname", "start", "end"), F.struct(lines, -F.col("start"), "qualname")).alias("s"))
+    return one.select("path", "s.*")
+
+
 def narrow_reads(symbols: DataFrame, least: int = NARROW_LINES) -> DataFrame:
     """symbols: path, qualname, start, end, tokens, tokens_file. Per file its longest symbol, and what reading only that saves."""
     s = symbols.withColumn("lines", F.col("end") - F.col("start") + 1).where(F.col("lines") > least)

@@ -168,3 +168,25 @@ def test_trimming_prices_few_lines_once(spark, keep, prices):
             n, body = trimmed(clean[r.k], budget, keep, price)
             assert r.r.kept_lines == n and body == (r.r.text.partition("\n")[2] if keep == "tail" else r.r.text.rpartition("\n")[0])
     assert planned(cut, tokens.MARKDOWN) == prices
+
+
+def test_only_the_longest_section_is_read(spark):
+    from quillmeter.operators import finops
+
+    rows = [("a", "x", 1, 20), ("a", "y", 30, 60), ("a", "z", 70, 100), ("b", "s", 1, 8), ("c", "t", 5, 14), ("c", "u", 5, 14)]
+    got = finops.longest(spark.createDataFrame(rows, "path string, qualname string, start int, end int")).collect()
+    assert sorted(map(tuple, got)) == [("a", "y", 30, 60), ("c", "u", 5, 14)]
+
+
+def test_a_file_is_priced_once_for_narrow_reads(spark, tmp_path, monkeypatch):
+    from quillmeter.plans import queries
+
+    text = "\n".join(f"line {k} of this text" for k in range(400))
+    spark.createDataFrame([(1, text, "s"), (2, text[:300], "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    read = []
+    stored = queries.tables.stored
+    monkeypatch.setattr(queries.tables, "stored", lambda df, name="table": read.append(stored(df, name)) or read[-1])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, plans.QUERIES["f18_narrow_reads"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(plans.SQL["f18_narrow_reads"]).fetchall()) and [x.count() for x in read] == [len(got)]
