@@ -201,3 +201,12 @@ def test_scans_hold_few_terms_at_once():
     got = list(retrieval._slices([pa.record_batch({"id": list(range(7)), "terms": lists})], 1))
     assert [x for b in got for x in b.column(0).to_pylist()] == list(range(7))
     assert all(b.num_rows == 1 or sum(map(len, b.column(1).to_pylist())) <= retrieval.POSTING_ROWS for b in got)
+
+
+def test_words_are_remembered_up_to_a_limit():
+    from quillmeter.functions.text import TermCounter
+
+    counter = TermCounter()
+    for k in range(0, 120_000, 100):
+        counter.count("\n".join(f"w{k + j}" for j in range(100)))
+    assert len(counter.known) <= 50_000 and len(counter.lines) <= 1_000
