@@ -210,3 +210,31 @@ def test_words_are_remembered_up_to_a_limit():
     for k in range(0, 120_000, 100):
         counter.count("\n".join(f"w{k + j}" for j in range(100)))
     assert len(counter.known) <= 50_000 and len(counter.lines) <= 1_000
+
+
+PACKED = (
+    "p9_pack_query_under_pressure",
+)
+
+
+@pytest.mark.parametrize("name", PACKED)
+def test_searches_shuffle_the_best_hits_only(spark, name):
+    """All pairs of queries and chunks were shuffled before, more than so many at sf0.01; rows are the SQL's."""
+    sf, seen = "/root/testdata/sf0.01", spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        none = spark._jvm.java.util.ArrayList()
+        stages = seen.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = shuffled()
+    df = plans.QUERIES[name](spark, sf)
+    names, got = sorted(df.columns), df.collect()
+    assert got and shuffled() - before < 40_000
+    if name in plans.SQL:
+        con = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+        want = con.execute(plans.SQL[name])
+        have = [d[0] for d in want.description]
+        assert sorted(repr(tuple(r[n] for n in names)) for r in got) == sorted(repr(tuple(r[have.index(n)] for n in names)) for r in want.fetchall())
