@@ -215,6 +215,7 @@ def test_words_are_remembered_up_to_a_limit():
 PACKED = (
     "p9_pack_query_under_pressure",
     "p11_budget_violations",
+    "p8_manifest",
 )
 
 
