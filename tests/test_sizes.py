@@ -216,6 +216,7 @@ PACKED = (
     "p9_pack_query_under_pressure",
     "p11_budget_violations",
     "p8_manifest",
+    "p3_pack",
 )
 
 
