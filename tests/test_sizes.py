@@ -217,6 +217,7 @@ PACKED = (
     "p11_budget_violations",
     "p8_manifest",
     "p3_pack",
+    "p7_assembled",
 )
 
 
