@@ -218,6 +218,7 @@ PACKED = (
     "p8_manifest",
     "p3_pack",
     "p7_assembled",
+    "p1_density_order",
 )
 
 
