@@ -219,6 +219,7 @@ PACKED = (
     "p3_pack",
     "p7_assembled",
     "p1_density_order",
+    "p2_overlap_ratio",
 )
 
 
