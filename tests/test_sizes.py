@@ -220,6 +220,7 @@ PACKED = (
     "p7_assembled",
     "p1_density_order",
     "p2_overlap_ratio",
+    "p11_budget_adherence",
 )
 
 
