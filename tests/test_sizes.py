@@ -221,6 +221,7 @@ PACKED = (
     "p1_density_order",
     "p2_overlap_ratio",
     "p11_budget_adherence",
+    "r11_search_suggestions",
 )
 
 
