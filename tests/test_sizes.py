@@ -222,6 +222,7 @@ PACKED = (
     "p2_overlap_ratio",
     "p11_budget_adherence",
     "r11_search_suggestions",
+    "p4_section_overhead",
 )
 
 
