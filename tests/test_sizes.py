@@ -223,6 +223,7 @@ PACKED = (
     "p11_budget_adherence",
     "r11_search_suggestions",
     "p4_section_overhead",
+    "p5_section_cap",
 )
 
 
